@@ -36,7 +36,7 @@ def cell_excerpt(text: Column, limit: int = CELL_LIMIT) -> Column:
 
 def strip_comments(text: Column) -> Column:
     """Each line up to its first ``#``."""
-    return F.regexp_replace(text, r"#[^\n\r\x0b\x0c\x1c-\x1e\x85  ]*", "")
+    return F.regexp_replace(text, r"#[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*", "")
 
 
 def block_quote(text: Column) -> Column:

@@ -69,31 +69,32 @@ def error_key(message: Column) -> Column:
     return out
 
 
-_INDENT = r"^[ \t]*"
-
-
 # What a saved program may not contain.
-MAIN_GUARD = r"""(?m)^if __name__ == ['"]__main__['"]\s*:[ \t]*(?:#.*)?\n"""
+MAIN_GUARD = r"""(?md)^if __name__ == ['"]__main__['"]\s*:[ \t]*(?:#.*)?\n"""
 ARGV_USE = r"\bsys\.argv\b"
 
 
-def dedent(text: Column) -> Column:
-    """Remove the indent that all non-blank lines share; blank lines become empty."""
-    lines = F.split(F.regexp_replace(text, r"(?m)^[ \t]+$", ""), "\n", -1)
-    solid = F.filter(lines, lambda line: line != "")
-    indents = F.transform(solid, lambda line: F.regexp_substr(line, F.lit(_INDENT)))
-    low, high = F.array_min(indents), F.array_max(indents)
-    # The common prefix of a set of strings is that of its smallest and largest member.
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _common_prefix(low: Column, high: Column) -> Column:
     same = F.filter(
         F.sequence(F.lit(0), F.length(low)),
         lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n),
     )
-    margin = F.coalesce(F.array_max(same), F.lit(0))
-    return F.array_join(
-        F.transform(lines, lambda line: F.when(line == "", line).otherwise(
-            F.substring(line, margin + 1, F.length(line)))),
-        "\n",
-    )
+    return F.substring(low, F.lit(1), F.array_max(same))
+
+
+def dedent(text: Column) -> Column:
+    """Remove the indent that all non-blank lines share; blank lines become empty."""
+    clean = F.regexp_replace(text, r"(?md)^[ \t]+$", "")
+    indents = F.regexp_extract_all(clean, F.lit(r"(?md)^[ \t]*(?=[^ \t\n])"), F.lit(0))
+    # The common prefix of a set of strings is that of its smallest and largest member.
+    ends = _bind(indents, lambda i: F.struct(F.array_min(i).alias("low"), F.array_max(i).alias("high")))
+    margin = _bind(ends, lambda e: _common_prefix(e["low"], e["high"]))
+    return F.regexp_replace(clean, F.concat(F.lit("(?md)^"), F.coalesce(margin, F.lit(""))), F.lit(""))
 
 
 def drop_main_guard(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("net_queries", "host_queries")
+FAMILIES = ("net_queries", "host_queries", "run_queries")
 
 
 def load():

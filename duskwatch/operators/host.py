@@ -248,7 +248,8 @@ def runtimes(proc: DataFrame, rules=RUNTIME_RULES) -> DataFrame:
                  F.regexp_extract("cmdline", pattern, 1).alias("app"))
         for name, pattern in rules])
     hits = F.filter(found, lambda s: s["app"] != "")
-    return proc.select("host", F.explode(hits).alias("h")).groupBy("h.runtime", "h.app").agg(
+    apps = proc.select("host", F.explode_outer(hits).alias("h")).where("h is not null")
+    return apps.groupBy("h.runtime", "h.app").agg(
         F.count(F.lit(1)).alias("processes"), F.count_distinct("host").alias("hosts"))
 
 

@@ -11,9 +11,9 @@ from duskwatch.operators import ordered
 # Modules and calls that a saved program cannot use where it is run.
 LINT_RULES = (
     ("argv", T.ARGV_USE),
-    ("collections", r"(?m)^\s*(import|from)\s+collections\b"),
-    ("ipaddress", r"(?m)^\s*(import\s+([\w.]+\s*,\s*)*|from\s+)ipaddress\b"),
-    ("socket", r"(?m)^\s*(import\s+([\w.]+\s*,\s*)*|from\s+)socket\b"),
+    ("collections", r"(?md)^[ \t]*(import|from)[ \t]+collections\b"),
+    ("ipaddress", r"(?md)^[ \t]*(import[ \t]+([\w.]+[ \t]*,[ \t]*)*|from[ \t]+)ipaddress\b"),
+    ("socket", r"(?md)^[ \t]*(import[ \t]+([\w.]+[ \t]*,[ \t]*)*|from[ \t]+)socket\b"),
     ("exec_eval", r"\b(exec|eval)\("),
     ("os_path", r"\bos\.(path|listdir|walk)\b"),
     ("str_format", r"""["']\.format\("""),
@@ -41,8 +41,9 @@ def lint(df: DataFrame) -> DataFrame:
 
 def lint_counts(df: DataFrame, by: list[str]) -> DataFrame:
     """Programs that break each rule."""
-    return lint(df).select(*by, F.explode("rules").alias("rule")).groupBy(*by, "rule").agg(
-        F.count(F.lit(1)).alias("programs"))
+    # The outer form keeps the optimizer from testing the rules a second time in a filter.
+    hits = lint(df).select(*by, F.explode_outer("rules").alias("rule")).where("rule is not null")
+    return hits.groupBy(*by, "rule").agg(F.count(F.lit(1)).alias("programs"))
 
 
 def lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 import importlib
 
-FAMILIES = ("net_queries", "host_queries", "run_queries")
+FAMILIES = ("net_queries", "host_queries", "run_queries", "source_queries", "stream_queries",
+            "custom_queries")
 
 
 def load():

@@ -256,7 +256,7 @@ def _only(event_type: str, *fields):
     return F.when(F.col("event_type") == event_type, F.struct(*fields))
 
 
-def net(spark: SparkSession, sf_dir: str) -> DataFrame:
+def net(spark: SparkSession, sf_dir: str, keep: tuple = ()) -> DataFrame:
     """Network events as the reader gives them: one nested record per event type."""
     v = flat(spark, sf_dir, "net")
     ts = _micros("us")
@@ -264,6 +264,7 @@ def net(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.date_format(ts, iso)
     start = F.date_format(F.timestamp_micros(F.col("us") - F.col("age") * 1000000), iso)
     return v.select(
+        *keep,
         ts.alias("event_ts"),
         "flow_id",
         "event_type",

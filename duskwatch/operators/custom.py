@@ -63,21 +63,19 @@ def apply_group(
 
 
 def custom_agg(
-    df: DataFrame, keys: list[str], partial: Callable[[pd.DataFrame], dict],
+    df: DataFrame, keys: list[str], sums: list[str], partial: Callable[[pd.DataFrame], dict],
     finish: Callable[[dict], float], name: str,
 ) -> DataFrame:
     """A user aggregate whose partial results are sums: ``finish`` makes the value from them.
 
-    Use the built-in aggregates where they do; they stay in the engine.
+    ``partial`` gives the numbers named in ``sums`` for some rows of a group. Use the built-in
+    aggregates where they do; they stay in the engine.
     """
-    width = df.limit(0).toPandas()
-    sums = list(partial(width))
-    state = ", ".join(f"`{s}` double" for s in sums)
     return apply_group(
         df, keys,
-        lambda rows: pd.DataFrame([{s: float(v) for s, v in partial(rows).items()}]),
+        lambda rows: pd.DataFrame([{s: float(partial(rows)[s]) for s in sums}]),
         lambda rows: rows[sums].sum().to_frame().T,
-        state,
+        ", ".join(f"`{s}` double" for s in sums),
         lambda rows: pd.DataFrame({name: [finish(rows.iloc[0].to_dict())]}),
         f"`{name}` double",
     )

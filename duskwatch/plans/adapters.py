@@ -134,7 +134,7 @@ SYSTEM = {
 
 RUN = {
     "task_id": "'task-' || cast(user_id as string)",
-    "run_id": "md5('run-' || cast(user_id as string) || '-' || cast(cast(floor({us:ts} / 432000000000.0) as bigint) as string))",
+    "run_id": "md5('run-' || cast(user_id as string) || '-' || cast(cast(floor({us:ts} / 864000000000.0) as bigint) as string))",
     "us": "{us:ts}",
     "seq": "event_id",
     "event": """case event_type

@@ -61,7 +61,7 @@ def custom_groups(spark, sf):
 def custom_agg(spark, sf):
     """Geometric mean of a host's transfer sizes."""
     out = custom.custom_agg(
-        _flows(spark, sf), ["src_ip"],
+        _flows(spark, sf), ["src_ip"], ["n", "logs"],
         lambda rows: {"n": len(rows), "logs": np.log1p(rows["sent"].astype("float64")).sum()},
         lambda s: float(np.exp(s["logs"] / s["n"])), "typical")
     return out.withColumn("typical", F.round("typical", 3))

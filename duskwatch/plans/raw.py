@@ -26,9 +26,16 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
 
 
 def _text(df: DataFrame, path: str) -> None:
+    """Few large logs: partitions by size, a large log split over tasks."""
     df.hint("rebalance", "log").write.partitionBy("log").text(path)
 
 
+def _small_files(df: DataFrame, path: str, *spread) -> None:
+    """Many small files: written by all cores at once."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    df.repartition(tasks, "log", *spread).select("value", "log").write.partitionBy("log").text(path)
+
+
 def net_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON text with their number and time."""
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx"
@@ -128,10 +135,11 @@ def audit(spark: SparkSession, sf_dir: str) -> str:
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("ts"), "event",
             *["tool_call_id", "tool_name", "model", "content", "code", "status", "error_type",
               "error", "reason", "delay_seconds", "overflow_bytes", "max_turns"])
-        _text(rows.select(
-            F.to_json(body).alias("value"),
-            F.concat(F.lit("runner-"), "task_id", F.lit("-"), "run_id", F.lit(".jsonl")).alias("log")),
-            path)
+        name = F.concat(F.lit("runner-"), "task_id", F.lit("-"), "run_id", F.lit(".jsonl"))
+        # A long run is spread over tasks by month.
+        month = F.date_trunc("month", "ts").alias("month")
+        _small_files(rows.select(F.to_json(body).alias("value"), name.alias("log"), month),
+                     path, "month")
 
     return _once(spark, sf_dir, "audit", write)
 
@@ -142,7 +150,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> str:
     def write(path):
         docs = adapters.report(spark, sf_dir)
         name = F.concat(F.lit("analyst_log-"), F.date_format("stamp", "yy-MM-dd_HH-mm-ss"), F.lit(".md"))
-        _text(docs.select(F.col("text").alias("value"), name.alias("log")), path)
+        _small_files(docs.select(F.col("text").alias("value"), name.alias("log")), path)
 
     return _once(spark, sf_dir, "corpus", write)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def bounded(
     try:
         stored = lines(large, key, text).withColumnRenamed(key, "handle")
         stored.sortWithinPartitions("handle", "line_no").write.mode("append").parquet(path)
-    except PySparkException:
+    except (PySparkException, Py4JError):
         return previews(df, key, text, over, fallback).withColumn("stored", F.lit(False))
     return previews(df, key, text, over, shown)
 

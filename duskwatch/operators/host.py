@@ -161,7 +161,8 @@ def lineage(
     separate trees. Each round is written to the shared folder.
     """
     keys = list(within)
-    base = edges.select(*keys, F.col(node).alias("node"), F.col(parent).alias("up"))
+    base = materialize(
+        edges.select(*keys, F.col(node).alias("node"), F.col(parent).alias("up")), "edges")
     known = base.select(*keys, F.col("node").alias("up"), F.lit(True).alias("known"))
     state = base.join(known, [*keys, "up"], "left").select(
         *keys, "node",

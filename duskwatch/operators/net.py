@@ -304,16 +304,20 @@ def one_way(df: DataFrame) -> DataFrame:
     return pairs.where((F.col("down") == 0) & (F.col("up") > 0))
 
 
-def inter_arrival(df: DataFrame, keys: list[str] = TUPLE, bucket_seconds: int = 3600) -> DataFrame:
+def inter_arrival(
+    df: DataFrame, keys: list[str] = TUPLE, hot_rows: int = ordered.HOT_ROWS
+) -> DataFrame:
     """Each event with the seconds since the previous one of its key."""
     out = ordered.neighbours(
-        df, keys, ["event_ts", "flow_id"], ordered.time_bucket("event_ts", bucket_seconds),
-        prev={"prev_ts": "event_ts"})
+        df, keys, ["event_ts", "flow_id"], ordered.time_bucket("event_ts"),
+        prev={"prev_ts": "event_ts"}, hot_rows=hot_rows)
     return out.withColumn(
         "gap_s", (F.unix_micros("event_ts") - F.unix_micros("prev_ts")) / F.lit(1e6))
 
 
-def beacons(df: DataFrame, min_gaps: int = 5, bucket_seconds: int = 3600) -> DataFrame:
+def beacons(
+    df: DataFrame, min_gaps: int = 5, hot_rows: int = ordered.HOT_ROWS
+) -> DataFrame:
     """Flow tuples by regular timing and constant size: 1 is a perfect beacon.
 
     score = 1 - min(1, (cv(gap) + cv(bytes)) / 2), where cv is deviation over mean; null when
@@ -321,7 +325,7 @@ def beacons(df: DataFrame, min_gaps: int = 5, bucket_seconds: int = 3600) -> Dat
     """
     flows = of_type(df, "flow").select(
         *TUPLE, "event_ts", "flow_id", F.col("flow.bytes_toserver").alias("sent"))
-    gaps = inter_arrival(flows, bucket_seconds=bucket_seconds)
+    gaps = inter_arrival(flows, hot_rows=hot_rows)
     per = gaps.groupBy(*TUPLE).agg(
         F.count("gap_s").alias("gaps"),
         F.avg("gap_s").alias("mean_gap"),

@@ -1,9 +1,10 @@
 """Order-dependent work inside a key that stays spread out when one key holds most rows.
 
-A plain window sends a whole key to one task. Here a key is cut into buckets along its order
-(a time slice, or a slice of numbers), the window runs per key and bucket, and what crosses a
-bucket edge comes from a small table with one row per key and bucket. That row is added to the
-bucket as an extra line, so that the data itself is shuffled once and never joined back.
+A plain window sends a whole key to one task. Here the few keys that hold a large share of the
+rows are cut into buckets along their order (a time slice, or a slice of numbers), the window
+runs per key and bucket, and what crosses a bucket edge comes from a small table with one row per
+hot key and bucket. That row is added to the bucket as an extra line, so that the data itself is
+shuffled once and never joined back. All other keys take the plain window.
 
 ``order`` must order the rows of a key totally, and ``bucket`` must not decrease along it.
 """
@@ -15,21 +16,43 @@ from pyspark.sql import functions as F
 
 _BEFORE, _ROW, _AFTER = 0, 1, 2
 
+# A key is hot when it has more than HOT_ROWS rows and more than 1 / HOT_PARTS of all rows.
+HOT_ROWS = 1_000_000
+HOT_PARTS = 10_000
 
-def time_bucket(ts: str | Column, seconds: int = 3600) -> Column:
+
+def time_bucket(ts: str | Column, seconds: int = 600) -> Column:
     """Number of the time slice a timestamp falls into."""
     column = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_seconds(column.cast("timestamp")) / seconds)
 
 
-def _bucketed(df: DataFrame, bucket: Column, value: Column) -> DataFrame:
-    return df.withColumns({"_bucket": bucket, "_value": value, "_place": F.lit(_ROW)})
-
-
 def _struct(columns: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns])
 
 
+def _cut(df: DataFrame, keys: list[str], bucket: Column, hot_rows: int) -> DataFrame:
+    """Rows with ``_bucket``: that of the order for hot keys, null for all others.
+
+    Fewer than HOT_PARTS keys can be hot, whatever the size of the data, so their list is safe
+    to broadcast. The count reads only the key columns and folds before its shuffle.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    share = counts.agg((F.sum("_n") / HOT_PARTS).alias("s")).scalar()
+    hot = counts.where((F.col("_n") > hot_rows) & (F.col("_n") > share))
+    hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(hot[f"_hot_{k}"])
+    # A missing order value sorts first, and so does its bucket.
+    number = F.coalesce(bucket.cast("bigint"), F.lit(-(1 << 62)))
+    return (
+        df.join(F.broadcast(hot), same, "left")
+        .withColumn("_bucket", F.when(F.col("_hot"), number))
+        .drop("_hot", *[f"_hot_{k}" for k in keys])
+    )
+
+
 def neighbours(
     df: DataFrame,
     keys: list[str],
@@ -37,6 +60,7 @@ def neighbours(
     bucket: Column,
     prev: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add values of the previous and the following row of the same key.
 
@@ -44,25 +68,26 @@ def neighbours(
     """
     prev, following = prev or {}, following or {}
     taken = sorted({*prev.values(), *following.values()})
-    rows = _bucketed(df, bucket, _struct(taken))
+    rows = _cut(df, keys, bucket, hot_rows).withColumns(
+        {"_value": _struct(taken), "_place": F.lit(_ROW)})
 
     per_key = Window.partitionBy(*keys).orderBy("_bucket")
-    ends = rows.groupBy(*keys, "_bucket").agg(
+    ends = rows.where("_bucket is not null").groupBy(*keys, "_bucket").agg(
         F.min_by("_value", _struct(order)).alias("_first"),
         F.max_by("_value", _struct(order)).alias("_last"),
     )
     ends = ends.withColumns(
         {"_first": F.lead("_first").over(per_key), "_last": F.lag("_last").over(per_key)}
     )
-    extra = []
-    if prev:
-        extra.append(ends.where("_last is not null").select(
-            *keys, "_bucket", F.lit(_BEFORE).alias("_place"), F.col("_last").alias("_value")))
-    if following:
-        extra.append(ends.where("_first is not null").select(
-            *keys, "_bucket", F.lit(_AFTER).alias("_place"), F.col("_first").alias("_value")))
-    for part in extra:
-        rows = rows.unionByName(part, allowMissingColumns=True)
+    edges = F.filter(
+        F.array(
+            F.struct(F.lit(_BEFORE).alias("_place"), F.col("_last").alias("_value")),
+            F.struct(F.lit(_AFTER).alias("_place"), F.col("_first").alias("_value")),
+        ),
+        lambda e: e["_value"].isNotNull(),
+    )
+    extra = ends.select(*keys, "_bucket", F.inline(edges))
+    rows = rows.unionByName(extra, allowMissingColumns=True)
 
     here = Window.partitionBy(*keys, "_bucket").orderBy("_place", *order)
     if prev:
@@ -77,16 +102,17 @@ def neighbours(
 
 
 def numbered(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Number the rows of each key from 1 along the order."""
-    rows = df.withColumns(
-        {"_bucket": bucket, "_place": F.lit(_ROW), "_step": F.lit(1).cast("bigint")}
-    )
+    rows = _cut(df, keys, bucket, hot_rows).withColumns(
+        {"_place": F.lit(_ROW), "_step": F.lit(1).cast("bigint")})
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_step"))
+        rows.where("_bucket is not null")
+        .groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_step"))
         .withColumn("_step", F.sum("_step").over(before))
         .where("_step is not null")
         .withColumn("_place", F.lit(_BEFORE))
@@ -102,14 +128,17 @@ def numbered(
 
 
 def carry_forward(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The latest non-null ``value`` of the key up to and including each row."""
-    rows = _bucketed(df, bucket, value)
+    rows = _cut(df, keys, bucket, hot_rows).withColumns(
+        {"_value": value, "_place": F.lit(_ROW)})
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     carried = (
-        rows.groupBy(*keys, "_bucket")
+        rows.where("_bucket is not null")
+        .groupBy(*keys, "_bucket")
         .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), _struct(order)))
              .alias("_value"))
         .withColumn("_value", F.last("_value", ignorenulls=True).over(before))
@@ -134,7 +163,8 @@ def asof(
     right_ts: str,
     right_order: list[str],
     name: str,
-    bucket_seconds: int = 30 * 86400,
+    bucket_seconds: int = 600,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left rows with the latest right row of the same key at or before their time, as a struct.
 
@@ -154,7 +184,7 @@ def asof(
     line = l.unionByName(r, allowMissingColumns=True)
     line = carry_forward(
         line, keys, ["_t", "_side", *ties], time_bucket("_t", bucket_seconds),
-        F.col("_right"), name,
+        F.col("_right"), name, hot_rows,
     )
     return line.where("_side = 1").select("_left.*", name)
 

@@ -26,10 +26,6 @@ def is_event(*kinds: str) -> Column:
     return F.col("event").isin(*kinds)
 
 
-def _bucket(seconds: int) -> Column:
-    return ordered.time_bucket("ts", seconds)
-
-
 # --- calls and their results ---------------------------------------------------------------------
 
 def pair_calls(audit: DataFrame) -> DataFrame:
@@ -197,10 +193,10 @@ def retries(audit: DataFrame) -> DataFrame:
 
 # --- order inside a run ------------------------------------------------------------------------------
 
-def stalls(audit: DataFrame, min_s: float, bucket_seconds: int = 86400) -> DataFrame:
+def stalls(audit: DataFrame, min_s: float) -> DataFrame:
     """Silences inside a run longer than ``min_s``, with the events before and after."""
     rows = audit.select("run_id", *ORDER, "event")
-    out = ordered.neighbours(rows, ["run_id"], ORDER, _bucket(bucket_seconds),
+    out = ordered.neighbours(rows, ["run_id"], ORDER, ordered.time_bucket("ts"),
                              prev={"before_ts": "ts", "before_event": "event"})
     gap = (F.unix_micros("ts") - F.unix_micros("before_ts")) / F.lit(1e6)
     return out.withColumn("silent_s", gap).where(F.col("silent_s") > min_s)
@@ -217,11 +213,11 @@ def latest_turn(df: DataFrame, run: str = "run_id", order: str = "turn") -> Data
     return latest(df, [run], [order])
 
 
-def overruns(audit: DataFrame, budget_s: float, bucket_seconds: int = 86400) -> DataFrame:
+def overruns(audit: DataFrame, budget_s: float) -> DataFrame:
     """Turns, from prompt to the next prompt or end, that took longer than their budget."""
     marks = audit.where(is_event("prompt", "run_end", "interrupted")).select(
         "run_id", *ORDER, "event")
-    out = ordered.neighbours(marks, ["run_id"], ORDER, _bucket(bucket_seconds),
+    out = ordered.neighbours(marks, ["run_id"], ORDER, ordered.time_bucket("ts"),
                              following={"end_ts": "ts", "end_event": "event"})
     took = (F.unix_micros("end_ts") - F.unix_micros("ts")) / F.lit(1e6)
     return out.where(is_event("prompt")).withColumn("took_s", took).where(
@@ -236,12 +232,12 @@ def budget_use(runs: DataFrame, near: float = 0.8) -> DataFrame:
         {"used": F.round(used, 6), "level": level})
 
 
-def extract_programs(audit: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def extract_programs(audit: DataFrame) -> DataFrame:
     """One numbered program per sandbox call with code, named by the stamp of its run."""
     stamp = audit.groupBy("run_id").agg(V.run_stamp(F.min("ts")).alias("stamp"))
     code = audit.where(is_event("run_code_call") & (F.col("code") != "")).select(
         "run_id", *ORDER, "code")
-    out = ordered.numbered(code, ["run_id"], ORDER, _bucket(bucket_seconds), "number")
+    out = ordered.numbered(code, ["run_id"], ORDER, ordered.time_bucket("ts"), "number")
     padded = F.when(F.col("number") < 10, F.concat(F.lit("0"), F.col("number").cast("string"))
                     ).otherwise(F.col("number").cast("string"))
     return out.join(stamp, "run_id").withColumn(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import text as T
 from duskwatch.operators import ordered
+from duskwatch.session import materialize
 
 # Modules and calls that a saved program cannot use where it is run.
 LINT_RULES = (
@@ -64,8 +65,12 @@ def normal_text(text: Column) -> Column:
 
 
 def reuse(programs: DataFrame) -> DataFrame:
-    """Programs whose text, apart from comments and spacing, was seen at an earlier time."""
+    """Programs whose text, apart from comments and spacing, was seen at an earlier time.
+
+    The texts are read once; their hashes are stored and meet without them.
+    """
     hashed = programs.withColumn("text_key", F.sha2(normal_text(F.col("text")), 256)).drop("text")
+    hashed = materialize(hashed, "hashes")
     first = hashed.groupBy("text_key").agg(
         F.min("stamp").alias("first_seen"), F.count(F.lit(1)).alias("copies"))
     return hashed.join(first, "text_key").where(F.col("first_seen") < F.col("stamp"))

@@ -10,7 +10,7 @@ from duskwatch.operators import runs, texts
 from duskwatch.plans import adapters
 from duskwatch.plans.adapters import oracle_cte
 from duskwatch.plans.registry import query, us
-from duskwatch.session import scratch
+from duskwatch.session import materialize, scratch
 from duskwatch.sinks import results
 
 R = oracle_cte("run")
@@ -365,7 +365,7 @@ def report_table(spark, sf):
         (F.col("run_id") % 2 == 0).alias("interactive"), F.lit("start").alias("initial_prompt"))
     messages = spark.sql(MESSAGES.replace("from turn", "from {t}"), t=turn)
     parts = texts.report_parts(run_rows, turn_rows, messages)
-    return texts.render_reports(parts).withColumn("text", F.md5("text"))
+    return texts.render_reports(materialize(parts, "parts")).withColumn("text", F.md5("text"))
 
 
 @query("script_reuse", G + """, n as (select doc_id, task_id, stamp_us, trim(regexp_replace(

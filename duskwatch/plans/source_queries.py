@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duskwatch.functions import values as V
-from duskwatch.operators import common, net, runs
+from duskwatch.operators import common, host, net, runs
 from duskwatch.plans import adapters, raw
 from duskwatch.plans.adapters import oracle_cte
 from duskwatch.plans.registry import query, us
-from duskwatch.session import scratch
+from duskwatch.session import materialize, scratch
 from duskwatch.sinks import tables
 from duskwatch.sources import audit, catalogue, corpus, eve, lines, osquery
 
@@ -261,3 +261,24 @@ def audit_append(spark, sf):
     stored = spark.read.parquet(path)
     return stored.groupBy(F.col("day").cast("string").alias("day"), "event").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@query("process_tree_from_log", oracle_cte("process") + """, holder as (select host, pid, start_us, max(seq) as seq
+    from process group by 1, 2, 3),
+    linked as (select c.host, c.pid, c.start_us, c.seq, h.seq as up from process c asof left join holder h
+        on c.host = h.host and h.pid = case when c.parent <> c.pid then c.parent end
+        and c.start_us >= h.start_us),
+    walk as (with recursive w as (select host, seq, pid, start_us, 0 as depth from linked where up is null
+        union all select l.host, l.seq, l.pid, l.start_us, w.depth + 1
+        from linked l join w on l.host = w.host and l.up = w.seq) select * from w)
+    select host, pid, start_us // 1000000 as start_s, cast(depth as bigint) as depth, count(*) as n
+    from walk group by 1, 2, 3, 4""")
+def process_tree_from_log(spark, sf):
+    """The process tree from the host log's lines: parse, resolve parents by time, climb."""
+    log = osquery.read_osquery(spark, raw.osquery(spark, sf))
+    # The log is parsed once; all later steps read the typed table.
+    proc = materialize(osquery.typed(log, "all_processes"), "processes")
+    tree = host.lineage_asof(proc)
+    return proc.select("host", "seq", "pid", F.unix_seconds("start_time").alias("start_s")).join(
+        tree.select("host", "seq", "depth"), ["host", "seq"]).groupBy(
+        "host", "pid", "start_s", "depth").agg(F.count(F.lit(1)).alias("n"))

@@ -24,31 +24,35 @@ def w():
     return Window.partitionBy("k").orderBy("ts", "id")
 
 
-@pytest.mark.parametrize("seconds", [10, 3600, 10**7])
-def test_neighbours(skewed, rows, seconds):
+@pytest.mark.parametrize("hot", [0, 500, 10**6])
+@pytest.mark.parametrize("seconds", [10, 10**5])
+def test_neighbours(skewed, rows, seconds, hot):
     got = ordered.neighbours(skewed, ["k"], ["ts", "id"], ordered.time_bucket("ts", seconds),
-                             prev={"p": "v", "pt": "t"}, following={"n": "t"})
+                             prev={"p": "v", "pt": "t"}, following={"n": "t"}, hot_rows=hot)
     want = skewed.withColumns({"p": F.lag("v").over(w()), "pt": F.lag("t").over(w()), "n": F.lead("t").over(w())})
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("seconds", [10, 3600, 10**7])
-def test_numbered(skewed, rows, seconds):
-    got = ordered.numbered(skewed, ["k"], ["ts", "id"], ordered.time_bucket("ts", seconds), "n")
+@pytest.mark.parametrize("hot", [0, 500, 10**6])
+@pytest.mark.parametrize("seconds", [10, 10**5])
+def test_numbered(skewed, rows, seconds, hot):
+    got = ordered.numbered(skewed, ["k"], ["ts", "id"], ordered.time_bucket("ts", seconds), "n", hot)
     assert rows(got) == rows(skewed.withColumn("n", F.row_number().over(w())))
 
 
-@pytest.mark.parametrize("seconds", [10, 3600, 10**7])
-def test_carry_forward(skewed, rows, seconds):
-    got = ordered.carry_forward(skewed, ["k"], ["ts", "id"], ordered.time_bucket("ts", seconds), F.col("v"), "last")
+@pytest.mark.parametrize("hot", [0, 500, 10**6])
+@pytest.mark.parametrize("seconds", [10, 10**5])
+def test_carry_forward(skewed, rows, seconds, hot):
+    got = ordered.carry_forward(skewed, ["k"], ["ts", "id"], ordered.time_bucket("ts", seconds), F.col("v"), "last", hot)
     want = skewed.withColumn("last", F.last("v", ignorenulls=True).over(w().rowsBetween(Window.unboundedPreceding, 0)))
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("hot", [0, 500, 10**6])
 @pytest.mark.parametrize("seconds", [50, 10**7])
-def test_asof(spark, skewed, rows, seconds):
+def test_asof(spark, skewed, rows, seconds, hot):
     left, right = skewed.where("id % 3 = 0 and k is not null"), skewed.where("id % 3 <> 0 and k is not null")
-    got = ordered.asof(left, right, ["k"], "ts", "ts", ["id"], "r", bucket_seconds=seconds)
+    got = ordered.asof(left, right, ["k"], "ts", "ts", ["id"], "r", bucket_seconds=seconds, hot_rows=hot)
     pairs = left.alias("l").join(right.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("r.ts") <= F.col("l.ts")), "left")
     want = pairs.groupBy("l.id").agg(F.max(F.struct("r.ts", "r.id"))["id"].alias("rid"))
     assert rows(got.select("id", "r.id")) == rows(want)
@@ -67,7 +71,7 @@ def test_global_rank(spark, rows, slices):
 
 
 def test_plain_windows_over_a_hot_key_are_not_used(skewed):
-    out = ordered.neighbours(skewed, ["k"], ["ts", "id"], ordered.time_bucket("ts", 60), prev={"p": "v"})
+    out = ordered.neighbours(skewed, ["k"], ["ts", "id"], ordered.time_bucket("ts", 60), prev={"p": "v"}, hot_rows=500)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k" in plan and "_bucket" in plan.split("hashpartitioning(k")[1][:40]
 

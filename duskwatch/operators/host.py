@@ -173,21 +173,30 @@ def lineage(
         .otherwise(F.array("ptr")),
         "cyclic": F.lit(False),
     })
-    state = materialize(state, "lineage")
-    while state.where("ptr is not null").limit(1).count():
-        target = state.select(
+    active = materialize(state, "lineage")
+    done: list[DataFrame] = []
+    while active.where("ptr is not null").limit(1).count():
+        done.append(active.where("ptr is null"))
+        active = active.where("ptr is not null")
+        target = active
+        for part in done:
+            target = target.unionByName(part)
+        target = target.select(
             *keys, F.col("node").alias("ptr"), F.col("ptr").alias("next"),
             F.col("chain").alias("more"), F.col("cyclic").alias("bad"))
-        moved = state.where("ptr is not null").join(target, [*keys, "ptr"])
         chain = F.concat("chain", "more")
         looped = F.array_contains(chain, F.col("node"))
         stop = looped | F.col("bad")
-        moved = moved.select(
+        moved = active.join(target, [*keys, "ptr"]).select(
             *keys, "node",
             F.when(~stop, F.col("next")).alias("ptr"),
             F.when(stop, F.array_distinct(chain)).otherwise(chain).alias("chain"),
             stop.alias("cyclic"))
-        state = materialize(moved.unionByName(state.where("ptr is null")), "lineage")
+        # Only nodes that moved are written again.
+        active = materialize(moved, "lineage")
+    state = active
+    for part in done:
+        state = state.unionByName(part)
     depth = F.size("chain")
     return state.select(
         *keys, F.col("node").alias(node),

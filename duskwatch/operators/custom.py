@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+Frames = Callable[[pd.DataFrame], pd.DataFrame]
 
-def apply_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+
+def apply_rows(df: DataFrame, fn: Frames, schema: str) -> DataFrame:
     """User code over record batches; rows stay where they are."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -18,64 +20,55 @@ def apply_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.mapInPandas(batches, schema)
 
 
-def _per_key(frame: pd.DataFrame, keys: list[str], fn) -> pd.DataFrame:
-    parts = [
-        fn(group).assign(**dict(zip(keys, key)))
-        for key, group in frame.groupby(keys, dropna=False, sort=False)
-    ]
-    return pd.concat(parts, ignore_index=True)
-
-
 def apply_group(
-    df: DataFrame,
-    keys: list[str],
-    partial: Callable[[pd.DataFrame], pd.DataFrame],
-    merge: Callable[[pd.DataFrame], pd.DataFrame],
-    state: str,
-    finish: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str,
-    fold_every: int = 50,
+    df: DataFrame, keys: list[str], partial: Frames, merge: Frames, state: str, finish: Frames,
+    schema: str, fold_every: int = 50,
 ) -> DataFrame:
     """User code over one host, run or tuple, given as parts that add up.
 
-    ``partial`` turns some rows of a group into state rows, ``merge`` folds state rows of a
-    group, ``finish`` makes the result from a group's merged state. Rows are folded where they
-    are read, so a group that holds most of the data sends one state per task and is never
-    collected. ``state`` and ``schema`` name the columns besides the keys.
+    Each function gets and returns a frame with the key columns that may hold many groups:
+    ``partial`` turns records into state rows, ``merge`` folds the state rows of each group,
+    ``finish`` makes the results from folded state. Records are folded where they are read, so
+    a group that holds most of the data sends one state per task and is never collected.
+    ``state`` and ``schema`` name the columns besides the keys.
     """
     key_ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(frames: Iterator[pd.DataFrame], first: Frames, last: Frames) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for frame in frames:
             if len(frame):
-                held.append(_per_key(frame, keys, partial))
+                held.append(first(frame))
             if len(held) >= fold_every:
-                held = [_per_key(pd.concat(held, ignore_index=True), keys, merge)]
+                held = [merge(pd.concat(held, ignore_index=True))]
         if held:
-            yield _per_key(pd.concat(held, ignore_index=True), keys, merge)
+            yield last(merge(pd.concat(held, ignore_index=True)))
 
-    def last(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return finish(merge(frame)).assign(**dict(zip(keys, key)))
+    def same(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame
 
-    states = df.mapInPandas(fold, f"{key_ddl}, {state}")
-    return states.groupBy(*keys).applyInPandas(last, f"{key_ddl}, {schema}")
+    states = df.mapInPandas(lambda frames: fold(frames, partial, same), f"{key_ddl}, {state}")
+    return states.repartition(*keys).mapInPandas(
+        lambda frames: fold(frames, same, finish), f"{key_ddl}, {schema}")
 
 
 def custom_agg(
-    df: DataFrame, keys: list[str], sums: list[str], partial: Callable[[pd.DataFrame], dict],
-    finish: Callable[[dict], float], name: str,
+    df: DataFrame, keys: list[str], sums: dict[str, Callable[[pd.DataFrame], pd.Series]],
+    finish: Callable[[pd.DataFrame], pd.Series], name: str,
 ) -> DataFrame:
-    """A user aggregate whose partial results are sums: ``finish`` makes the value from them.
+    """A user aggregate over sums: ``sums`` gives a number per record under each name, and
+    ``finish`` makes the value of each group from the columns of their totals.
 
-    ``partial`` gives the numbers named in ``sums`` for some rows of a group. Use the built-in
-    aggregates where they do; they stay in the engine.
+    Use the built-in aggregates where they do; they stay in the engine.
     """
+    names = list(sums)
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.groupby(keys, dropna=False, sort=False)[names].sum().reset_index()
+
+    def partial(frame: pd.DataFrame) -> pd.DataFrame:
+        return total(frame[keys].assign(**{n: fn(frame).astype("float64") for n, fn in sums.items()}))
+
     return apply_group(
-        df, keys,
-        lambda rows: pd.DataFrame([{s: float(partial(rows)[s]) for s in sums}]),
-        lambda rows: rows[sums].sum().to_frame().T,
-        ", ".join(f"`{s}` double" for s in sums),
-        lambda rows: pd.DataFrame({name: [finish(rows.iloc[0].to_dict())]}),
-        f"`{name}` double",
-    )
+        df, keys, partial, total, ", ".join(f"`{n}` double" for n in names),
+        lambda frame: frame[keys].assign(**{name: finish(frame)}), f"`{name}` double")

@@ -23,7 +23,8 @@ NET = {
         when 'click' then 'tls' when 'error' then 'dns'
         else case event_id % 4 when 0 then 'http' when 1 then 'quic' when 2 then 'stats'
         else 'alert' end end""",
-    "src_ip": "'192.168.' || cast(user_id % 4 as string) || '.' || cast(user_id as string)",
+    "src_ip": """'192.168.' || cast(cast(floor(user_id / 250.0) as bigint) % 256 as string) || '.'
+        || cast(user_id % 250 as string)""",
     "src_port": "cast(40000 + event_id % 20000 as bigint)",
     "dest_ip": """case when event_id % 3 = 0 then '10.0.0.' || cast(event_id % 50 as string)
         when event_id % 11 = 0 then '224.0.0.251'

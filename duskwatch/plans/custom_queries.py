@@ -40,16 +40,19 @@ def custom_rows(spark, sf):
     select src_ip, cast(sum(n) as bigint) as flows, arg_max(digits, (n, -digits)) as digits from d group by 1""")
 def custom_groups(spark, sf):
     """Commonest number of digits in a host's transfer sizes."""
+    keys = ["src_ip", "digits"]
+
     def partial(rows):
-        n = rows["sent"].astype(str).str.len().value_counts()
-        return n.rename_axis("digits").reset_index(name="n")
+        return rows.assign(digits=rows["sent"].astype(str).str.len()).groupby(
+            keys, as_index=False).size().rename(columns={"size": "n"})
 
     def merge(state):
-        return state.groupby("digits", as_index=False)["n"].sum()
+        return state.groupby(keys, as_index=False)["n"].sum()
 
     def finish(state):
-        best = state.sort_values(["n", "digits"], ascending=[False, True]).head(1)
-        return best.assign(flows=state["n"].sum())[["flows", "digits"]]
+        state = state.assign(flows=state.groupby("src_ip")["n"].transform("sum"))
+        best = state.sort_values(["src_ip", "n", "digits"], ascending=[True, False, True])
+        return best.drop_duplicates("src_ip")[["src_ip", "flows", "digits"]]
 
     return custom.apply_group(
         _flows(spark, sf), ["src_ip"], partial, merge, "digits bigint, n bigint", finish,
@@ -60,8 +63,7 @@ def custom_groups(spark, sf):
     from net where event_type = 'flow' group by 1""")
 def custom_agg(spark, sf):
     """Geometric mean of a host's transfer sizes."""
+    sums = {"n": lambda rows: rows["sent"] * 0 + 1, "logs": lambda rows: np.log1p(rows["sent"])}
     out = custom.custom_agg(
-        _flows(spark, sf), ["src_ip"], ["n", "logs"],
-        lambda rows: {"n": len(rows), "logs": np.log1p(rows["sent"].astype("float64")).sum()},
-        lambda s: float(np.exp(s["logs"] / s["n"])), "typical")
+        _flows(spark, sf), ["src_ip"], sums, lambda s: np.exp(s["logs"] / s["n"]), "typical")
     return out.withColumn("typical", F.round("typical", 3))

@@ -131,9 +131,9 @@ def project_default(spark, sf):
 
 
 @query("exact_lookup", E + """select flow_id, us, event_type from net
-    where src_ip = '192.168.3.7' or dest_ip = '192.168.3.7'""")
+    where src_ip = '192.168.0.7' or dest_ip = '192.168.0.7'""")
 def exact_lookup(spark, sf):
-    return _ids(net.mentions(ev(spark, sf), "192.168.3.7"))
+    return _ids(net.mentions(ev(spark, sf), "192.168.0.7"))
 
 
 # --- joins -----------------------------------------------------------------------------------

@@ -10,6 +10,24 @@ from pyspark.sql import SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+def cluster_settings(input_bytes: int) -> dict[str, str]:
+    """Settings for a job over that much data, to be given to the session builder.
+
+    Shuffles start with one partition for each 128 MB of input, within bounds, and the engine
+    merges small ones and splits skewed ones at run time.
+    """
+    partitions = min(max(input_bytes // (128 << 20), 200), 100_000)
+    return {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+    }
+
+
 def utc(spark: SparkSession) -> SparkSession:
     """Event times are read and shown in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

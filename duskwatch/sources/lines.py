@@ -19,11 +19,20 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _named(reader.text(paths))
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same as a stream over a folder that gains files."""
+def stream_lines(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None,
+    bytes_per_trigger: str = "2g",
+) -> DataFrame:
+    """The same as a stream over a folder that gains files.
+
+    A micro-batch is bounded by files or, by default, by bytes, so that a backlog is worked off
+    in pieces and no key's share of a batch outgrows a task.
+    """
     reader = utc(spark).readStream.option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return _named(reader.text(path))
 
 

@@ -2,7 +2,7 @@
 
 Rows of a key come unordered within a micro-batch and are ordered by time there; between batches
 files must arrive in order of time, as logs that grow do. What one task holds is the share of a
-key in one micro-batch, so bound that with ``files_per_trigger`` on the source.
+key in one micro-batch, which the source bounds by bytes or by files per trigger.
 """
 
 from __future__ import annotations

@@ -389,23 +389,29 @@ def field_profile(lines: DataFrame, raw: str = "_raw") -> DataFrame:
     return profile_variant(parsed, "event_type", "v")
 
 
+_OBJECT = "schema_of_variant({v}) like 'OBJECT%'"
+
+
 def profile_variant(df: DataFrame, key: str, variant: str) -> DataFrame:
-    """Presence and type of each field of a variant object, one level of nesting deep."""
+    """Presence and type of each field of a variant object, one level of nesting deep; one pass."""
     totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("records"))
     view = df.select(F.col(key).alias("k"), F.col(variant).alias("v"))
-    spark = df.sparkSession
-    level1 = spark.sql(
-        "select d.k, e.key as path, e.value as value from {d} d, lateral variant_explode(d.v) e",
-        d=view)
-    level2 = spark.sql(
-        "select k, concat(d.path, '.', e.key) as path, e.value as value "
-        "from {d} d, lateral variant_explode(d.value) e "
-        "where schema_of_variant(d.value) like 'OBJECT%' "
-        "and e.key is not null", d=level1)
-    leaves = level1.unionByName(level2)
-    kind = F.regexp_extract(F.schema_of_variant("value"), r"^[A-Z]+", 0)
-    found = leaves.where("path is not null").groupBy(
-        F.col("k").alias(key), "path", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    fields = df.sparkSession.sql(
+        "select d.k, a.key as key, a.value as value, b.pos as pos, b.key as inner_key, "
+        "b.value as inner_value from {d} d, lateral variant_explode(d.v) a, "
+        f"lateral variant_explode_outer(case when {_OBJECT.format(v='a.value')} then a.value end) b "
+        "where a.key is not null", d=view)
+    outer = F.struct(F.col("key").alias("path"), F.col("value").alias("value"))
+    inner = F.struct(F.concat("key", F.lit("."), "inner_key").alias("path"),
+                     F.col("inner_value").alias("value"))
+    # A field with inner fields comes once per inner field; it is told with the first of them.
+    told = F.array(F.when(F.coalesce("pos", F.lit(0)) == 0, outer),
+                   F.when(F.col("inner_key").isNotNull(), inner))
+    leaves = fields.select("k", F.explode(told).alias("f")).where("f is not null")
+    kind = F.regexp_extract(F.schema_of_variant("f.value"), r"^[A-Z]+", 0)
+    found = leaves.groupBy(
+        F.col("k").alias(key), F.col("f.path").alias("path"), kind.alias("type")).agg(
+        F.count(F.lit(1)).alias("n"))
     return found.join(totals, key).select(
         key, "path", "type", "n",
         F.round(F.col("n").cast("double") / F.col("records"), 6).alias("presence"))
@@ -414,21 +420,16 @@ def profile_variant(df: DataFrame, key: str, variant: str) -> DataFrame:
 def stats_rollup(df: DataFrame) -> DataFrame:
     """Smallest, largest and mean value of every numeric leaf of the sensor telemetry.
 
-    ``stats`` is a variant; leaves up to three levels down are read.
+    ``stats`` is a variant; leaves up to three levels down are read, in one pass.
     """
-    spark = df.sparkSession
-    level = of_type(df, "stats").select(F.lit("").alias("path"), F.col("stats").alias("value"))
-    parts = []
-    for depth in range(3):
-        level = spark.sql(
-            "select concat(d.path, case when d.path = '' then '' else '.' end, e.key) as path, "
-            "e.value as value from {d} d, lateral variant_explode(d.value) e "
-            "where e.key is not null", d=level)
-        parts.append(level.select("path", F.try_variant_get("value", "$", "double").alias("x")))
-        level = level.where("schema_of_variant(value) like 'OBJECT%'")
-    leaves = parts[0]
-    for part in parts[1:]:
-        leaves = leaves.unionByName(part)
+    view = of_type(df, "stats").select("stats")
+    leaves = df.sparkSession.sql(
+        "select concat_ws('.', a.key, b.key, c.key) as path, try_variant_get("
+        "coalesce(c.value, b.value, a.value), '$', 'double') as x "
+        "from {d} d, lateral variant_explode(d.stats) a, "
+        f"lateral variant_explode_outer(case when {_OBJECT.format(v='a.value')} then a.value end) b, "
+        f"lateral variant_explode_outer(case when {_OBJECT.format(v='b.value')} then b.value end) c "
+        "where a.key is not null", d=view)
     return leaves.where("x is not null").groupBy("path").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"),
         F.round(F.avg("x"), 6).alias("mean"))

@@ -526,6 +526,15 @@ def ipv4_num(spark, sf):
         A.in_cidr(F.col("dest_ip"), "203.0.113.0/24").alias("in_range"), "n")
 
 
+@query("in_cidr", E + """select dest_ip like '10.%' as inside, dest_ip like '224.0.0.%' as local_multicast,
+    count(*) as n from net group by 1, 2""")
+def in_cidr(spark, sf):
+    dest = F.col("dest_ip")
+    return ev(spark, sf).groupBy(
+        A.in_cidr(dest, "10.0.0.0/8").alias("inside"),
+        A.in_cidr(dest, "224.0.0.0/24").alias("local_multicast")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("run_stamp", E + """select us, strftime(event_ts, '%y-%m-%d_%H-%M-%S') as stamp,
     us // 1000000 as back_s from net""")
 def run_stamp(spark, sf):

@@ -120,14 +120,14 @@ def sockets_asof(net: DataFrame, proc: DataFrame, seen: str = "seen_ts") -> Data
         F.col("owner.start_time").alias("start_time"), F.col("owner.seq").alias("process_seq"))
 
 
-def with_parent(proc: DataFrame) -> DataFrame:
-    """Each process with the process that held its parent's pid when it started.
+def with_parent(proc: DataFrame, held: tuple = ("name", "path", "cmdline")) -> DataFrame:
+    """Each process with the process that held its parent's pid when it started, as ``holder``.
 
-    A process that names itself as parent has none.
+    A process that names itself as parent has none. ``held`` names what to keep of the holder.
     """
     child = proc.withColumnsRenamed({"pid": "_pid"}).withColumn(
         "pid", F.when(F.col("parent") != F.col("_pid"), F.col("parent")))
-    holders = proc.select(*PROCESS_KEY, *PROCESS_ORDER, "name", "path", "cmdline")
+    holders = proc.select(*PROCESS_KEY, *PROCESS_ORDER, *held)
     orphan = child.where("pid is null").withColumn("holder", F.lit(None).cast(
         holders.select(F.struct(*holders.columns).alias("s")).schema["s"].dataType))
     placed = ordered.asof(child.where("pid is not null"), holders, PROCESS_KEY, "start_time",
@@ -138,7 +138,7 @@ def with_parent(proc: DataFrame) -> DataFrame:
 
 def child_pairs(proc: DataFrame, rules=CHILD_RULES) -> DataFrame:
     """Parent and child processes whose names match a rule."""
-    pairs = with_parent(proc).withColumn("parent_name", F.col("holder.name"))
+    pairs = with_parent(proc, held=("name",)).withColumn("parent_name", F.col("holder.name"))
     hit = F.lit(False)
     for parent, child in rules:
         hit = hit | (F.col("parent_name").rlike(parent) & F.col("name").rlike(child))
@@ -148,7 +148,8 @@ def child_pairs(proc: DataFrame, rules=CHILD_RULES) -> DataFrame:
 # --- the process tree -----------------------------------------------------------------------------
 
 def lineage(
-    edges: DataFrame, node: str = "pid", parent: str = "parent", within: tuple = ()
+    edges: DataFrame, node: str = "pid", parent: str = "parent", within: tuple = (),
+    parents_exist: bool = False,
 ) -> DataFrame:
     """Root, depth and path (root first) of every node, by pointer doubling.
 
@@ -158,19 +159,21 @@ def lineage(
     marked ``cyclic`` and have no root; their path ends where it would repeat.
 
     ``edges`` holds one row per node; ``within`` names columns, such as the host, that part
-    separate trees. Each round is written to the shared folder.
+    separate trees. Each round is written to the shared folder. With ``parents_exist`` every
+    parent is known to be a node and is not looked up first.
     """
     keys = list(within)
-    base = materialize(
-        edges.select(*keys, F.col(node).alias("node"), F.col(parent).alias("up")), "edges")
-    known = base.select(*keys, F.col("node").alias("up"), F.lit(True).alias("known"))
-    state = base.join(known, [*keys, "up"], "left").select(
-        *keys, "node",
-        F.when(F.col("known") & (F.col("up") != F.col("node")), F.col("up")).alias("ptr"),
+    base = edges.select(*keys, F.col(node).alias("node"), F.col(parent).alias("up"))
+    if not parents_exist:
+        base = materialize(base, "edges")
+        nodes = base.select(*keys, F.col("node").alias("up"), F.lit(True).alias("known"))
+        base = base.join(nodes, [*keys, "up"], "left").withColumn(
+            "up", F.when(F.col("known"), F.col("up")))
+    none = F.array().cast(f"array<{base.schema['node'].dataType.simpleString()}>")
+    state = base.select(
+        *keys, "node", F.when(F.col("up") != F.col("node"), F.col("up")).alias("ptr"),
     ).withColumns({
-        "chain": F.when(F.col("ptr").isNull(), F.array().cast(
-            f"array<{base.schema['node'].dataType.simpleString()}>"))
-        .otherwise(F.array("ptr")),
+        "chain": F.when(F.col("ptr").isNull(), none).otherwise(F.array("ptr")),
         "cyclic": F.lit(False),
     })
     active = materialize(state, "lineage")
@@ -212,8 +215,9 @@ def lineage_asof(proc: DataFrame) -> DataFrame:
 
     Pids are reused, so the nodes are process starts (``seq``) and not pids.
     """
-    linked = with_parent(proc).select("host", "seq", F.col("holder.seq").alias("up"))
-    return lineage(linked, "seq", "up", within=("host",))
+    narrow = proc.select("host", "pid", "parent", *PROCESS_ORDER)
+    linked = with_parent(narrow, held=()).select("host", "seq", F.col("holder.seq").alias("up"))
+    return lineage(linked, "seq", "up", within=("host",), parents_exist=True)
 
 
 # --- state and counts -------------------------------------------------------------------------------

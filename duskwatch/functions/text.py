@@ -5,32 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cut lengths for console lines, report bodies and table cells.
+# Cut lengths for console lines, report bodies and table cells, and what is put
+# in place of the rest.
 ECHO_LIMIT = 400
 REPORT_LIMIT = 1_000
 CELL_LIMIT = 300
+ECHO_NOTE = "... ({} more chars, rerun with --debug to see all)"
+REPORT_NOTE = "\n... (truncated)"
+CELL_NOTE = "…"
 
 
 def echo_excerpt(text: Column, limit: int = ECHO_LIMIT) -> Column:
     """Trimmed text for a console line, with the number of characters left out."""
     body = F.regexp_replace(text, r"^\s+|\s+$", "")
     more = (F.length(body) - limit).cast("string")
-    cut = F.concat(
-        F.substring(body, 1, limit),
-        F.lit("... ("), more, F.lit(" more chars, rerun with --debug to see all)"),
-    )
+    note = F.replace(F.lit(ECHO_NOTE), F.lit("{}"), more)
+    cut = F.concat(F.substring(body, 1, limit), note)
     return F.when(F.length(body) > limit, cut).otherwise(body)
 
 
 def report_excerpt(text: Column, limit: int = REPORT_LIMIT) -> Column:
     """Text for a report, cut with a closing note."""
-    cut = F.concat(F.substring(text, 1, limit), F.lit("\n... (truncated)"))
+    cut = F.concat(F.substring(text, 1, limit), F.lit(REPORT_NOTE))
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
 def cell_excerpt(text: Column, limit: int = CELL_LIMIT) -> Column:
     """Text for a table cell, cut with an ellipsis."""
-    cut = F.concat(F.substring(text, 1, limit), F.lit("…"))
+    cut = F.concat(F.substring(text, 1, limit), F.lit(CELL_NOTE))
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 

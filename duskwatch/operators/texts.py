@@ -85,15 +85,38 @@ def had_script(runs: DataFrame, programs: DataFrame) -> DataFrame:
 
 # --- reports --------------------------------------------------------------------------------------
 
-# Headings of a report.
+# The wording of a report, in the order in which it appears.
 TITLE = "# Analysis Report\n\n"
-HISTORY = "## Conversation History\n### User Prompt\n"
-AGENT = "### Agent Communication\n"
+SKILL_LINE = "- Skill: `{}`\n"
+PROMPT_LINE = "- Prompt: {}\n"
+RUN_LINE = "- Run: `{}`\n"
+MODE_LINE = "- Mode: {}\n"
+MODE_STANDARD = "Standard"
+MODE_INTERACTIVE = "Interactive (multiple checkpoints)"
+MODE_SEVERAL = "Textual (multi-turn session)"
+PROMPTS_LINE = "- Prompts:\n"
+HISTORY = "## Conversation History\n### User Prompt\n```\n{}\n```\n### Agent Communication\n"
+CALL = "#### Tool Call: `{}` (ID: {})\n"
+CALL_CODE = "(Code saved to generated_code/ directory)\n\n"
+CALL_ARGS = "```json\n{}\n```\n"
+RESULT = "#### Tool Result: `{}` (ID: {})\n```\n{}\n```\n"
+THINKING = "**Agent (Thinking):**\n{}\n\n"
+SPOKEN = "**Agent:** {}\n\n"
+FINAL = "\n## Final Findings\n\n"
+CHECKPOINTS = "\n## Analysis Checkpoints\n\n"
+TURNS = "\n## Analysis Turns\n\n"
+CHECKPOINT = "### Checkpoint {}\n"
+TURN = "### Turn {}\n"
 RULE = "\n\n---\n\n"
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+def _fill(wording: str, *values: Column) -> Column:
+    """The wording with a column in place of each pair of braces."""
+    pieces = wording.split("{}")
+    out = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        out += [value.cast("string"), F.lit(piece)]
+    return F.concat(*out)
 
 
 def report_parts(runs: DataFrame, turns: DataFrame, messages: DataFrame) -> DataFrame:
@@ -115,52 +138,47 @@ def report_parts(runs: DataFrame, turns: DataFrame, messages: DataFrame) -> Data
         return ["run_id", F.lit(section).alias("section"), pos.cast("bigint").alias("pos"),
                 text.alias("text")]
 
-    zero = F.lit(0)
-    skill = _text(TITLE, "- Skill: `", F.col("skill"), "`\n")
-    stamp = _text("- Run: `", F.col("stamp"), "`\n")
-    single = _text(
-        skill, "- Prompt: ", F.coalesce("initial_prompt", F.lit("None")), "\n", stamp, "- Mode: ",
-        F.when(F.col("interactive"), "Interactive (multiple checkpoints)").otherwise("Standard"),
-        "\n\n")
-    several = _text(skill, "- Mode: Textual (multi-turn session)\n", stamp, "- Prompts:\n")
+    zero, name, content = F.lit(0), F.col("tool_name"), F.col("content")
+    skill, stamp = _fill(SKILL_LINE, F.col("skill")), _fill(RUN_LINE, F.col("stamp"))
+    mode = F.when(F.col("interactive"), MODE_INTERACTIVE).otherwise(MODE_STANDARD)
+    prompt = F.coalesce("initial_prompt", F.lit("None"))
+    single = F.concat(
+        F.lit(TITLE), skill, _fill(PROMPT_LINE, prompt), stamp, _fill(MODE_LINE + "\n", mode))
+    several = F.concat(
+        F.lit(TITLE), skill, _fill(MODE_LINE, F.lit(MODE_SEVERAL)), stamp, F.lit(PROMPTS_LINE))
     header = known.select(*row(0, zero, F.when(many, several).otherwise(single)))
 
     placed = turns.join(known.select("run_id", "interactive", "turns", "last"), "run_id")
-    prompts = placed.where(many).select(*row(
-        1, F.col("k"), _text(F.col("k").cast("string"), ". ", F.col("prompt"),
-                             F.when(F.col("k") == F.col("last"), "\n\n").otherwise("\n"))))
+    is_last = F.col("k") == F.col("last")
+    listed = F.concat(_fill("{}. {}\n", F.col("k"), F.col("prompt")),
+                      F.when(is_last, "\n").otherwise(""))
+    prompts = placed.where(many).select(*row(1, F.col("k"), listed))
     asked = F.coalesce("first_prompt", "initial_prompt", F.lit(""))
-    history = known.select(*row(2, zero, _text(HISTORY, "```\n", asked, "\n```\n", AGENT)))
-
-    name = F.col("tool_name")
-    call = _text("#### Tool Call: `", name, "` (ID: ", F.col("tool_call_id"), ")\n",
-                 F.when(name == "run_code", "(Code saved to generated_code/ directory)\n\n")
-                 .when(F.coalesce(F.col("content"), F.lit("")) != "",
-                       _text("```json\n", F.col("content"), "\n```\n")).otherwise(""))
-    result = _text("#### Tool Result: `", name, "` (ID: ", F.col("tool_call_id"), ")\n```\n",
-                   T.report_excerpt(F.col("content")), "\n```\n")
+    history = known.select(*row(2, zero, _fill(HISTORY, asked)))
+
+    call = F.concat(
+        _fill(CALL, name, F.col("tool_call_id")),
+        F.when(name == "run_code", CALL_CODE)
+        .when(F.coalesce(content, F.lit("")) != "", _fill(CALL_ARGS, content)).otherwise(""))
     body = (
         F.when(F.col("kind") == "call", call)
-        .when((F.col("kind") == "result") & (name != "run_code"), result)
-        .when(F.col("kind") == "thinking",
-              _text("**Agent (Thinking):**\n", T.block_quote(F.col("content")), "\n\n"))
-        .when((F.col("kind") == "text") & (F.trim("content") != ""),
-              _text("**Agent:** ", F.col("content"), "\n\n"))
+        .when((F.col("kind") == "result") & (name != "run_code"),
+              _fill(RESULT, name, F.col("tool_call_id"), T.report_excerpt(content)))
+        .when(F.col("kind") == "thinking", _fill(THINKING, T.block_quote(content)))
+        .when((F.col("kind") == "text") & (F.trim(content) != ""), _fill(SPOKEN, content))
     )
     talk = messages.select(*row(3, F.col("pos"), body)).where("text is not null")
 
     title = (
-        F.when(F.col("turns") <= 1, "\n## Final Findings\n\n")
-        .when(F.col("interactive"), "\n## Analysis Checkpoints\n\n")
-        .otherwise("\n## Analysis Turns\n\n")
+        F.when(F.col("turns") == 0, FINAL + "\n").when(F.col("turns") == 1, FINAL)
+        .when(F.col("interactive"), CHECKPOINTS).otherwise(TURNS)
     )
-    opening = known.select(*row(4, zero, _text(
-        title, F.when(F.col("turns") == 0, "\n").otherwise(""))))
-    label = _text("### ", F.when(F.col("interactive"), "Checkpoint ").otherwise("Turn "),
-                  F.col("k").cast("string"), "\n")
-    closing = F.when(F.col("k") == F.col("last"), "\n").otherwise(RULE)
-    findings = placed.select(*row(5, F.col("k"), _text(
-        F.when(F.col("turns") > 1, label).otherwise(""), F.col("output"), closing)))
+    opening = known.select(*row(4, zero, title))
+    label = F.when(F.col("interactive"), _fill(CHECKPOINT, F.col("k"))).otherwise(
+        _fill(TURN, F.col("k")))
+    findings = placed.select(*row(5, F.col("k"), F.concat(
+        F.when(F.col("turns") > 1, label).otherwise(""), F.col("output"),
+        F.when(is_last, "\n").otherwise(RULE))))
 
     out = header
     for part in (prompts, history, talk, opening, findings):

@@ -21,7 +21,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def stream_lines(
     spark: SparkSession, path: str, files_per_trigger: int | None = None,
-    bytes_per_trigger: str = "2g",
+    bytes_per_trigger: int = 2 << 30,
 ) -> DataFrame:
     """The same as a stream over a folder that gains files.
 

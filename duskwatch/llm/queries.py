@@ -6,18 +6,54 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from duskwatch.llm import mixing, ngram_join, packing, quality, secret_scan
+from duskwatch.llm import (
+    chat, extract, licenses, maxscore, mixing, ngram_join, packing, quality, secret_scan, zip_archive)
 from duskwatch.plans.adapters import table
 from duskwatch.plans.registry import query
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_extraction")
+def op1_extraction(spark, sf_dir):
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
+OP2 = """
+with coded as (
+    select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as c
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, v.vec_id,
+           list_sum(list_transform(list_zip(q.c, v.c), p -> p[1] * p[2]))::bigint as score
+    from coded q join coded v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0
+), ranked as (
+    select query_id, row_number() over (partition by query_id order by score desc, vec_id) as n,
+           vec_id, score
+    from scored
+)
+select query_id, n::int as rank, vec_id, score from ranked where n <= 5
+"""
+
+
+@query("op2_maxscore", OP2)
+def op2_maxscore(spark, sf_dir):
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @query("op3_packing")
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query("op4_zip_archive")
+def op4_zip_archive(spark, sf_dir):
+    return zip_archive.archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_quality_rules")
 def op5_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -31,6 +67,15 @@ def op6_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_chat")
+def op7_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.round_trip(turns.unionByName(added))
+
+
 OP8 = r"""
 with recursive words as (
     select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
@@ -61,6 +106,13 @@ def op8_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_licenses", licenses.oracle_sql())
+def op9_licenses(spark, sf_dir):
+    found = licenses.findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"),
+                        F.size("licenses").cast("long").alias("n_licenses"))
+
+
 @query("op10_secret_scan")
 def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.findings(table(spark, sf_dir, "documents")))

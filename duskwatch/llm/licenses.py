@@ -213,7 +213,7 @@ known as (
     select k, license, ceil(1.25 * max(n)) as stretch, ceil(0.8 * count(distinct g)) as least
     from grams group by k, license
 ), words as (
-    select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), x -> lower(x)) as w
+    select doc_id, [lower(x) for x in regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')] as w
     from documents
 ), placed as (
     select doc_id, i, array_to_string(w[i : i + 4], ' ') as g

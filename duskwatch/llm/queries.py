@@ -21,13 +21,13 @@ def op1_extraction(spark, sf_dir):
 
 OP2 = """
 with coded as (
-    select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as c
+    select vec_id, [floor(256 * x::double)::bigint for x in embedding] as c
     from embeddings
     where vec_id is not null and embedding is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+      and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), scored as (
     select q.vec_id as query_id, v.vec_id,
-           list_sum(list_transform(list_zip(q.c, v.c), p -> p[1] * p[2]))::bigint as score
+           list_sum([p[1] * p[2] for p in list_zip(q.c, v.c)])::bigint as score
     from coded q join coded v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0
 ), ranked as (
     select query_id, row_number() over (partition by query_id order by score desc, vec_id) as n,

@@ -22,7 +22,7 @@ START, END = "<s>", "</s>"
 _NAMES = {"user": "INST", "assistant": "ANS", "system": "SYS"}
 _ROLES = {name: role for role, name in _NAMES.items()}
 _LOSS = "assistant"
-_CONTROL = re.compile(r"</?s>|\[(/?)(INST|ANS|SYS|ROLE)(?:=([^\]\s]*))?(\*?)\]")
+_CONTROL = re.compile(r"</?s>|\[(/?)(INST|ANS|SYS|ROLE)(?:=([^\]\s*]*))?(\*?)\]")
 _ESCAPED = re.compile(r"\\(\\|\.)")
 
 

@@ -319,7 +319,7 @@ def one_of_each(docs: DataFrame, threshold: Fraction = THRESHOLD, words: int = W
                                                pa.binary())], names=["row", "fp"])
 
     rows = docs.select(F.struct("*").alias("row"), "text")
-    schema = rows.select("row", F.lit(b"").alias("fp")).schema
+    schema = rows.select("row", F.lit(None).cast("binary").alias("fp")).schema
     marked = rows.mapInArrow(mark, schema)
     key = [F.col("row.doc_id").eqNullSafe(lasting["class_id"]), marked["fp"] == lasting["fp"]]
     kept = marked.join(lasting, key, "left_semi")

@@ -4,8 +4,9 @@ Every document of a source asks for the same number of copies, target over sourc
 whole part is given; the fractions are rounded in pairs. A step moves words between two
 documents of a source until the fraction of one of them is 0 or 1, up or down at random so that
 each keeps its expectation. As words move, not copies, the sum of words stays exact in every
-step; only the last document left over in a source is rounded by itself. Large documents are
-settled first, against as many smaller ones as it takes, so the last one is small.
+step; only the last document left over in a source is rounded by itself, to the nearer side.
+Large documents are settled first, against as many smaller ones as it takes, so the last one is
+small.
 
 The pairing is a reduction tree. Documents of a source are dealt into buckets by a hash of their
 own values, each bucket is reduced to at most one undecided document, and those are dealt into
@@ -142,7 +143,7 @@ def _round(level: DataFrame, seed: str) -> DataFrame:
 
     def run(batches):
         for table in keyed_runs(batches, keys):
-            columns = [table.column(n).to_pylist() for n in ("doc_id", "size", "same", "part", "last")]
+            columns = [table.column(n).to_pylist() for n in ("doc_id", "size", "part", "last")]
             part, is_open = _pivot(*columns, seed)
             names = [n for n in table.column_names if n not in ("part", "last")]
             out = pa.table({n: table.column(n) for n in names} | {
@@ -153,7 +154,7 @@ def _round(level: DataFrame, seed: str) -> DataFrame:
     return level.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, _COLUMNS)
 
 
-def _pivot(doc_ids, sizes, same, parts, last, seed) -> tuple[list[float], list[bool]]:
+def _pivot(doc_ids, sizes, parts, last, seed) -> tuple[list[float], list[bool]]:
     """Fractions after pairing, and which of them are still open: one at most."""
     parts = list(parts)
     _settle(doc_ids, sizes, parts, seed)
@@ -174,8 +175,7 @@ def _pivot(doc_ids, sizes, same, parts, last, seed) -> tuple[list[float], list[b
         open_ones = [j for j in (held, i) if 0 < parts[j] < 1]
         held = open_ones[-1] if open_ones else -1
     if held >= 0 and last[held]:
-        draw = _draw(seed, doc_ids[held], sizes[held], "last", same[held])
-        parts[held], held = (1.0 if draw < parts[held] else 0.0), -1
+        parts[held], held = float(parts[held] >= 0.5), -1
     return parts, [i == held for i in range(len(parts))]
 
 

@@ -101,8 +101,9 @@ def dedent(text: Column) -> Column:
 
 def drop_main_guard(text: Column) -> Column:
     """Text without its first main guard, the guarded body dedented; unchanged without one."""
+    # The place of the match, not of its text, which may be quoted before.
+    at = F.regexp_instr(text, F.lit(MAIN_GUARD))
     guard = F.regexp_substr(text, F.lit(MAIN_GUARD))
-    at = F.position(guard, text)
     before = F.substring(text, F.lit(1), at - 1)
     after = F.substring(text, at + F.length(guard), F.length(text))
-    return F.when(guard.isNotNull(), F.concat(before, dedent(after))).otherwise(text)
+    return F.when(at > 0, F.concat(before, dedent(after))).otherwise(text)

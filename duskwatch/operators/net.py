@@ -29,6 +29,12 @@ def external_dest(df: DataFrame) -> DataFrame:
     return df.where(A.is_external(F.col("dest_ip")))
 
 
+def dest_kinds(df: DataFrame) -> DataFrame:
+    """Records with a destination by its kind; those that are no address are counted, too."""
+    return df.where("dest_ip is not null").groupBy(
+        A.address_kind(F.col("dest_ip")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def drop_internal(df: DataFrame) -> DataFrame:
     """Without traffic whose both ends are private."""
     return df.where(~(A.is_private(F.col("src_ip")) & A.is_private(F.col("dest_ip"))))
@@ -360,9 +366,9 @@ def name_groups(df: DataFrame) -> DataFrame:
 
 
 def peer_subnets(df: DataFrame) -> DataFrame:
-    """A host's peers by /24, inside and outside apart."""
+    """A host's peers by /24 or, for IPv6, by /64, inside and outside apart."""
     return of_type(df, "flow").groupBy(
-        "src_ip", A.subnet24(F.col("dest_ip")).alias("subnet"),
+        "src_ip", A.subnet(F.col("dest_ip")).alias("subnet"),
         A.is_external(F.col("dest_ip")).alias("external"),
     ).agg(F.count_distinct("dest_ip").alias("peers"), F.count(F.lit(1)).alias("flows"))
 

@@ -11,6 +11,8 @@ shuffled once and never joined back. All other keys take the plain window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,8 +171,13 @@ def asof(
     """Left rows with the latest right row of the same key at or before their time, as a struct.
 
     Both sides are laid along one time line, so no pair of rows is built that is not kept.
-    Ties at one time go to the largest ``right_order``.
+    Ties at one time go to the largest ``right_order``. Rows with a null key or time match
+    nothing; left ones keep their place with a null struct.
     """
+    complete = lambda df, ts: reduce(
+        lambda a, b: a & b, [df[c].isNotNull() for c in [*keys, ts]])
+    nowhere = left.where(~complete(left, left_ts))
+    left, right = left.where(complete(left, left_ts)), right.where(complete(right, right_ts))
     ties = {f"_tie{i}": c for i, c in enumerate(right_order)}
     r = right.select(
         *keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"),
@@ -186,7 +193,8 @@ def asof(
         line, keys, ["_t", "_side", *ties], time_bucket("_t", bucket_seconds),
         F.col("_right"), name, hot_rows,
     )
-    return line.where("_side = 1").select("_left.*", name)
+    return line.where("_side = 1").select("_left.*", name).unionByName(
+        nowhere, allowMissingColumns=True)
 
 
 def global_rank(df: DataFrame, metric: str, slices: int = 200) -> DataFrame:

@@ -13,11 +13,9 @@ from duskwatch.operators.host import latest
 CALLS = ("run_code_call", "tool_call")
 RESULTS = ("run_code_return", "tool_result")
 
-# Size from which a result is stored apart, length of its preview, and what is
-# kept when storing fails.
+# Size from which a result is stored apart, and length of its preview.
 OVERFLOW_CHARS = 10_000
 PREVIEW_CHARS = 1_000
-FALLBACK_CHARS = 4_000
 
 ORDER = ["ts", "seq"]
 
@@ -41,16 +39,19 @@ def pair_calls(audit: DataFrame) -> DataFrame:
         .groupBy("run_id", "tool_call_id")
         .agg(
             F.min_by(F.struct("ts", "seq", "tool_name"), when_call).alias("call"),
-            F.max_by(F.struct("ts", "seq", "content"), when_result).alias("result"),
+            F.max_by(F.struct("ts", "seq", "content", "tool_name"), when_result).alias("result"),
+            F.bool_or(is_event("run_code_call", "run_code_return")).alias("code"),
         )
     )
+    # A sandbox call carries no tool name of its own.
+    name = F.coalesce("call.tool_name", "result.tool_name", F.when(F.col("code"), "run_code"))
     status = (
         F.when(F.col("call").isNull(), "unmatched")
         .when(F.col("result").isNull(), "pending")
         .otherwise("answered")
     )
     return paired.select(
-        "run_id", "tool_call_id", "call.tool_name", F.col("call.ts").alias("call_ts"),
+        "run_id", "tool_call_id", name.alias("tool_name"), F.col("call.ts").alias("call_ts"),
         F.col("result.ts").alias("result_ts"), F.col("result.content").alias("content"),
         status.alias("status"))
 
@@ -87,6 +88,36 @@ def unknown_models(runs: DataFrame, dim: DataFrame, max_models: int = 10_000) ->
 
 # --- per run -------------------------------------------------------------------------------------
 
+REQUESTS = ("run_code_call", "tool_call", "model_text")
+
+
+def names_model() -> Column:
+    """The events of a trail that say which model a run uses from there on."""
+    return is_event("run_start", "model_changed")
+
+
+def run_table(audit: DataFrame, usage: DataFrame | None = None) -> DataFrame:
+    """One row for each run of a trail: its last model, seconds, requests, limit and habits.
+
+    Tokens and cost are not in the trail; they come from ``usage`` (run_id, tokens, cost; several
+    rows of a run add up, a cost only when all are known) and are null without it.
+    """
+    per = audit.groupBy("run_id").agg(
+        F.max_by("model", F.when(names_model() & F.col("model").isNotNull(), F.struct(*ORDER))).alias("model"),
+        ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / F.lit(1e6)).alias("seconds"),
+        F.count_if(is_event(*REQUESTS)).alias("requests"),
+        F.max_by("max_turns", F.when(F.col("max_turns").isNotNull(), F.struct(*ORDER))).alias("max_turns"),
+        F.bool_or(F.coalesce(is_event("tool_call") & (F.col("tool_name") == "write_file"), F.lit(False)))
+        .alias("wrote"),
+    )
+    if usage is None:
+        return per.withColumns({"tokens": F.lit(None).cast("bigint"), "cost": F.lit(None).cast("double")})
+    used = usage.groupBy("run_id").agg(
+        F.sum("tokens").alias("tokens"),
+        F.when(F.count("cost") == F.count(F.lit(1)), F.sum("cost")).alias("cost"))
+    return per.join(used, "run_id", "left")
+
+
 def run_metrics(audit: DataFrame) -> DataFrame:
     """Duration between the start and end events, prompts, calls, file writes, last status."""
     start = F.min(F.when(is_event("run_start"), F.col("ts")))
@@ -164,8 +195,15 @@ def tally(findings: DataFrame, finished: DataFrame) -> DataFrame:
 
 
 def errors(audit: DataFrame) -> DataFrame:
-    """Errors by type and normalized message, with the runs and models they hit."""
-    found = audit.where(is_event("error", "setup_error"))
+    """Errors by type and normalized message, with the runs and models they hit.
+
+    An error event names no model: it is that of the latest earlier event of the run that does.
+    """
+    kept = audit.where(is_event("error", "setup_error") | names_model()).select(
+        "run_id", *ORDER, "event", "error_type", "error", F.col("model").alias("_named"))
+    named = ordered.carry_forward(kept, ["run_id"], ORDER, ordered.time_bucket("ts"),
+                                  F.when(names_model(), F.col("_named")), "model")
+    found = named.where(is_event("error", "setup_error"))
     return found.groupBy("error_type", T.error_key(F.col("error")).alias("message")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("runs"),
         F.count_distinct("model").alias("models"))

@@ -9,12 +9,19 @@ from duskwatch.functions import text as T
 from duskwatch.operators import ordered
 from duskwatch.session import materialize
 
+
+def _imported(module: str) -> str:
+    """Lines that import a module, alone or in a list."""
+    other = r"[\w.]+(?:[ \t]+as[ \t]+\w+)?[ \t]*,[ \t]*"
+    return rf"(?md)^[ \t]*(?:import[ \t]+(?:{other})*|from[ \t]+){module}\b"
+
+
 # Modules and calls that a saved program cannot use where it is run.
 LINT_RULES = (
     ("argv", T.ARGV_USE),
-    ("collections", r"(?md)^[ \t]*(import|from)[ \t]+collections\b"),
-    ("ipaddress", r"(?md)^[ \t]*(import[ \t]+([\w.]+[ \t]*,[ \t]*)*|from[ \t]+)ipaddress\b"),
-    ("socket", r"(?md)^[ \t]*(import[ \t]+([\w.]+[ \t]*,[ \t]*)*|from[ \t]+)socket\b"),
+    ("collections", _imported("collections")),
+    ("ipaddress", _imported("ipaddress")),
+    ("socket", _imported("socket")),
     ("exec_eval", r"\b(exec|eval)\("),
     ("os_path", r"\bos\.(path|listdir|walk)\b"),
     ("str_format", r"""["']\.format\("""),
@@ -165,7 +172,7 @@ def report_parts(runs: DataFrame, turns: DataFrame, messages: DataFrame) -> Data
         .when((F.col("kind") == "result") & (name != "run_code"),
               _fill(RESULT, name, F.col("tool_call_id"), T.report_excerpt(content)))
         .when(F.col("kind") == "thinking", _fill(THINKING, T.block_quote(content)))
-        .when((F.col("kind") == "text") & (F.trim(content) != ""), _fill(SPOKEN, content))
+        .when((F.col("kind") == "text") & content.rlike(r"\S"), _fill(SPOKEN, content))
     )
     talk = messages.select(*row(3, F.col("pos"), body)).where("text is not null")
 

@@ -26,7 +26,10 @@ NET = {
     "src_ip": """'192.168.' || cast(cast(floor(user_id / 250.0) as bigint) % 256 as string) || '.'
         || cast(user_id % 250 as string)""",
     "src_port": "cast(40000 + event_id % 20000 as bigint)",
-    "dest_ip": """case when event_id % 3 = 0 then '10.0.0.' || cast(event_id % 50 as string)
+    "dest_ip": """case when event_id % 23 = 5 then 'fe80::' || cast(event_id % 9 as string)
+        when event_id % 29 = 3 then '2001:db8:0:' || cast(event_id % 4 as string) || '::' || cast(event_id % 8 as string)
+        when event_id % 31 = 7 then 'unknown'
+        when event_id % 3 = 0 then '10.0.0.' || cast(event_id % 50 as string)
         when event_id % 11 = 0 then '224.0.0.251'
         else '203.0.113.' || cast(event_id % 7 as string) end""",
     "dest_port": """cast(case event_id % 5 when 0 then 443 when 1 then 80 when 2 then 3478
@@ -79,7 +82,9 @@ SOCKET = {
     "name": "'x'",
     "local_address": "'192.168.0.' || cast(l_suppkey % 10 as string)",
     "local_port": "cast(1024 + l_partkey % 100 as bigint)",
-    "remote_address": """case when l_partkey % 9 = 0 then '10.1.0.' || cast(l_partkey % 200 as string)
+    "remote_address": """case when l_partkey % 13 = 2 then '2001:db8::' || cast(l_partkey % 7 as string)
+        when l_partkey % 17 = 2 then 'fd00::' || cast(l_partkey % 7 as string)
+        when l_partkey % 9 = 0 then '10.1.0.' || cast(l_partkey % 200 as string)
         else '203.0.113.' || cast(l_partkey % 7 as string) end""",
     "remote_port": """cast(case l_partkey % 5 when 0 then 443 when 1 then 80 when 2 then 3478
         when 3 then 5353 else 8883 end as bigint)""",

@@ -63,7 +63,7 @@ def by_action(spark, sf):
 
 
 @query("external_socket", S + """select seq, host, pid, remote_address from socket
-    where state = 'ESTABLISHED' and remote_address not like '10.%'""")
+    where state = 'ESTABLISHED' and remote_address not like '10.%' and remote_address not like 'fd00:%'""")
 def external_socket(spark, sf):
     return host.external_sockets(adapters.socket(spark, sf)).select(
         "seq", "host", "pid", "remote_address")

@@ -15,8 +15,8 @@ from duskwatch.plans.registry import query, us
 E = oracle_cte("net")
 
 # Address ranges as the oracle can test them on the view's well-formed addresses.
-PRIVATE = "(({0}) like '10.%' or ({0}) like '192.168.%')"
-EXT = "dest_ip not like '10.%'"
+PRIVATE = "(({0}) like '10.%' or ({0}) like '192.168.%' or ({0}) like 'fe80:%')"
+EXT = "(dest_ip not like '10.%' and dest_ip not like 'fe80:%' and dest_ip <> 'unknown')"
 FLOWS = E + ", flow as (select * from net where event_type = 'flow')"
 SERVICE = """case when proto = 'UDP' and dest_port = 3478 then 'stun'
     when proto = 'UDP' and dest_port = 41641 then 'overlay_vpn'
@@ -77,7 +77,13 @@ def drop_internal(spark, sf):
     return _ids(net.drop_internal(ev(spark, sf)))
 
 
-@query("multicast_dest", E + IDS + "cast(split_part(dest_ip, '.', 1) as int) between 224 and 239")
+@query("dest_kinds", E + f"""select case when dest_ip = 'unknown' then 'none' when {EXT} then 'external'
+    else 'private' end as kind, count(*) as n from net group by 1""")
+def dest_kinds(spark, sf):
+    return net.dest_kinds(ev(spark, sf))
+
+
+@query("multicast_dest", E + IDS + "dest_ip like '224.%'")
 def multicast_dest(spark, sf):
     return _ids(net.multicast_dest(ev(spark, sf)))
 
@@ -453,7 +459,9 @@ def name_groups(spark, sf):
     return net.name_groups(ev(spark, sf))
 
 
-@query("peer_subnets", FLOWS + f"""select src_ip, regexp_replace(dest_ip, '[.][0-9]+$', '') as subnet,
+@query("peer_subnets", FLOWS + f"""select src_ip, case when dest_ip like 'fe80:%' then 'fe80:0:0:0'
+    when dest_ip like '2001:%' then split_part(dest_ip, '::', 1) when dest_ip <> 'unknown'
+    then regexp_replace(dest_ip, '[.][0-9]+$', '') end as subnet,
     {EXT} as external, count(distinct dest_ip) as peers, count(*) as flows from flow group by 1, 2, 3""")
 def peer_subnets(spark, sf):
     return net.peer_subnets(ev(spark, sf))
@@ -515,18 +523,19 @@ def json_path(spark, sf):
         J.json_path(F.col("props"), "$.none").alias("missing"))
 
 
-@query("ipv4_num", E + """select dest_ip, cast(split_part(dest_ip, '.', 1) as bigint) * 16777216
-    + cast(split_part(dest_ip, '.', 2) as bigint) * 65536
-    + cast(split_part(dest_ip, '.', 3) as bigint) * 256
-    + cast(split_part(dest_ip, '.', 4) as bigint) as num,
-    dest_ip like '203.0.113.%' as in_range, count(*) as n from net group by 1, 2, 3""")
+@query("ipv4_num", E + """select dest_ip, try_cast(split_part(dest_ip, '.', 1) as bigint) * 16777216
+    + try_cast(split_part(dest_ip, '.', 2) as bigint) * 65536
+    + try_cast(split_part(dest_ip, '.', 3) as bigint) * 256
+    + try_cast(split_part(dest_ip, '.', 4) as bigint) as num,
+    case when dest_ip like '%.%' then dest_ip like '203.0.113.%' end as in_range, count(*) as n from net group by 1, 2, 3""")
 def ipv4_num(spark, sf):
     return ev(spark, sf).groupBy("dest_ip").agg(F.count(F.lit(1)).alias("n")).select(
         "dest_ip", A.ipv4_num(F.col("dest_ip")).alias("num"),
         A.in_cidr(F.col("dest_ip"), "203.0.113.0/24").alias("in_range"), "n")
 
 
-@query("in_cidr", E + """select dest_ip like '10.%' as inside, dest_ip like '224.0.0.%' as local_multicast,
+@query("in_cidr", E + """select case when dest_ip like '%.%' then dest_ip like '10.%' end as inside,
+    case when dest_ip like '%.%' then dest_ip like '224.0.0.%' end as local_multicast,
     count(*) as n from net group by 1, 2""")
 def in_cidr(spark, sf):
     dest = F.col("dest_ip")

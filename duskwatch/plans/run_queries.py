@@ -23,16 +23,28 @@ def audit(spark, sf):
     return adapters.run(spark, sf)
 
 
-@query("call_result", R + """, c as (select run_id, tool_call_id, arg_min(tool_name, (us, seq)) as tool_name,
-    min(us) as call_us from run where event in ('run_code_call', 'tool_call') group by 1, 2),
-    r as (select run_id, tool_call_id, max(us) as result_us, arg_max(length(content), (us, seq)) as chars
+def trail(spark, sf):
+    """The audit trail as it is written: few events carry the model, the limit or a tool's name."""
+    event = F.col("event")
+    return audit(spark, sf).withColumns({
+        "model": F.when(runs.names_model(), F.col("model")),
+        "max_turns": F.when(event == "run_start", F.col("max_turns")),
+        "tool_name": F.when(event != "run_code_call", F.col("tool_name")),
+    }).drop("tokens", "cost")
+
+
+@query("call_result", R + """, c as (select run_id, tool_call_id, arg_min({'n': case when event = 'tool_call' then tool_name end}, (us, seq))['n'] as tool_name,
+    bool_or(event = 'run_code_call') as code, min(us) as call_us from run where event in ('run_code_call', 'tool_call') group by 1, 2),
+    r as (select run_id, tool_call_id, max(us) as result_us, arg_max(length(content), (us, seq)) as chars,
+    arg_max(tool_name, (us, seq)) as result_name, bool_or(event = 'run_code_return') as code
     from run where event in ('run_code_return', 'tool_result') group by 1, 2)
     select coalesce(c.run_id, r.run_id) as run_id, coalesce(c.tool_call_id, r.tool_call_id) as tool_call_id,
-    tool_name, call_us, result_us, chars, case when call_us is null then 'unmatched'
+    coalesce(tool_name, result_name, case when c.code or r.code then 'run_code' end) as tool_name,
+    call_us, result_us, chars, case when call_us is null then 'unmatched'
     when result_us is null then 'pending' else 'answered' end as status
     from c full outer join r on c.run_id = r.run_id and c.tool_call_id = r.tool_call_id""")
 def call_result(spark, sf):
-    return runs.pair_calls(audit(spark, sf)).select(
+    return runs.pair_calls(trail(spark, sf)).select(
         "run_id", "tool_call_id", "tool_name", us("call_ts").alias("call_us"),
         us("result_ts").alias("result_us"),
         F.length("content").cast("bigint").alias("chars"), "status")
@@ -64,19 +76,18 @@ def run_outcome(spark, sf):
 
 
 def _per_run(spark, sf):
-    return audit(spark, sf).groupBy("run_id", "model").agg(
-        ((F.max("us") - F.min("us")) / F.lit(1e6)).alias("seconds"),
-        F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"),
-        F.bool_or(F.coalesce(F.col("tool_name") == "write_file", F.lit(False))).alias("wrote"),
-        F.max("max_turns").alias("max_turns"),
-        F.count_if(F.col("event").isin("run_code_call", "tool_call", "model_text")).alias("requests"))
+    usage = audit(spark, sf).select("run_id", "tokens", "cost")
+    return runs.run_table(trail(spark, sf), usage)
 
 
-PER_RUN = R + """, per as (select run_id, model, (max(us) - min(us)) / 1e6 as seconds,
-    cast(sum(tokens) as bigint) as tokens, sum(cost) as cost,
-    bool_or(coalesce(tool_name = 'write_file', false)) as wrote, max(max_turns) as max_turns,
+PER_RUN = R + """, per as (select run_id,
+    arg_max(model, (us, seq)) filter (event in ('run_start', 'model_changed')) as model,
+    (max(us) - min(us)) / 1e6 as seconds, cast(sum(tokens) as bigint) as tokens,
+    case when count(cost) = count(*) then sum(cost) end as cost,
+    bool_or(coalesce(event = 'tool_call' and tool_name = 'write_file', false)) as wrote,
+    arg_max(max_turns, (us, seq)) filter (event = 'run_start' and max_turns is not null) as max_turns,
     count(*) filter (event in ('run_code_call', 'tool_call', 'model_text')) as requests
-    from run group by 1, 2)"""
+    from run group by 1)"""
 
 
 @query("leaderboard", PER_RUN + """select model, count(*) as runs, round(sum(seconds), 3) as seconds,
@@ -111,12 +122,14 @@ def corroboration_tally(spark, sf):
     return runs.tally(rows.select("run_id", "signal"), finished)
 
 
-@query("error_taxonomy", R + """select error_type,
+@query("error_taxonomy", R + """, m as (select *, last_value(case when event in ('run_start', 'model_changed')
+    then model end ignore nulls) over (partition by run_id order by us, seq) as at_model from run)
+    select error_type,
     'cannot read <path> at line <n> kind ' || right(error, 1) as message, count(*) as n,
-    count(distinct run_id) as runs, count(distinct model) as models from run
+    count(distinct run_id) as runs, count(distinct at_model) as models from m
     where event in ('error', 'setup_error') group by 1, 2""")
 def error_taxonomy(spark, sf):
-    return runs.errors(audit(spark, sf))
+    return runs.errors(trail(spark, sf))
 
 
 @query("error_key", R + """select seq, 'cannot read <path> at line <n> kind ' || right(error, 1) as message

@@ -41,7 +41,8 @@ def stream_event_counts(spark, sf):
 
 
 @query("stream_egress", E + """, w as (select us // 600000000 * 600000000 - k * 600000000 as start_us,
-    src_ip, bytes_toserver from net, range(0, 6) r(k) where event_type = 'flow' and dest_ip not like '10.%')
+    src_ip, bytes_toserver from net, range(0, 6) r(k) where event_type = 'flow' and dest_ip not like '10.%'
+    and dest_ip not like 'fe80:%' and dest_ip <> 'unknown')
     select start_us, src_ip, cast(sum(bytes_toserver) as bigint) as up from w group by 1, 2
     having sum(bytes_toserver) > 2000""")
 def stream_egress(spark, sf):

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.operators.runs import FALLBACK_CHARS, OVERFLOW_CHARS, PREVIEW_CHARS
+from duskwatch.operators.runs import OVERFLOW_CHARS, PREVIEW_CHARS
 from duskwatch.operators.texts import lines
 
 
@@ -25,18 +23,16 @@ def previews(
 
 def bounded(
     df: DataFrame, path: str, key: str, text: str = "text", over: int = OVERFLOW_CHARS,
-    shown: int = PREVIEW_CHARS, fallback: int = FALLBACK_CHARS,
+    shown: int = PREVIEW_CHARS, run: str = "0",
 ) -> DataFrame:
-    """Store the oversized results line by line at ``path`` and return the previews.
+    """Store the oversized results of a run line by line below ``path``; return the previews.
 
-    When storing fails, oversized results are cut to ``fallback`` characters instead.
+    Storing a run again replaces what it had stored. A store that fails raises, as a preview
+    must not be the only copy.
     """
     large = df.where(F.length(text) >= over)
-    try:
-        stored = lines(large, key, text).withColumnRenamed(key, "handle")
-        stored.sortWithinPartitions("handle", "line_no").write.mode("append").parquet(path)
-    except (PySparkException, Py4JError):
-        return previews(df, key, text, over, fallback).withColumn("stored", F.lit(False))
+    stored = lines(large, key, text).withColumnRenamed(key, "handle")
+    stored.sortWithinPartitions("handle", "line_no").write.mode("overwrite").parquet(f"{path}/run={run}")
     return previews(df, key, text, over, shown)
 
 
@@ -44,7 +40,7 @@ def read_slice(
     spark: SparkSession, path: str, handle: int | str | None, start: int, n: int
 ) -> DataFrame:
     """``n`` lines of a stored result from line ``start``; of every result without a handle."""
-    rows = spark.read.parquet(path).where(F.col("line_no").between(start, start + n - 1))
+    rows = spark.read.parquet(path).drop("run").where(F.col("line_no").between(start, start + n - 1))
     if handle is not None:
         rows = rows.where(F.col("handle") == handle)
     return rows.orderBy("handle", "line_no")

@@ -21,7 +21,12 @@ ADDRESSES = {
     "11.0.0.0": (False, True), "172.15.255.255": (False, True), "172.16.0.0": (True, False),
     "172.31.255.255": (True, False), "172.32.0.0": (False, True), "192.167.255.255": (False, True),
     "192.168.0.0": (True, False), "192.168.255.255": (True, False), "192.169.0.0": (False, True),
-    "fe80::1": (False, False), None: (False, False), "300.1.1.1": (False, False),
+    "fe80::1": (True, False), "FEBF::1%eth0": (True, False), "fec0::1": (False, True), "::1": (True, False),
+    "fd12:3456::9": (True, False), "2001:db8::1": (False, True), "1:2:3:4:5:6:7:8": (False, True),
+    "1:2:3:4:5:6:7": (False, False), "1:2:3:4:5:6:7:8:9": (False, False), "1::2::3": (False, False),
+    "::": (True, False), "::ffff:10.0.0.1": (True, False), "::ffff:9.9.9.9": (False, True), ":1::2": (False, False),
+    "1:2:3:4:5:6:9.9.9.9": (False, True), "12345::": (False, False), "g::1": (False, False), "1::": (False, True),
+    "1:": (False, False), "ff02::fb": (False, True), "12:30": (False, False), None: (False, False), "300.1.1.1": (False, False),
     "10.0.0": (False, False), "10.0.0.1x": (False, False), "": (False, False),
     "010.0.0.1": (False, False), "224.0.0.251": (False, True),
 }
@@ -34,6 +39,14 @@ def test_private_and_external(spark):
     assert got == ADDRESSES
 
 
+def test_subnets(spark):
+    want = {"10.1.2.3": "10.1.2", "2001:db8::1": "2001:db8:0:0", "2001:0DB8:00a0:1:2:3:4:5": "2001:db8:a0:1",
+            "::1": "0:0:0:0", "fe80::1%eth0": "fe80:0:0:0", "::ffff:9.9.9.9": "0:0:0:0", "1:2:3::": "1:2:3:0",
+            "x": None, None: None}
+    df = spark.createDataFrame([(a,) for a in want], "a string")
+    assert {r.a: r.s for r in df.select("a", A.subnet(F.col("a")).alias("s")).collect()} == want
+
+
 def test_ipv4_num_and_ranges(spark):
     df = spark.createDataFrame([("10.0.0.1",), ("255.255.255.255",), ("fe80::1",)], "a string")
     got = [tuple(r) for r in df.select(

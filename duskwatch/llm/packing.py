@@ -7,7 +7,6 @@ room, whose leaves are stacks of open windows, finds it in log2(window) steps.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -21,21 +20,22 @@ from duskwatch.session import materialize
 
 WINDOW = 2048
 END = 1
+_END_BYTES = END.to_bytes(4, "little")
 PIECES_PER_GROUP = 50_000
 PIECES_WITH_IDS_PER_GROUP = 5_000
-_CACHED_PARTS = 400_000
+_CACHED_PARTS = 500_000
 _TOKENS_PER_BATCH = 4_000_000
 _MARK = "\x01"
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_MARKS = ".,;:!?*#$%&|<>()[]\"'-"
 
 
 class Tokens:
-    """Ids of whole texts, with the ids of recurring parts kept.
+    """Ids of whole texts as little-endian 32-bit numbers, with those of recurring parts kept.
 
     The tokenizer never lets a token span the place before a single space, or either side of a
     single line break, that stands between two other characters. Texts in which all white space
-    is like that are cut there, and each distinct part is encoded once. Other texts are encoded
-    whole. The kept parts are dropped when they are many, so memory stays bounded.
+    is like that are cut there, and parts seen before are not encoded again. Other texts are
+    encoded whole. A bounded number of parts is kept.
     """
 
     def __init__(self, path: str):
@@ -43,34 +43,80 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        self.ids: dict[str, np.ndarray] = {}
+        self.ids: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        # The byte-level alphabet writes a space as this letter.
+        self.opens[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
 
-    def _encode(self, parts: list[str]) -> list[np.ndarray]:
+    def _encode(self, parts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in encoded]
-
-    def __call__(self, text: str) -> np.ndarray:
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _encode_spaced(self, parts: list[str]) -> list[bytes]:
+        """Parts that begin with their only space, as one text; such a token opens each."""
+        encoded = self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)
+        ids = np.array(encoded[0].ids, "<u4")
+        whole = ids.tobytes()
+        starts = (np.flatnonzero(self.opens[ids]) * 4).tolist() + [len(whole)]
+        if len(starts) != len(parts) + 1:
+            return self._encode(parts)
+        return [whole[a:b] for a, b in zip(starts, starts[1:])]
+
+    def _new(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of parts not seen before. No token spans a letter and a mark behind it."""
+        heads = {}
+        for part in missing:
+            head = part.rstrip(_MARKS)
+            if head != part and head and head[-1].isalpha():
+                heads[part] = head
+        split = set(heads.values()) | {p[len(h):] for p, h in heads.items()}
+        wanted = [p for p in missing if p not in heads]
+        wanted += [p for p in split.difference(wanted) if p not in self.ids]
+        spaced = [p for p in wanted if p[0] == " "]
+        others = [p for p in wanted if p[0] != " "]
+        fresh = dict(zip(spaced, self._encode_spaced(spaced))) if spaced else {}
+        fresh.update(zip(others, self._encode(others)))
+        ids_of = lambda p: fresh[p] if p in fresh else self.ids[p]
+        fresh.update({p: ids_of(h) + ids_of(p[len(h):]) for p, h in heads.items()})
+        return fresh
+
+    def __call__(self, text: str) -> bytes:
         if not text:
-            return np.zeros(0, np.uint32)
-        parts = text.replace(" ", _MARK + " ").replace("\n", _MARK + "\n" + _MARK).split(_MARK)
-        if not _plain(text, parts):
+            return b""
+        if not _plain(text):
             return self._encode([text])[0]
-        found = list(map(self.ids.get, parts))
-        missing = list(dict.fromkeys(p for p, ids in zip(parts, found) if ids is None))
+        # The mark is not printable, so it does not stand in the text.
+        parts = text.replace(" ", _MARK + " ").replace("\n", _MARK + "\n" + _MARK).split(_MARK)
+        known = self.ids
+        missing = [p for p in dict.fromkeys(parts) if p not in known]
         if missing:
-            if len(self.ids) + len(missing) > _CACHED_PARTS:
-                self.ids.clear()
-                missing = list(dict.fromkeys(parts))
-            fresh = dict(zip(missing, self._encode(missing)))
-            self.ids.update(fresh)
-            found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
-        return np.concatenate(found)
+            fresh = self._new(missing)
+            if len(known) < _CACHED_PARTS:
+                known.update(fresh)
+            else:
+                known = {p: known.get(p) or fresh[p] for p in parts}
+        return b"".join(map(known.__getitem__, parts))
+
+
+_TOKENS: dict[str, Tokens] = {}
 
 
-def _plain(text: str, parts: list[str]) -> bool:
-    """Is all white space single, a space or a line break, and between other characters?"""
-    return (_MARK not in text and "" not in parts and " " not in parts
-            and not _OTHER_SPACE.search(text))
+def tokens_of(path: str) -> Tokens:
+    """One for each worker process, so that the parts that tasks share are encoded once."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
+def _plain(text: str) -> bool:
+    """Is all white space single, a space or a line break, and between other characters?
+
+    Besides the space, no white space is printable.
+    """
+    return (text[0] not in " \n" and text[-1] not in " \n"
+            and not any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
+            and text.replace("\n", "").isprintable())
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, ids: bool = True) -> DataFrame:
@@ -85,23 +131,24 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, ids: bool = T
     def batch_of(rows, pieces):
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
         if ids:
-            ends = np.cumsum([0, *map(len, pieces)])
+            ends = np.cumsum([0, *map(len, pieces)]) // 4
             columns.append(pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate(pieces).view(np.int32))))
+                pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), "<i4"))))
         return pa.RecordBatch.from_arrays(columns, names + ["ids"] * ids)
 
     def run(batches):
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         for batch in batches:
             rows, pieces, held = [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
-                whole = np.append(tokens(text), np.uint32(END))
-                for at in range(0, len(whole), window):
-                    piece = whole[at : at + window]
-                    rows.append((doc, at, len(piece), zlib.crc32(piece.astype("<u4").tobytes()),
-                                 len(whole)))
-                    pieces.append(piece)
-                held += len(whole)
+                whole = tokens(text) + _END_BYTES
+                total = len(whole) // 4
+                for at in range(0, total, window):
+                    piece = whole[4 * at : 4 * (at + window)]
+                    rows.append((doc, at, len(piece) // 4, zlib.crc32(piece), total))
+                    if ids:
+                        pieces.append(piece)
+                held += total
                 if held > _TOKENS_PER_BATCH:
                     yield batch_of(rows, pieces)
                     rows, pieces, held = [], [], 0

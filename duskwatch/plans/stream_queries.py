@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from duskwatch.operators import net
 from duskwatch.plans import raw
 from duskwatch.plans.adapters import oracle_cte
-from duskwatch.plans.registry import query, us
+from duskwatch.plans.registry import ORACLES, query, us
 from duskwatch.session import scratch
 from duskwatch.sources import audit, eve, lines, osquery
-from duskwatch.streaming import stateful, streams
+from duskwatch.streaming import backlog, stateful, streams
 
 E = oracle_cte("net")
 R = oracle_cte("run")
@@ -152,3 +153,65 @@ def stream_append(spark, sf):
     stream_events(rows, path, scratch(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(
         F.count(F.lit(1)).alias("n"))
+
+
+# --- the same questions over a backlog of many batches, newest files first ------------------------
+
+def eve_backlog(spark, sf):
+    return eve.stream_eve(spark, raw.eve(spark, sf), files_per_trigger=4, newest_first=True)
+
+
+def audit_backlog(spark, sf):
+    return audit.stream_audit(spark, raw.audit(spark, sf), files_per_trigger=300, newest_first=True)
+
+
+@query("backlog_event_counts", E + """select us // 3600000000 * 3600000000 as start_us, event_type,
+    count(*) as n, start_us + 3600000000 <= (select max(us) - 600000000 from net) as closed
+    from net group by 1, 2""")
+def backlog_event_counts(spark, sf):
+    counts, _ = backlog.event_counts(eve_backlog(spark, sf), scratch(spark, "counts"))
+    return counts.select(us("start_ts").alias("start_us"), "event_type", "n", "closed")
+
+
+@query("backlog_egress", ORACLES["stream_egress"])
+def backlog_egress(spark, sf):
+    sums, _ = backlog.egress(eve_backlog(spark, sf), scratch(spark, "egress"), 2000)
+    return sums.select(us("start_ts").alias("start_us"), "src_ip", "up")
+
+
+@query("backlog_dedupe", ORACLES["stream_dedupe"])
+def backlog_dedupe(spark, sf):
+    both = eve_backlog(spark, sf).unionByName(eve.stream_eve(spark, raw.eve_overlap(spark, sf), 4, True))
+    rows = both.select("event_ts", "flow_id", "event_type")
+    once = backlog.dedupe(rows, ["event_ts", "flow_id", "event_type"], scratch(spark, "once"))
+    return once.select(us("event_ts").alias("us"), "flow_id", "event_type")
+
+
+def _kept_trail(spark, sf):
+    rows = audit_backlog(spark, sf).select("run_id", "ts", "seq", "event", "status", "tool_call_id")
+    return backlog.keep(rows, scratch(spark, "trail"))
+
+
+@query("backlog_run_state", ORACLES["run_state"])
+def backlog_run_state(spark, sf):
+    return backlog.run_moves(_kept_trail(spark, sf))
+
+
+@query("backlog_call_result", ORACLES["stream_call_result"])
+def backlog_call_result(spark, sf):
+    return backlog.call_moves(_kept_trail(spark, sf), 86400)
+
+
+@query("backlog_stalls", ORACLES["stall_watch"])
+def backlog_stalls(spark, sf):
+    return backlog.stall_moves(_kept_trail(spark, sf), 43200)
+
+
+@query("backlog_beacon", ORACLES["stream_beacon"])
+def backlog_beacon(spark, sf):
+    flows = net.of_type(eve_backlog(spark, sf), "flow").select(
+        *net.TUPLE, "event_type", "event_ts", "flow_id", F.struct("flow.bytes_toserver").alias("flow"))
+    rows = backlog.keep(flows, scratch(spark, "flows"))
+    return net.beacons(rows, 2).select(
+        *net.TUPLE[:2], F.col("dest_port").cast("bigint").alias("dest_port"), "proto", "gaps",
+        F.round("score", 6).alias("score"))

@@ -38,5 +38,7 @@ def read_audit(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return events(read_lines(spark, paths))
 
 
-def stream_audit(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    return events(stream_lines(spark, path, files_per_trigger))
+def stream_audit(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, newest_first: bool = False,
+) -> DataFrame:
+    return events(stream_lines(spark, path, files_per_trigger, newest_first=newest_first))

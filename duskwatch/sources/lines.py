@@ -21,14 +21,16 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def stream_lines(
     spark: SparkSession, path: str, files_per_trigger: int | None = None,
-    bytes_per_trigger: int = 2 << 30,
+    bytes_per_trigger: int = 2 << 30, newest_first: bool = False,
 ) -> DataFrame:
     """The same as a stream over a folder that gains files.
 
     A micro-batch is bounded by files or, by default, by bytes, so that a backlog is worked off
-    in pieces and no key's share of a batch outgrows a task.
+    in pieces and no key's share of a batch outgrows a task. ``newest_first`` works it off from
+    its end.
     """
     reader = utc(spark).readStream.option("recursiveFileLookup", "true")
+    reader = reader.option("latestFirst", str(newest_first).lower())
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import addresses as A
 from duskwatch.operators import common, ordered
+from duskwatch.session import materialize
 
 TUPLE = ["src_ip", "dest_ip", "dest_port", "proto"]
 
@@ -395,29 +396,56 @@ def field_profile(lines: DataFrame, raw: str = "_raw") -> DataFrame:
     return profile_variant(parsed, "event_type", "v")
 
 
-_OBJECT = "schema_of_variant({v}) like 'OBJECT%'"
+_LEVELS = 4  # of nesting that one pass walks
+
+
+def walk_variant(df: DataFrame, key: str, variant: str) -> DataFrame:
+    """Every field of a variant object to its real depth: k, path, value, leaf.
+
+    A path is the names from the top, joined by dots; elements of an array are told one by one
+    under ``[]``. ``leaf`` is false for objects and arrays that hold something. A pass walks
+    four levels; what lies deeper is stored and walked by the next one, until nothing is left.
+    """
+    inside = "case when schema_of_variant({0}) rlike '^(OBJECT|ARRAY)' then {0} end"
+    level = df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.col(variant).alias("value"))
+    level = level.where(F.schema_of_variant("value").startswith("OBJECT"))
+    out = None
+    while True:
+        laterals = " ".join(
+            f", lateral variant_explode{'_outer' if i > 1 else ''}("
+            f"{inside.format(f'l{i - 1}.value') if i > 1 else 'd.value'}) l{i}" for i in range(1, _LEVELS + 1))
+        columns = ", ".join(f"l{i}.key as k{i}, l{i}.value as v{i}, l{i}.pos as p{i}"
+                            for i in range(1, _LEVELS + 1))
+        rows = df.sparkSession.sql(f"select d.k, d.path, {columns} from {{d}} d {laterals}", d=level)
+        told, path = [], F.col("path")
+        for i in range(1, _LEVELS + 1):
+            name = F.coalesce(F.concat(F.lit("."), f"k{i}"), F.lit("[]"))
+            path = F.concat(path, name)
+            # A field comes once for everything below it; it is told with the first of that.
+            first = F.lit(True)
+            for j in range(i + 1, _LEVELS + 1):
+                first = first & (F.coalesce(F.col(f"p{j}"), F.lit(0)) == 0)
+            leaf = F.col(f"p{i + 1}").isNull() if i < _LEVELS else ~F.expr(inside.format(f"v{i}")).isNotNull()
+            told.append(F.when(F.col(f"p{i}").isNotNull() & first, F.struct(
+                path.alias("path"), F.col(f"v{i}").alias("value"), leaf.alias("leaf"))))
+        found = rows.select("k", F.explode(F.array(*told)).alias("f")).where("f is not null").select(
+            "k", F.regexp_replace("f.path", r"^\.", "").alias("path"), "f.value", "f.leaf")
+        out = found if out is None else out.unionByName(found)
+        last = rows.select("k", path.alias("path"), F.expr(inside.format(f"v{_LEVELS}")).alias("value"))
+        level = materialize(last.where("value is not null"), "deeper")
+        if level.isEmpty():
+            return out
 
 
 def profile_variant(df: DataFrame, key: str, variant: str) -> DataFrame:
-    """Presence and type of each field of a variant object, one level of nesting deep; one pass."""
+    """Presence and type of each field of a variant object, at any depth.
+
+    Elements of an array count each, so their presence may pass 1.
+    """
     totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("records"))
-    view = df.select(F.col(key).alias("k"), F.col(variant).alias("v"))
-    fields = df.sparkSession.sql(
-        "select d.k, a.key as key, a.value as value, b.pos as pos, b.key as inner_key, "
-        "b.value as inner_value from {d} d, lateral variant_explode(d.v) a, "
-        f"lateral variant_explode_outer(case when {_OBJECT.format(v='a.value')} then a.value end) b "
-        "where a.key is not null", d=view)
-    outer = F.struct(F.col("key").alias("path"), F.col("value").alias("value"))
-    inner = F.struct(F.concat("key", F.lit("."), "inner_key").alias("path"),
-                     F.col("inner_value").alias("value"))
-    # A field with inner fields comes once per inner field; it is told with the first of them.
-    told = F.array(F.when(F.coalesce("pos", F.lit(0)) == 0, outer),
-                   F.when(F.col("inner_key").isNotNull(), inner))
-    leaves = fields.select("k", F.explode(told).alias("f")).where("f is not null")
-    kind = F.regexp_extract(F.schema_of_variant("f.value"), r"^[A-Z]+", 0)
-    found = leaves.groupBy(
-        F.col("k").alias(key), F.col("f.path").alias("path"), kind.alias("type")).agg(
-        F.count(F.lit(1)).alias("n"))
+    kind = F.regexp_extract(F.schema_of_variant("value"), r"^[A-Z]+", 0)
+    found = walk_variant(df, key, variant).groupBy(
+        F.col("k").alias(key), "path", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
     return found.join(totals, key).select(
         key, "path", "type", "n",
         F.round(F.col("n").cast("double") / F.col("records"), 6).alias("presence"))
@@ -426,16 +454,11 @@ def profile_variant(df: DataFrame, key: str, variant: str) -> DataFrame:
 def stats_rollup(df: DataFrame) -> DataFrame:
     """Smallest, largest and mean value of every numeric leaf of the sensor telemetry.
 
-    ``stats`` is a variant; leaves up to three levels down are read, in one pass.
+    ``stats`` is a variant; leaves are read at any depth, array elements under ``[]``.
     """
-    view = of_type(df, "stats").select("stats")
-    leaves = df.sparkSession.sql(
-        "select concat_ws('.', a.key, b.key, c.key) as path, try_variant_get("
-        "coalesce(c.value, b.value, a.value), '$', 'double') as x "
-        "from {d} d, lateral variant_explode(d.stats) a, "
-        f"lateral variant_explode_outer(case when {_OBJECT.format(v='a.value')} then a.value end) b, "
-        f"lateral variant_explode_outer(case when {_OBJECT.format(v='b.value')} then b.value end) c "
-        "where a.key is not null", d=view)
+    view = of_type(df, "stats").select(F.lit(0).alias("one"), "stats")
+    leaves = walk_variant(view, "one", "stats").where("leaf").select(
+        "path", F.try_variant_get("value", "$", "double").alias("x"))
     return leaves.where("x is not null").groupBy("path").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"),
         F.round(F.avg("x"), 6).alias("mean"))

@@ -290,7 +290,11 @@ def net(spark: SparkSession, sf_dir: str, keep: tuple = ()) -> DataFrame:
         _only("alert", F.col("signature"), F.col("severity").cast("int").alias("severity"))
         .alias("alert"),
         F.when(F.col("event_type") == "stats", F.to_variant_object(F.struct(
-            F.struct("packets", "drops").alias("capture"), F.col("event_no").alias("uptime"))))
+            F.struct("packets", "drops").alias("capture"), F.col("event_no").alias("uptime"),
+            F.struct(F.struct(F.struct(F.struct((F.col("event_no") % 5).alias("bytes")).alias("gap"))
+                              .alias("http")).alias("error")).alias("app_layer"),
+            F.array(F.struct((F.col("event_no") % 3).alias("n")), F.struct(F.lit(7).alias("n")))
+            .alias("threads"))))
         .alias("stats"),
     )
 

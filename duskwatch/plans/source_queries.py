@@ -127,23 +127,43 @@ def name_sort(spark, sf):
 
 @query("stats_rollup", E + """, s as (select * from net where event_type = 'stats'),
     x as (select 'capture.packets' as path, cast(packets as double) as x from s union all
-        select 'capture.drops', drops from s union all select 'uptime', event_no from s)
+        select 'capture.drops', drops from s union all select 'uptime', event_no from s union all
+        select 'app_layer.error.http.gap.bytes', event_no % 5 from s union all
+        select 'threads[].n', event_no % 3 from s union all select 'threads[].n', 7 from s)
     select path, count(*) as n, min(x) as low, max(x) as high, round(avg(x), 6) as mean from x group by 1""")
 def stats_rollup(spark, sf):
     return net.stats_rollup(eve.read_eve(spark, raw.eve(spark, sf)))
 
 
-@query("field_profile_lines", E + """, f as (select event_type, unnest(case event_type
-    when 'dns' then ['dns', 'dns.rrname', 'dns.rcode'] when 'quic' then ['quic', 'quic.sni']
-    when 'alert' then ['alert', 'alert.signature', 'alert.severity'] end) as path from net
-    where event_type in ('dns', 'quic', 'alert'))
-    select event_type, path, case when path in ('dns', 'quic', 'alert') then 'OBJECT'
-    when path = 'alert.severity' then 'BIGINT' else 'STRING' end as type, count(*) as n,
-    1.0::double as presence from f group by 1, 2""")
+# Fields of the exported lines: event type (empty: all), path, type, times in a record.
+FIELDS = """ timestamp STRING 1, flow_id BIGINT 1, event_type STRING 1, src_ip STRING 1,
+    src_port BIGINT 1, dest_ip STRING 1, dest_port BIGINT 1, proto STRING 1, app_proto STRING 1,
+flow flow OBJECT 1,flow flow.bytes_toserver BIGINT 1,flow flow.bytes_toclient BIGINT 1,
+flow flow.start STRING 1,flow flow.end STRING 1,flow flow.age BIGINT 1,
+tls tls OBJECT 1,tls tls.sni STRING 1,tls tls.version STRING 1,tls tls.ja3 OBJECT 1,tls tls.ja3.hash STRING 1,
+quic quic OBJECT 1,quic quic.sni STRING 1,dns dns OBJECT 1,dns dns.rrname STRING 1,dns dns.rcode STRING 1,
+http http OBJECT 1,http http.hostname STRING 1,http http.url STRING 1,http http.user_agent STRING 1,
+alert alert OBJECT 1,alert alert.signature STRING 1,alert alert.severity BIGINT 1,
+stats stats OBJECT 1,stats stats.capture OBJECT 1,stats stats.capture.packets BIGINT 1,
+stats stats.capture.drops BIGINT 1,stats stats.uptime BIGINT 1,stats stats.app_layer OBJECT 1,
+stats stats.app_layer.error OBJECT 1,stats stats.app_layer.error.http OBJECT 1,
+stats stats.app_layer.error.http.gap OBJECT 1,stats stats.app_layer.error.http.gap.bytes BIGINT 1,
+stats stats.threads ARRAY 1,stats stats.threads[] OBJECT 2,stats stats.threads[].n BIGINT 2"""
+
+
+def _field_rows() -> str:
+    rows = []
+    for field in FIELDS.split(","):
+        *of, path, kind, times = field.split()
+        rows.append(f"('{of[0] if of else ''}', '{path}', '{kind}', {times})")
+    return ", ".join(rows)
+
+
+@query("field_profile_lines", E + f""", v(of, path, type, times) as (values {_field_rows()})
+    select event_type, path, type, cast(count(*) * times as bigint) as n, times::double as presence
+    from net join v on v.of in ('', event_type) group by event_type, path, type, times""")
 def field_profile_lines(spark, sf):
-    rows = eve.read_eve(spark, raw.eve(spark, sf))
-    found = net.field_profile(rows.where(F.col("event_type").isin("dns", "quic", "alert")))
-    return found.where(F.split("path", r"\.")[0].isin("dns", "quic", "alert"))
+    return net.field_profile(eve.read_eve(spark, raw.eve(spark, sf)))
 
 
 @query("corpus_scan", oracle_cte("report") + """select stamp_us, 'report' as kind,

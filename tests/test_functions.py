@@ -104,6 +104,8 @@ def test_main_guard(spark):
     text = "a = 1\nif __name__ == '__main__':  # run\n    b = 2\n\n    if b:\n        c()\n"
     assert one(spark, T.drop_main_guard, text) == "a = 1\nb = 2\n\nif b:\n    c()\n"
     assert one(spark, T.drop_main_guard, "x = 1\n") == "x = 1\n"
+    quoted = "# if __name__ == '__main__':\n" + "if __name__ == '__main__':\n    b = 2\n"
+    assert one(spark, T.drop_main_guard, quoted) == "# if __name__ == '__main__':\nb = 2\n"
 
 
 @pytest.mark.parametrize("wait,seconds", [

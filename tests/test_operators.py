@@ -151,12 +151,12 @@ def trail(spark):
         event("good", 3, "run_code_return", tool_call_id="a", tool_name="run_code", content="1"),
         event("good", 4, "tool_call", tool_call_id="b", tool_name="write_file"),
         event("good", 5, "model_text", content="done"), event("good", 6, "run_end", status="completed"),
-        event("second", 0, "run_start"), event("second", 1, "prompt"), event("second", 2, "model_text", content="one"),
-        event("second", 3, "prompt"), event("second", 4, "error", error="bad /a/b 12", error_type="E", model="m"),
+        event("second", 0, "run_start", model="m"), event("second", 1, "prompt"), event("second", 2, "model_text", content="one"),
+        event("second", 3, "prompt"), event("second", 4, "error", error="bad /a/b 12", error_type="E"),
         event("second", 5, "run_end", status="failed"),
         event("cut", 0, "run_start"), event("cut", 1, "prompt"), event("cut", 2, "interrupted"),
         event("cut", 3, "run_end", status="failed"),
-        event("setup", 0, "setup_error", error="bad /c 3", error_type="E", model="n"),
+        event("setup", 0, "setup_error", error="bad /c 3", error_type="E"),
         event("setup", 1, "run_end", status="failed"),
         event("open", 0, "run_start"), event("open", 1, "prompt"), event("open", 7013, "prompt"),
         event("calls", 0, "run_code_return", tool_call_id="c", tool_name="run_code", content="early"),
@@ -170,6 +170,12 @@ def trail(spark):
     ], AUDIT)
 
 
+def test_run_table(trail):
+    got = {r.run_id: r for r in runs.run_table(trail).collect()}
+    assert (got["second"].model, got["second"].requests, got["second"].cost) == ("m", 1, None)
+    assert got["good"].wrote and got["good"].seconds == 6.0 and got["open"].model is None
+
+
 def test_outcomes(trail):
     assert {r.run_id: r.outcome for r in runs.outcomes(trail).collect()} == {
         "good": "completed", "second": "failed", "cut": "interrupted", "setup": "setup_failed",
@@ -197,7 +203,7 @@ def test_overflow_retries_errors(trail):
     retry = runs.retries(trail).first()
     assert (retry.n, retry.waited_s) == (3, 32.0)
     err = runs.errors(trail).collect()
-    assert [(r.n, r.runs, r.models) for r in err] == [(2, 2, 2)]
+    assert [(r.n, r.runs, r.models) for r in err] == [(2, 2, 1)]
 
 
 def test_stalls_overruns_and_programs(trail):
@@ -256,10 +262,11 @@ def test_reports(spark):
 def test_lint(spark):
     df = spark.createDataFrame([
         (1, "import sys\nif __name__ == '__main__':\n    print(sys.argv)\n"), (2, "# sys.argv\nx = 1\n"),
-        (3, "from collections import Counter\nimport os, socket\n"), (4, 'json.dumps(a, default=str)\nf"{n:,}"\n')],
+        (3, "from collections import Counter\nimport os, socket\n"), (4, 'json.dumps(a, default=str)\nf"{n:,}"\n'), (5, "import json as j, collections\n")],
         "doc_id bigint, text string")
     got = {r.doc_id: (r.rules, r.fixed) for r in texts.lint(df).collect()}
     assert got[1] == (["main_guard", "argv"], "import sys\nprint(sys.argv)\n")
+    assert got[5][0] == ["collections"]
     assert got[2][0] == [] and got[3][0] == ["collections", "socket"]
     assert got[4][0] == ["json_default", "comma_spec"]
 

@@ -58,6 +58,14 @@ def test_asof(spark, skewed, rows, seconds, hot):
     assert rows(got.select("id", "r.id")) == rows(want)
 
 
+def test_asof_matches_no_null_keys_or_times(spark):
+    t = "timestamp'2024-01-01'"
+    left = spark.sql(f"select * from values (1, null, {t}), (2, 'a', {t}), (3, 'a', null) as v(id, k, ts)")
+    right = spark.sql(f"select * from values (7, null, {t}), (8, 'a', {t}), (9, 'a', null) as v(id, k, ts)")
+    got = ordered.asof(left, right, ["k"], "ts", "ts", ["id"], "r")
+    assert sorted((r.id, r.r and r.r.id) for r in got.collect()) == [(1, None), (2, 8), (3, None)]
+
+
 @pytest.mark.parametrize("slices", [2, 7, 200])
 def test_global_rank(spark, rows, slices):
     random.seed(3)

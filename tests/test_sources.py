@@ -122,9 +122,12 @@ def test_stats_rollup(spark, tmp_path):
     path = tmp_path / "eve.json"
     path.write_text(
         '{"event_type":"stats","stats":{"uptime":10,"capture":{"kernel":{"drops":4,"name":"x"}}}}\n'
-        '{"event_type":"stats","stats":{"uptime":30}}\n{"event_type":"dns"}\n')
+        '{"event_type":"stats","stats":{"uptime":30}}\n{"event_type":"dns"}\n'
+        '{"event_type":"stats","stats":{"a":{"b":{"c":{"d":{"e":{"f":{"g":[1,[2,{"h":5}]]}}}}}},"z":[]}}\n')
     got = {r.path: (r.n, r.low, r.high, r["mean"]) for r in net.stats_rollup(eve.read_eve(spark, str(path))).collect()}
-    assert got == {"uptime": (2, 10.0, 30.0, 20.0), "capture.kernel.drops": (1, 4.0, 4.0, 4.0)}
+    assert got == {"uptime": (2, 10.0, 30.0, 20.0), "capture.kernel.drops": (1, 4.0, 4.0, 4.0),
+                   "a.b.c.d.e.f.g[]": (1, 1.0, 1.0, 1.0), "a.b.c.d.e.f.g[][]": (1, 2.0, 2.0, 2.0),
+                   "a.b.c.d.e.f.g[][].h": (1, 5.0, 5.0, 5.0)}
 
 
 def test_host_records(spark, tmp_path):
@@ -243,5 +246,8 @@ def test_bounded_results(spark, tmp_path):
     assert "GreaterThanOrEqual(line_no,5)" in plan
     blocked = tmp_path / "file"
     blocked.write_text("x")
-    cut = {r.handle: r for r in results.bounded(df, str(blocked), "id").collect()}
-    assert not cut[10001].stored and len(cut[10001].shown) == 4000
+    with pytest.raises(Exception, match="(?i)file"):
+        results.bounded(df, str(blocked), "id")
+    results.bounded(df, path, "id")
+    results.bounded(df, path, "id", run="other")
+    assert results.read_slice(spark, path, 10000, 1, 10_000).count() == 2 * 5001

@@ -171,7 +171,9 @@ def trail(spark):
 
 
 def test_run_table(trail):
-    got = {r.run_id: r for r in runs.run_table(trail).collect()}
+    limits = trail.withColumn("max_turns", F.when(F.col("event") == "run_start", 5))
+    got = {r.run_id: r for r in runs.run_table(limits).collect()}
+    assert got["good"].max_turns == 5 and got["setup"].max_turns is None
     assert (got["second"].model, got["second"].requests, got["second"].cost) == ("m", 1, None)
     assert got["good"].wrote and got["good"].seconds == 6.0 and got["open"].model is None
 

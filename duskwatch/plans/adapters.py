@@ -184,20 +184,23 @@ REPORT = {
     "text": "text",
 }
 
+# A text as a program that says it line by line.
+_SAID = """'say("' || replace(replace(text, '"', ''''), chr(10), '")' || chr(10) || 'say("') || '")'"""
+
 PROGRAM = {
     "doc_id": "doc_id",
     "task_id": "source",
     "model": "lang",
     "stamp_us": "1735689600000000 + doc_id * 60000000",
     "seq": "doc_id % 100",
-    "text": """case doc_id % 6
+    "text": f"""case doc_id % 6
         when 0 then 'import json' || chr(10) || 'if __name__ == "__main__":' || chr(10)
-            || '    a = 1' || chr(10) || '    # ' || replace(text, chr(10), chr(10) || '    # ')
-        when 1 then 'import sys' || chr(10) || 'p = sys.argv[1]' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
-        when 2 then 'from collections import Counter' || chr(10) || '# sys.argv' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
-        when 3 then 'import os, ipaddress' || chr(10) || 'x = os.path.join("a", "b")' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
-        when 4 then 'print("{}".format(1))' || chr(10) || 'eval("1")' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
-        else 'print(1)' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ') end""",
+            || '    a = 1' || chr(10) || '    ' || replace({_SAID}, chr(10), chr(10) || '    ')
+        when 1 then 'import sys' || chr(10) || 'p = sys.argv[1]' || chr(10) || {_SAID}
+        when 2 then 'from collections import Counter' || chr(10) || '# sys.argv' || chr(10) || {_SAID}
+        when 3 then 'import os, ipaddress' || chr(10) || 'x = os.path.join("a", "b")' || chr(10) || {_SAID}
+        when 4 then 'print("{{}}".format(1))' || chr(10) || 'eval("1")' || chr(10) || {_SAID}
+        else 'print(1)' || chr(10) || {_SAID} end""",
 }
 
 TURN = {

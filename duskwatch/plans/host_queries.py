@@ -90,17 +90,18 @@ def socket_process_asof(spark, sf):
         "seq", "host", "pid", us("start_time").alias("start_us"), "process_seq", "cmdline")
 
 
-@query("process_lineage", P + """, tree as (select distinct pid, parent from process),
-    line as (select pid, pid as root, 0 as depth, cast(pid as varchar) as path
-        from tree where pid = parent
+@query("process_lineage", P + """, tree as (select distinct host, pid, parent from process),
+    line as (select t.host, t.pid, t.pid as root, 0 as depth, cast(t.pid as varchar) as path
+        from tree t left join tree u on t.host = u.host and t.parent = u.pid
+        where t.pid = t.parent or u.pid is null
     ), walk as (with recursive w as (select * from line union all
-        select t.pid, w.root, w.depth + 1, w.path || '>' || cast(t.pid as varchar)
-        from tree t join w on t.parent = w.pid and t.pid <> t.parent) select * from w)
-    select pid, root, cast(depth as bigint) as depth, path, false as cyclic from walk""")
+        select t.host, t.pid, w.root, w.depth + 1, w.path || '>' || cast(t.pid as varchar)
+        from tree t join w on t.host = w.host and t.parent = w.pid and t.pid <> t.parent) select * from w)
+    select host, pid, root, cast(depth as bigint) as depth, path, false as cyclic from walk""")
 def process_lineage(spark, sf):
-    tree = adapters.process(spark, sf).select("pid", "parent").distinct()
-    return host.lineage(tree).select(
-        "pid", "root", "depth",
+    tree = adapters.process(spark, sf).select("host", "pid", "parent").distinct()
+    return host.lineage(tree, within=("host",)).select(
+        "host", "pid", "root", "depth",
         F.array_join(F.transform("path", lambda p: p.cast("string")), ">").alias("path"), "cyclic")
 
 
@@ -137,12 +138,12 @@ def query_name_counts(spark, sf):
     return host.query_name_counts(adapters.process(spark, sf))
 
 
-@query("current_state", P + """, last as (select pid, arg_max(action, (start_us, seq)) as action,
+@query("current_state", P + """, last as (select host, pid, arg_max(action, (start_us, seq)) as action,
     arg_max(cmdline, (start_us, seq)) as cmdline
-    from process group by 1) select pid, cmdline from last where action = 'added'""")
+    from process group by 1, 2) select host, pid, cmdline from last where action = 'added'""")
 def current_state(spark, sf):
-    rows = adapters.process(spark, sf).select("pid", "action", "cmdline", "start_time", "seq")
-    return host.current_state(rows, ["pid"], ["start_time", "seq"]).select("pid", "cmdline")
+    rows = adapters.process(spark, sf).select("host", "pid", "action", "cmdline", "start_time", "seq")
+    return host.current_state(rows, ["host", "pid"], ["start_time", "seq"]).select("host", "pid", "cmdline")
 
 
 @query("command_frequency", H + """select uid, history_file, command, count(*) as n from shell

@@ -410,7 +410,7 @@ def lint_corpus(spark, sf):
 
 @query("lint_fixed", G + """select doc_id, md5(case when doc_id % 6 = 0 then
     replace(replace(text, 'if __name__ == "__main__":' || chr(10) || '    ', ''),
-    chr(10) || '    # ', chr(10) || '# ') else text end) as fixed from program""")
+    chr(10) || '    ', chr(10)) else text end) as fixed from program""")
 def lint_fixed(spark, sf):
     return texts.lint(adapters.program(spark, sf)).select("doc_id", F.md5("fixed").alias("fixed"))
 

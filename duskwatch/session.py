@@ -15,10 +15,10 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def cluster_settings(input_bytes: int) -> dict[str, str]:
     """Settings for a job over that much data, to be given to the session builder.
 
-    Shuffles start with one partition for each 128 MB of input, within bounds, and the engine
-    merges small ones and splits skewed ones at run time.
+    Shuffles start with one partition for each 128 MB of input, and the engine merges small
+    ones and splits skewed ones at run time.
     """
-    partitions = min(max(input_bytes // (128 << 20), 200), 100_000)
+    partitions = max(input_bytes // (128 << 20), 200)
     return {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",

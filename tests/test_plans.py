@@ -67,7 +67,7 @@ def test_settings_grow_with_the_data():
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert cluster_settings(0)[key] == "200"
     assert cluster_settings(10**12)[key] == "7450"
-    assert cluster_settings(10**14)[key] == "100000"
+    assert cluster_settings(10**14)[key] == "745058"
 
 
 def test_approximate_fan_out_is_close(spark):

@@ -142,3 +142,13 @@ def dedupe(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         .agg(*[(F.min(c) if c == "_file" else F.first(c)).alias(c) for c in rest])
         .select(*df.columns)
     )
+
+
+def left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which rows with a null key, which match nothing, are not shuffled to one place."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & left[k].isNotNull()
+    joined = left.where(known).join(right, keys, "left").select(
+        *[left[c] for c in left.columns], *[right[c] for c in right.columns if c not in keys])
+    return joined.unionByName(left.where(~known), allowMissingColumns=True)

@@ -108,7 +108,7 @@ _OWNER = ["path", "cmdline", "parent"]
 def sockets_with_process(net: DataFrame, proc: DataFrame) -> DataFrame:
     """Sockets with path, command line and parent of the last process of their pid."""
     owners = process_directory(proc.select(*PROCESS_KEY, *PROCESS_ORDER, *_OWNER))
-    return net.join(owners.select(*PROCESS_KEY, *_OWNER), PROCESS_KEY, "left")
+    return common.left_join(net, owners.select(*PROCESS_KEY, *_OWNER), PROCESS_KEY)
 
 
 def sockets_asof(net: DataFrame, proc: DataFrame, seen: str = "seen_ts") -> DataFrame:

@@ -99,7 +99,8 @@ def mentions_raw(df: DataFrame, term: str) -> DataFrame:
 def flows_with_name(df: DataFrame) -> DataFrame:
     """Flows with the first server name seen for the same flow id, if any."""
     names = (
-        df.where(F.col("event_type").isin("tls", "quic") & server_name().isNotNull())
+        df.where(F.col("event_type").isin("tls", "quic") & server_name().isNotNull()
+                 & F.col("flow_id").isNotNull())
         .groupBy("flow_id")
         .agg(F.min(F.struct(F.col("event_ts"), server_name().alias("n")))["n"].alias("sni"))
     )
@@ -107,7 +108,7 @@ def flows_with_name(df: DataFrame) -> DataFrame:
         "flow_id", "event_ts", *TUPLE,
         F.col("flow.bytes_toserver").alias("bytes_toserver"),
         F.col("flow.bytes_toclient").alias("bytes_toclient"))
-    return flows.join(names, "flow_id", "left")
+    return common.left_join(flows, names, ["flow_id"])
 
 
 def default_signals(suffixes: list[str]) -> dict[str, Column]:

@@ -93,12 +93,13 @@ def drain_updates(df: DataFrame, keys: list[str], path: str, checkpoint: str | N
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = (
-        df.writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", checkpoint or scratch(spark, "checkpoint"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    with _rocks(spark):
+        query = (
+            df.writeStream.outputMode("update").foreachBatch(keep)
+            .option("checkpointLocation", checkpoint or scratch(spark, "checkpoint"))
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     rest = [c for c in df.columns if c not in keys]
     rows = spark.read.option("basePath", path).parquet(path)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.llm.common import slices
+
 START, END = "<s>", "</s>"
 _NAMES = {"user": "INST", "assistant": "ANS", "system": "SYS"}
 _ROLES = {name: role for role, name in _NAMES.items()}
@@ -105,7 +107,7 @@ def rendered(turns: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             roles = [r or "" for r in batch.column("role").to_pylist()]
             said = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(

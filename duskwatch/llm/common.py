@@ -49,6 +49,19 @@ def shingles(hashes: np.ndarray, size: int = 5) -> np.ndarray:
     return out
 
 
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about that size, so that Python holds few texts at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = max(1, min(batch.num_rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column with nulls as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
@@ -58,9 +71,8 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     """Map Arrow batches one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for batch in slices(batches):
+            yield fn(batch)
 
     return df.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from duskwatch.llm.common import texts
+from duskwatch.llm.common import slices, texts
 
 PATH_BUCKETS, WORD_BUCKETS = 4096, 4096
 _DIM, _HIDDEN, _NUMBERS = 12, 20, 6
@@ -465,7 +465,7 @@ def main_text(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
     net = net or trained()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = main_texts(texts(batch, "html"), net)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()),

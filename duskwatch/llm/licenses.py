@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from duskwatch.llm.common import mix, shingles, texts, word_hashes
+from duskwatch.llm.common import mix, shingles, slices, texts, word_hashes
 
 WORDS = 5
 SHARE = (4, 5)
@@ -186,7 +186,7 @@ def findings(docs: DataFrame, rows=TEMPLATES) -> DataFrame:
 
     def run(batches):
         known = templates(rows)
-        for batch in batches:
+        for batch in slices(batches):
             found = scan(texts(batch, "text"), known)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"),

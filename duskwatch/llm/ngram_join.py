@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import keyed_runs, mix, shingles, texts, word_hashes, words_of
+from duskwatch.llm.common import keyed_runs, mix, shingles, slices, texts, word_hashes, words_of
 from duskwatch.llm.graph import components
 from duskwatch.session import materialize
 
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Da
     """doc_id, fp (fingerprint of the n-gram set; null without words), n, bands."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [ngram_set(t, words) for t in texts(batch, "text")]
             full = [s for s in sets if len(s)]
             hashes = band_hashes(full, bands, rows) if full else np.zeros((0, bands), np.int64)
@@ -255,7 +255,7 @@ def _verified(docs: DataFrame, members: DataFrame, threshold: Fraction, words: i
     ).select("text", F.col("_fp").alias("fp"), "group", "blocks", "block", "same")
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep, ngrams, seen = [], [], set()
             for i, (fp, text) in enumerate(zip(batch.column("fp").to_pylist(), texts(batch, "text"))):
                 found = ngram_set(text, words)
@@ -312,7 +312,7 @@ def one_of_each(docs: DataFrame, threshold: Fraction = THRESHOLD, words: int = W
         F.first("class_id").alias("class_id"), F.min("fp").alias("fp"))
 
     def mark(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [ngram_set(t, words) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array([fingerprint(s) if len(s) else None for s in sets],

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import texts
+from duskwatch.llm.common import slices, texts
 from duskwatch.session import materialize
 
 WINDOW = 2048
@@ -138,7 +138,7 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, ids: bool = T
 
     def run(batches):
         tokens = tokens_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows, pieces, held = [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
                 whole = tokens(text) + _END_BYTES

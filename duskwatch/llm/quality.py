@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import (
-    SPACES, per_batch, record_batch, row_and, shingles, texts, word_hashes, words_of)
+    SPACES, per_batch, record_batch, row_and, shingles, slices, texts, word_hashes, words_of)
 from duskwatch.session import materialize
 
 LEAST_WORDS = 20
@@ -276,10 +276,9 @@ def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     forest = fit(materialize(statistics(docs), "rule-statistics"), labels)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                counts = np.array([rule_counts(t) for t in texts(batch, "text")], np.int64)
-                yield batch.filter(pa.array(verdicts(counts, forest)[1])).select(["row"])
+        for batch in slices(batches):
+            counts = np.array([rule_counts(t) for t in texts(batch, "text")], np.int64)
+            yield batch.filter(pa.array(verdicts(counts, forest)[1])).select(["row"])
 
     rows = row_and(docs, text=F.col("text"))
     return rows.mapInArrow(run, rows.select("row").schema).select("row.*")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.llm.common import row_and, texts
+from duskwatch.llm.common import row_and, slices, texts
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(
@@ -284,7 +284,7 @@ def findings(docs: DataFrame, net: Network | None = None) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = scan(texts(batch, "text"), net)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(
@@ -312,7 +312,7 @@ def redacted(docs: DataFrame, net: Network | None = None) -> DataFrame:
     net = net or trained()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raw = batch.column("text").to_pylist()
             found = scan([t or "" for t in raw], net)
             new = [t if t is None or not s else redact(t, s) for t, s in zip(raw, found)]

@@ -24,6 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duskwatch.llm.common import slices
 from duskwatch.session import materialize, scratch
 
 ARCHIVE_BYTES = 64 << 20  # of records, in one archive; they are held while it is written
@@ -209,7 +210,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES,
                 [pa.array([f"{folder}/{name}"]), pa.array([len(index)], pa.int64()),
                  pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 packed = gzip.compress(warc_record(page_id, url, payload, refers), 3, mtime=0)
                 line = {"offset": size, "length": len(packed), "filename": RECORDS}

@@ -53,9 +53,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: Rows go to Python workers in batches of about that size; texts are long and workers many.
+ARROW_BATCH = "8m"
+
+
 def utc(spark: SparkSession) -> SparkSession:
-    """Event times are read and shown in UTC; the executors have the package."""
+    """Event times are read and shown in UTC; the executors have the package; batches are small."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     ship(spark)
     return spark
 

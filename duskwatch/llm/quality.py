@@ -207,10 +207,9 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         stats.join(agreed.select("doc_id", "quality"), "doc_id")
         .where(f"n_words >= {LEAST_WORDS} and 100 * n_repeat_words <= {MOST_REPEATED} * n_words"),
         "labelled")
-    sample = {
-        q: np.array([[r[c] for c in COUNTS] for r in known.where(F.col("quality") == q)
-                     .orderBy(F.xxhash64("doc_id", *COUNTS)).limit(fit_rows).collect()], np.int64)
-        for q in (0, 1)}
+    numbers = {r["quality"]: r["count"] for r in known.where("quality in (0, 1)")
+               .groupBy("quality").count().collect()}
+    sample = {q: _sample(known.where(F.col("quality") == q), numbers.get(q, 0), fit_rows) for q in (0, 1)}
     if not len(sample[0]) or not len(sample[1]):
         return None
     forest = fit_forest(features(sample[1]), features(sample[0]))
@@ -229,6 +228,18 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     return forest
 
 
+def _sample(known: DataFrame, n: int, fit_rows: int) -> np.ndarray:
+    """Counts of about ``fit_rows`` of ``n`` rows, never more: those with the lowest hashes.
+
+    Tasks send no other rows, so what reaches the driver does not grow with their number.
+    """
+    range_ = 1 << 31
+    place = F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(range_))
+    limit = range_ if n <= fit_rows else range_ * fit_rows // n
+    rows = known.select(place.alias("place"), *COUNTS).where(F.col("place") < limit).collect()
+    return np.array([r[1:] for r in sorted(map(tuple, rows))[:fit_rows]], np.int64)
+
+
 def _most_path() -> float:
     return np.ceil(np.log2(TREE_ROWS)) + _expected(TREE_ROWS) + 1
 

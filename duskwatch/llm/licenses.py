@@ -7,7 +7,8 @@ the template are a candidate if they agree in one band of one MinHash value. A s
 four fifths of the template makes their similarity at least a known number, and the bands are so
 many that such a pair is missed with a probability of at most one in a million. Candidates are
 verified: some stretch of ``1.25 L`` shingles must hold four fifths of the distinct shingles of
-the template.
+the template. Many notices differ in a version only, so a shingle of a text speaks for one template:
+the best held has it, and the others have to reach four fifths without it.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from duskwatch.llm.common import mix, shingles, slices, texts, word_hashes
+from duskwatch.llm.license_texts import FULL_TEXTS
 
 WORDS = 5
 SHARE = (4, 5)
 MISS = 1e-6
 _CHUNK = 32_768
 
-# Names of licenses and their notices.
+# Names of licenses and their notices. The SQL knows these only.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
@@ -55,6 +57,100 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+
+def _gnu(name: str, thing: str, license_: str, version: str) -> list[tuple[str, str]]:
+    """Notices of a GNU license: or any later version, that version only, and in one line."""
+    given = (f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the "
+             f"GNU {license_} as published by the Free Software Foundation")
+    return [
+        (name, f"{given}; either version {version} of the License, or (at your option) any later version."),
+        (name, f"{given}; version {version} of the License."),
+        (name, f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the "
+               f"GNU {license_} version {version} as published by the Free Software Foundation."),
+        (name, f"This work is licensed under the GNU {license_}, version {version}."),
+        (name, f"Licensed under the GNU {license_}, version {version}."),
+        (name, f"Licensed under the GNU {license_} v{version}."),
+    ]
+
+
+_CC_PARTS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives",
+             "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+             "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_FORMS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+
+
+def _creative_commons() -> list[tuple[str, str]]:
+    out = []
+    for part, title in _CC_PARTS.items():
+        for version, form in _CC_FORMS.items():
+            name = f"CC-{part}-{version}"
+            out += [(name, f"This work is licensed under a Creative Commons {title} {version} {form} License."),
+                    (name, f"Licensed under the Creative Commons {title} {version} {form} License."),
+                    (name, f"Licensed under CC {part} {version}."),
+                    (name, f"This work is licensed under CC {part} {version}.")]
+    return out
+
+
+# Standard headers of further licenses and versions, and one-line forms.
+NOTICES = [
+    *_gnu("GPL-1.0", "program", "General Public License", "1"),
+    *_gnu("GPL-2.0", "program", "General Public License", "2"),
+    *_gnu("GPL-3.0", "program", "General Public License", "3"),
+    *_gnu("LGPL-2.0", "library", "Library General Public License", "2"),
+    *_gnu("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+    *_gnu("LGPL-3.0", "program", "Lesser General Public License", "3"),
+    *_gnu("AGPL-3.0", "program", "Affero General Public License", "3"),
+    *_creative_commons(),
+    *[(name, f"{how} under the {title} License.") for how in ("Released", "Licensed", "Distributed")
+      for name, title in (("MIT", "MIT"), ("ISC", "ISC"), ("BSD", "BSD"), ("Zlib", "zlib"), ("BSD-2-Clause", "BSD 2-Clause"),
+                          ("BSD-3-Clause", "BSD 3-Clause"))],
+    *[(f"Apache-{v}", f"{how} under the Apache License, Version {v}.") for how in ("Released", "Licensed", "Distributed")
+      for v in ("1.1", "2.0")],
+    *[(f"MPL-{v}", f"{how} under the Mozilla Public License, Version {v}.")
+      for how in ("Released", "Licensed", "Distributed") for v in ("1.0", "1.1", "2.0")],
+    *[(f"EPL-{v}", f"{how} under the Eclipse Public License, Version {v}.")
+      for how in ("Released", "Licensed", "Distributed") for v in ("1.0", "2.0")],
+    *[(f"MPL-{v}", f"The contents of this file are subject to the Mozilla Public License Version {v} (the "
+                   "\"License\"); you may not use this file except in compliance with the License. You may obtain a "
+                   "copy of the License at") for v in ("1.0", "1.1")],
+    ("AFL-3.0", "Licensed under the Academic Free License version 3.0"),
+    ("Artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the "
+                     "Artistic License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+                "software and accompanying documentation covered by this license (the \"Software\") to use, "
+                "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works "
+                "of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and "
+                "neighboring rights to this software to the public domain worldwide. This software is distributed "
+                "without any warranty."),
+    ("CC0-1.0", "This work is licensed under the Creative Commons CC0 1.0 Universal License."),
+    ("CC0-1.0", "This work is marked with CC0 1.0 Universal."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution "
+                 "License (the \"License\"). You may not use this file except in compliance with the License."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License v1.0 which accompanies this distribution, and is available at"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License 2.0 which is available at"),
+    ("EUPL-1.1", "Licensed under the EUPL, Version 1.1 or - as soon they will be approved by the European Commission - "
+                 "subsequent versions of the EUPL (the \"Licence\");"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - "
+                 "subsequent versions of the EUPL (the \"Licence\");"),
+    *[(f"GFDL-{v}", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU "
+                    f"Free Documentation License, Version {v} or any later version published by the Free Software "
+                    "Foundation") for v in ("1.1", "1.2", "1.3")],
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("WTFPL", "This program is free software. It comes without any warranty, to the extent permitted by applicable "
+              "law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To "
+              "Public License, Version 2, as published by Sam Hocevar."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the "
+             "authors be held liable for any damages arising from the use of this software. Permission is granted to "
+             "anyone to use this software for any purpose, including commercial applications, and to alter it and "
+             "redistribute it freely, subject to the following restrictions:"),
+]
+KNOWN = [*TEMPLATES, *[r for r in NOTICES if r not in TEMPLATES], *FULL_TEXTS]
+
 # One byte for each code point: ASCII letters in lower case, digits, and blanks for all else.
 _PLAIN = bytes(ord(chr(c).lower()) if chr(c).isascii() and chr(c).isalnum() else 32 for c in range(256))
 
@@ -78,12 +174,12 @@ class Template:
         self.bands = math.ceil(math.log(MISS) / math.log1p(-similar))
 
 
-def templates(rows=TEMPLATES) -> list[Template]:
+def templates(rows=KNOWN) -> list[Template]:
     return [Template(*r) for r in rows]
 
 
-def _minima(values: np.ndarray, length: int, levels: dict) -> np.ndarray:
-    """Minimum over each window of that length, from minima over windows of powers of two."""
+def _minima(values: np.ndarray, length: int, stride: int, levels: dict) -> np.ndarray:
+    """Minimum over the windows of that length, a stride apart, from minima over powers of two."""
     power = 1 << (length.bit_length() - 1)
     step = max(levels)
     while step < power:
@@ -91,8 +187,8 @@ def _minima(values: np.ndarray, length: int, levels: dict) -> np.ndarray:
         levels[2 * step] = np.minimum(half[: len(half) - step], half[step:])
         step *= 2
     at = levels[power]
-    n = len(values) - length + 1
-    return np.minimum(at[:n], at[length - power : length - power + n])
+    n = min(_CHUNK, len(values) - length + 1)
+    return np.minimum(at[:n:stride], at[length - power : length - power + n : stride])
 
 
 def candidates(grams: np.ndarray, known: list[Template]) -> list[tuple[int, int]]:
@@ -103,29 +199,35 @@ def candidates(grams: np.ndarray, known: list[Template]) -> list[tuple[int, int]
     most, longest = max(t.bands for t in known), max(t.window for t in known)
     salts = mix(np.arange(1, 2 * most + 1, dtype=np.uint64))
     padded = np.concatenate([grams, np.full(longest, np.uint64(0xFFFFFFFFFFFFFFFF))])
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, t in enumerate(known):
+        alike.setdefault((t.window, t.stride), []).append(k)
+    asked = []  # by band: the windows, and the templates of that size with their minima
+    for b in range(most):
+        xor, times = salts[b], salts[most + b] | np.uint64(1)
+        of = {size: [k for k in ks if b < known[k].bands] for size, ks in sorted(alike.items())}
+        asked.append((xor, times, [
+            (*size, ks, np.array([((known[k].grams ^ xor) * times).min() for k in ks]))
+            for size, ks in of.items() if ks]))
     found = set()
     for at in range(0, len(grams), _CHUNK):
         part = padded[at : at + _CHUNK + longest]
-        for b in range(most):
-            xor, times = salts[b], salts[most + b] | np.uint64(1)
+        for xor, times, sizes in asked:
             values = (part ^ xor) * times
             values[len(grams) - at :] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            levels, minima = {1: values}, {}
-            for k, t in enumerate(known):
-                if b >= t.bands:
-                    continue
-                if t.window not in minima:
-                    minima[t.window] = _minima(values, t.window, levels)
-                same = minima[t.window][: _CHUNK : t.stride] == ((t.grams ^ xor) * times).min()
-                found.update((at + int(i) * t.stride, k) for i in np.flatnonzero(same))
+            levels = {1: values}
+            for window, stride, ks, least in sizes:
+                minima = _minima(values, window, stride, levels)
+                for k, i in zip(*np.nonzero(least[:, None] == minima)):
+                    found.add((at + int(i) * stride, ks[k]))
     return sorted(found)
 
 
-def verify(grams: np.ndarray, regions: list[tuple[int, int]], t: Template) -> list[tuple[int, int]]:
-    """(first, last) shingle of stretches of one text that hold enough of the template.
+def verify(grams: np.ndarray, regions: list[tuple[int, int]], t: Template, free=None) -> list[np.ndarray]:
+    """Places of the shingles, each once, in stretches of one text that hold enough of the template.
 
     ``regions`` are overlapping windows of the text in order. Stretches are taken from the left
-    and do not overlap.
+    and do not overlap. Only places marked in ``free`` count, if it is given.
     """
     out, at = [], 0
     merged: list[list[int]] = []
@@ -135,14 +237,39 @@ def verify(grams: np.ndarray, regions: list[tuple[int, int]], t: Template) -> li
         else:
             merged.append([a, b])
     for a, b in merged:
-        places = np.flatnonzero(np.isin(grams[a:b], t.grams)) + a
-        for p in places:
-            if p < at:
+        held = np.isin(grams[a:b], t.grams)
+        places = np.flatnonzero(held if free is None else held & free[a:b]) + a
+        ends = np.searchsorted(places, places + t.stretch)
+        for i in np.flatnonzero(ends - np.arange(len(places)) >= t.least):
+            if places[i] < at:
                 continue
-            inside = places[(places >= p) & (places < p + t.stretch)]
-            if len(np.unique(grams[inside])) >= t.least:
-                out.append((int(p), int(inside[-1])))
-                at = inside[-1] + 1
+            inside = places[i : ends[i]]
+            first = np.sort(np.unique(grams[inside], return_index=True)[1])
+            if len(first) >= t.least:
+                out.append(inside[first])
+                at = out[-1][-1] + 1
+    return out
+
+
+def settle(grams: np.ndarray, asked: dict[int, list[tuple[int, int]]], known: list[Template]) -> list[tuple[int, int, int]]:
+    """(template, first, last shingle) in one text, where each place speaks for one template.
+
+    Of stretches that share places the one that holds most shingles wins, then the one that holds
+    the greater share, then the first in the list. Templates that lose places are verified again
+    without them.
+    """
+    out, free = [], np.ones(len(grams), bool)
+    while asked:
+        stretches = [(-len(p), -len(p) / len(known[k].grams), k, p)
+                     for k, regions in asked.items() for p in verify(grams, regions, known[k], free)]
+        again = set()
+        for _, _, k, places in sorted(stretches, key=lambda s: (*s[:3], s[3][0])):
+            if free[places].all():
+                free[places] = False
+                out.append((k, int(places[0]), int(places[-1])))
+            else:
+                again.add(k)
+        asked = {k: asked[k] for k in again}
     return out
 
 
@@ -158,24 +285,24 @@ def scan(batch_texts: list[str], known: list[Template]) -> list[list[tuple[str,
     if not starts[-1]:
         return out
     # A window belongs to every text it touches: it may begin in the one before.
-    asked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    asked: dict[int, dict[int, list[tuple[int, int]]]] = {}
     for place, k in candidates(np.concatenate(grams), known):
         end = place + known[k].window
         i = int(np.searchsorted(starts, place, "right")) - 1
         while i < len(clean) and starts[i] < end:
             a, b = max(place, starts[i]) - starts[i], min(end, starts[i + 1]) - starts[i]
             if b > a:
-                asked.setdefault((i, k), []).append((int(a), int(b)))
+                asked.setdefault(i, {}).setdefault(k, []).append((int(a), int(b)))
             i += 1
-    for (i, k), regions in asked.items():
-        found = verify(grams[i], regions, known[k])
+    for i, regions in asked.items():
+        found = settle(grams[i], regions, known)
         if found:
             places = [m.span() for m in re.finditer(rb"[^ ]+", clean[i])]
-            out[i] += [(known[k].name, places[a][0], places[b + WORDS - 1][1]) for a, b in found]
+            out[i] += [(known[k].name, places[a][0], places[b + WORDS - 1][1]) for k, a, b in found]
     return [sorted(spans, key=lambda s: (s[1], s[2], s[0])) for spans in out]
 
 
-def findings(docs: DataFrame, rows=TEMPLATES) -> DataFrame:
+def findings(docs: DataFrame, rows=KNOWN) -> DataFrame:
     """One row for each document: doc_id, licenses (sorted distinct names), spans.
 
     A span has license, start and end (code points, end exclusive). Whole texts are read; a null

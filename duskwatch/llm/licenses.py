@@ -218,8 +218,9 @@ def candidates(grams: np.ndarray, known: list[Template]) -> list[tuple[int, int]
             levels = {1: values}
             for window, stride, ks, least in sizes:
                 minima = _minima(values, window, stride, levels)
-                for k, i in zip(*np.nonzero(least[:, None] == minima)):
-                    found.add((at + int(i) * stride, ks[k]))
+                for hit in np.flatnonzero(least[:, None] == minima).tolist():
+                    k, i = divmod(hit, len(minima))
+                    found.add((at + i * stride, ks[k]))
     return sorted(found)
 
 

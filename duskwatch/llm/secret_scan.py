@@ -179,8 +179,7 @@ def _calibrate(net: Network, codes, y, recall: float) -> None:
         a, b = max(a - 0.05 * (d * raw).mean(), 0.05), b - 0.05 * d.mean()
     net.scale, net.shift = float(a), float(b)
     secrets = np.sort(net.scores(codes)[y == 1])
-    lowest = secrets[int((1 - recall) * len(secrets))] if len(secrets) else 0.5
-    net.threshold = float(max(lowest, 0.5))
+    net.threshold = float(secrets[int((1 - recall) * len(secrets) + 1e-9)]) if len(secrets) else 0.5
 
 
 def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = 7) -> tuple[list[tuple[str, int, int]], np.ndarray]:

@@ -1,8 +1,9 @@
 """The whole job of the text scans: no notice, character or candidate is left out."""
 
+import numpy as np
 import pytest
 
-from duskwatch.llm import licenses
+from duskwatch.llm import licenses, secret_scan
 
 
 # --- licenses
@@ -41,3 +42,17 @@ def test_notices_of_two_versions_side_by_side():
 @pytest.mark.parametrize("name, text", licenses.FULL_TEXTS)
 def test_full_texts(name, text):
     assert set(names(f"words before\n{text}\nwords after")) == {name}
+
+
+# --- secrets
+
+@pytest.mark.parametrize("recall", [0.9, 0.99, 0.999, 1.0])
+def test_threshold_is_the_highest_that_keeps_the_recall(recall):
+    rng = np.random.default_rng(5)
+    raw, y = np.concatenate([rng.normal(-1, 2, 500), rng.normal(1, 2, 500)]), np.repeat([0.0, 1.0], 500)
+    net = secret_scan.Network({})
+    net._forward = lambda codes: (codes[:, 0],)
+    secret_scan._calibrate(net, raw[:, None], y, recall)
+    scores = net.scores(raw[:, None])[y == 1]
+    assert net.threshold < 0.5
+    assert (scores >= net.threshold).mean() >= recall > (scores > net.threshold).mean() - 1e-9

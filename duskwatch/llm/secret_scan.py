@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a character convolutional network over other candidates.
 
 The patterns always count. Beyond them every long run of key-like characters is a candidate; the
-network reads it with the text around it. It is trained on labelled findings that
+network reads it with the text around it, a longer run in overlapping windows of which the highest
+score counts. It is trained on labelled findings that
 ``labelled_findings`` writes (credentials of common forms in their usual surroundings, and
 look-alikes such as checksums in URLs, identifiers, numbers, file names and encoded pictures),
 its outputs are calibrated on a held-out part, and the threshold is the highest that keeps the
@@ -74,15 +75,24 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 _CODES = {c: i + 2 for i, c in enumerate(chr(k) for k in range(32, 127))}  # 0 nothing, 1 other
 _WIDE, _DIM, _FILTERS, _DENSE = 5, 8, 24, 16
+_AT_ONCE = 8192  # windows that are encoded at once
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping parts of a candidate that the network reads one by one; no character is left out."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    places = [*range(start, end - INSIDE, INSIDE // 2), end - INSIDE]
+    return [(a, a + INSIDE) for a in places]
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the candidate and its surroundings; of a long candidate both of its ends."""
+    """Codes of a candidate or window and its surroundings; of a longer one both of its ends."""
     run = text[start:end]
     if len(run) > INSIDE:
         run = run[: INSIDE // 2] + run[-INSIDE // 2 :]
     before, after = text[max(0, start - SIDE) : start], text[end : end + SIDE]
-    out = np.zeros(_LENGTH, np.int64)
+    out = np.zeros(_LENGTH, np.uint8)
     for at, part in ((SIDE - len(before), before), (SIDE, run), (SIDE + INSIDE, after)):
         out[at : at + len(part)] = [_CODES.get(c, 1) for c in part]
     return out
@@ -119,6 +129,24 @@ class Network:
         raw = np.concatenate([self._forward(codes[i : i + 512])[-1] for i in range(0, len(codes), 512)])
         return 1 / (1 + np.exp(-(self.scale * raw + self.shift)))
 
+    def highest(self, asked: list[tuple[str, int, int]]) -> np.ndarray:
+        """The highest score over the windows of each candidate (text, start, end)."""
+        best, of, codes = np.zeros(len(asked)), [], []
+
+        def read():
+            np.maximum.at(best, of, self.scores(np.stack(codes)))
+            of.clear(), codes.clear()
+
+        for i, (text, start, end) in enumerate(asked):
+            for a, b in windows(start, end):
+                of.append(i)
+                codes.append(encode(text, a, b))
+                if len(codes) == _AT_ONCE:
+                    read()
+        if codes:
+            read()
+        return best
+
     def gradients(self, codes, y):
         w = self.weights
         windows, conv, where, seen, hidden, raw = self._forward(codes)
@@ -182,6 +210,14 @@ def _calibrate(net: Network, codes, y, recall: float) -> None:
     net.threshold = float(secrets[int((1 - recall) * len(secrets) + 1e-9)]) if len(secrets) else 0.5
 
 
+def _calibrate_runs(net: Network, rows, y, recall: float) -> None:
+    """The same over whole candidates: the window with the highest raw output stands for each."""
+    net.scale, net.shift = 1.0, 0.0
+    best = [max(windows(a, b), key=lambda w: net.scores(encode(text, *w)[None])[0]) if b - a > INSIDE else (a, b)
+            for text, a, b in rows]
+    _calibrate(net, np.stack([encode(r[0], *w) for r, w in zip(rows, best)]), y, recall)
+
+
 def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = 7) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """(text, start, end) of candidates, and whether each is a secret; half of them are."""
     rng = np.random.default_rng(seed)
@@ -248,25 +284,33 @@ def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = 7) -> tuple[list[tupl
 
 @lru_cache(maxsize=4)
 def trained(findings: int = TRAIN_FINDINGS, recall: float = RECALL) -> Network:
-    """The network, the same for the same arguments; it is fitted once a driver."""
+    """The network, the same for the same arguments; it is fitted once a driver.
+
+    It learns from the windows of four fifths of the findings and from both ends of long ones; the
+    rest, by highest score as in a scan, calibrates it.
+    """
     rows, y = labelled_findings(findings)
-    return train(np.stack([encode(*r) for r in rows]), y, recall)
+    held = len(y) // 5
+    parts = [(text, a, b, label) for (text, start, end), label in zip(rows[held:], y[held:])
+             for a, b in sorted({(start, end), *windows(start, end)})]
+    net = train(np.stack([encode(*part[:3]) for part in parts]), np.array([part[3] for part in parts]), recall)
+    _calibrate_runs(net, rows[:held], y[:held], recall)
+    return net
 
 
 # --- over tables -------------------------------------------------------------------------------
 
 def scan(batch_texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
     """All spans of each text, by start, then kind. Candidates that touch a base span add none."""
-    found, asked, codes = [], [], []
+    found, asked = [], []
     for i, text in enumerate(batch_texts):
         spans = base_spans(text)
         found.append(spans)
         for a, b in candidates(text):
             if not any(a < end and start < b for start, end, _ in spans):
                 asked.append((i, a, b))
-                codes.append(encode(text, a, b))
     if asked:
-        for (i, a, b), score in zip(asked, net.scores(np.stack(codes))):
+        for (i, a, b), score in zip(asked, net.highest([(batch_texts[i], a, b) for i, a, b in asked])):
             if score >= net.threshold:
                 found[i] = sorted([*found[i], (a, b, 3)], key=lambda s: (s[0], s[2]))
     return found

@@ -1,6 +1,8 @@
 """Secret scans: fixed patterns, and a character convolutional network over other candidates.
 
-The patterns always count. Beyond them every long run of key-like characters is a candidate; the
+The patterns always count. Beside them every long run of key-like characters with a letter and a
+digit is a candidate, also one that touches a pattern, and so is every value of at least 8 characters
+after words that announce a credential; the
 network reads it with the text around it, a longer run in overlapping windows of which the highest
 score counts. It is trained on labelled findings that
 ``labelled_findings`` writes (credentials of common forms in their usual surroundings, and
@@ -59,18 +61,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of at least 16 key-like characters with both a letter and a digit among them."""
-    if b"\x01" * LEAST_CANDIDATE not in text.encode("latin-1", "replace").translate(_KEY_RUN):
+# Words that announce a credential, and the value after them, which may hold marks.
+LEAST_VALUE = 8
+_LEADS = ("pwd", "pass", "login", "credential", "auth", "key", "secret", "token", "bearer", "signature", "pin")
+_VALUE = re.compile(
+    r"""(?ai)(?:pwd|pass(?:word|wd|phrase|code)?|log[ -]?in(?:\x20with)?|credentials?|auth(?:orization)?|bearer|signature"""
+    r"""|(?:[a-z]+[ _-]?)?key|secret|token|pin)-*["']?(?:\x20+is)?[\x20\t]*[:=]*[\x20\t]*["']?(?=([^\s"'<>]{8,}))""")
+
+
+def _values(text: str) -> list[tuple[int, int]]:
+    lowered = text.lower()
+    if not any(lead in lowered for lead in _LEADS):
         return []
     found = []
-    for m in _CANDIDATE.finditer(text):
-        run = m.group()
-        if re.search("[0-9]", run) and re.search("[A-Za-z]", run):
-            found.append((m.start(), m.end()))
+    for m in _VALUE.finditer(text):
+        end = m.start(1) + len(m[1].rstrip(".,;:!?)]}"))
+        # The rest of the word that announces is no value.
+        if m.end() > 0 and text[m.end() - 1].isalnum() or end - m.start(1) < LEAST_VALUE:
+            continue
+        found.append((m.start(1), end))
     return found
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs of at least 16 key-like characters with both a letter and a digit among them, and
+    values of at least 8 characters of any kind after words that announce a credential."""
+    found = set(_values(text))
+    if b"\x01" * LEAST_CANDIDATE in text.encode("latin-1", "replace").translate(_KEY_RUN):
+        for m in _CANDIDATE.finditer(text):
+            run = m.group()
+            if re.search("[0-9]", run) and re.search("[A-Za-z]", run):
+                found.add((m.start(), m.end()))
+    return sorted(found)
+
+
 # --- the network -------------------------------------------------------------------------------
 
 _CODES = {c: i + 2 for i, c in enumerate(chr(k) for k in range(32, 127))}  # 0 nothing, 1 other
@@ -235,25 +259,31 @@ def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = 7) -> tuple[list[tupl
     def words(k):
         return [some(lower, 2, 9) for _ in range(k)]
 
+    leads = ["pwd ", "password ", "login with ", "credential: ", "key: ", "the key ", "token ", "access key ",
+             "auth=", "signature \"", "secret ", "bearer "]
+
     def secret():
-        kind = int(rng.integers(8))
+        kind = int(rng.integers(12))
         mixed = letters + digits
+        marks = "!@#$%^&*+?-_"
         value = (
             some(mixed, 20, 44), some(mixed + "+/", 40, 64), "ghp_" + some(mixed, 36),
             "sk_live_" + some(mixed, 24), some(hexes.upper(), 32, 40), "xoxb-" + some(digits, 12) + "-" + some(mixed, 24),
             "eyJ" + some(mixed + "_-", 40, 80), some(mixed + "_-", 16, 28),
+            some(letters, 6, 9) + some(digits, 1, 3) + some(marks, 1, 2) + some(mixed, 0, 4), some(mixed, 8, 15),
+            some(letters, 16, 32), some(mixed + marks, 8, 20),
         )[kind]
-        if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        if kind < 8 and not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
             value += "7x"
         lead = one(["Authorization: Bearer ", "private key ", "client_key = \"", "credential: ",
                     "auth=", "pwd ", "key: ", "access key ", "signature \"", "login with ", "TOKEN \"",
                     "API KEY ", "-----BEGIN KEY----- ", "export KEY=\"", "\"auth\": \""])
-        if rng.random() < 0.15:
+        if kind < 8 and rng.random() < 0.15:
             lead = " ".join(words(3)) + " "
         return lead, value, one(["", "\"", " ", "\"\n", "'", ";", " " + " ".join(words(2))])
 
     def other():
-        kind = int(rng.integers(9))
+        kind = int(rng.integers(12))
         value, lead, tail = (
             lambda: ("-".join(words(3)) + "-" + some(digits, 2, 4), "https://www.example.com/", ".html"),
             lambda: ("_".join(words(3)) + some(digits, 1, 3), "see ", "()"),
@@ -264,10 +294,14 @@ def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = 7) -> tuple[list[tupl
             lambda: ("/".join(words(2)) + "/" + some(digits, 2, 5) + "/" + some(lower, 4, 8), "in /", ".txt"),
             lambda: ("=" * int(rng.integers(14, 30)) + some(digits, 1) + some(lower, 2), "", ""),
             lambda: (some(lower, 12, 22) + some(digits, 1, 3), " ".join(words(2)) + " ", " " + " ".join(words(2))),
+            # Words of plain prose after the same leads: lower case, with a capital, with marks of prose.
+            lambda: (some(lower, 8, 16), one(leads), " " + " ".join(words(2))),
+            lambda: (some(lower, 8, 14).title(), one(leads), " " + " ".join(words(2))),
+            lambda: (some(lower, 3, 8) + one(["-", "/", "_", "..."]) + some(lower, 5, 9), one(leads), " " + " ".join(words(2))),
         )[kind]()
         if rng.random() < 0.2:
             value = value.upper()
-        if len(value) < LEAST_CANDIDATE:
+        if kind < 9 and len(value) < LEAST_CANDIDATE:
             value += some(lower, LEAST_CANDIDATE - len(value)) + "1"
         return lead, value, tail
 
@@ -301,14 +335,13 @@ def trained(findings: int = TRAIN_FINDINGS, recall: float = RECALL) -> Network:
 # --- over tables -------------------------------------------------------------------------------
 
 def scan(batch_texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
-    """All spans of each text, by start, then kind. Candidates that touch a base span add none."""
+    """All spans of each text, by start, then kind. Spans of the network may overlap others."""
     found, asked = [], []
     for i, text in enumerate(batch_texts):
         spans = base_spans(text)
         found.append(spans)
         for a, b in candidates(text):
-            if not any(a < end and start < b for start, end, _ in spans):
-                asked.append((i, a, b))
+            asked.append((i, a, b))
     if asked:
         for (i, a, b), score in zip(asked, net.highest([(batch_texts[i], a, b) for i, a, b in asked])):
             if score >= net.threshold:

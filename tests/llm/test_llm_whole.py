@@ -73,3 +73,27 @@ def test_key_in_the_middle_of_a_long_run():
     (start, end), = secret_scan.candidates(text)
     assert secret_scan.encode(text, start, end).tolist() == secret_scan.encode(plain, start, start + len(plain) - len(text) + end - start).tolist()
     assert [s[2] for s in secret_scan.scan([text], net)[0]] == [3]
+
+
+def test_candidates_that_touch_a_pattern_count_as_well():
+    key = "live-" + "0123456789abcdef" * 2 + "-QWERTYasdf12"
+    text = f"Authorization: Bearer {key} and more"
+    spans = secret_scan.scan([text], secret_scan.trained())[0]
+    assert (27, 59, 2) in spans and any(k == 3 and a <= 22 and b >= 22 + len(key) for a, b, k in spans)
+    assert secret_scan.redact(text, spans) == "Authorization: Bearer [secret] and more"
+
+
+@pytest.mark.parametrize("lead, value", [
+    ("pwd ", "hQz7!kPw2"), ("login with ", "rT9vLx2Qm8"), ("credential: ", "Wq$3nB*8zKd1"), ("key: ", "kQwZrTbVxLmNpSdFgHjK"),
+])
+def test_short_and_marked_values_after_leads(lead, value):
+    text = f"some words before, {lead}{value} and after"
+    start = text.index(value)
+    assert secret_scan.candidates(text) == [(start, start + len(value))]
+
+
+def test_short_values_not_seen_before():
+    net = secret_scan.trained()
+    rows, y = secret_scan.labelled_findings(2000, seed=4321)
+    short = [r for r, label in zip(rows, y) if label and r[2] - r[1] < secret_scan.LEAST_CANDIDATE]
+    assert len(short) > 50 and (net.highest(short) >= net.threshold).mean() > 0.95

@@ -66,24 +66,34 @@ def resolve_models(runs: DataFrame, dim: DataFrame) -> DataFrame:
         "resolved", F.coalesce("_id", "model")).drop("_id")
 
 
-def unknown_models(runs: DataFrame, dim: DataFrame, max_models: int = 10_000) -> DataFrame:
+# Aliases that travel together in one row.
+ALIASES_A_ROW = 1_000
+
+
+def unknown_models(runs: DataFrame, dim: DataFrame, max_models: int | None = None) -> DataFrame:
     """Requested names that no catalogue entry has, with the nearest alias by edit distance.
 
-    The catalogue is a hand-written file; its aliases travel as one array, and the job fails
-    when there are more than ``max_models`` of them.
+    Aliases of a catalogue of any size are dealt over rows, and every missing name meets each of
+    them in an equi join; ties go to the first alias. A caller may give ``max_models`` to have the
+    job fail when there are more aliases than that.
     """
     names = dim.select(F.explode(F.array("alias", "id")).alias("model")).distinct()
     asked = runs.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     missing = asked.join(names, "model", "left_anti")
-    few = dim.select("alias").distinct().limit(max_models + 1)
-    aliases = few.agg(F.array_sort(F.collect_set("alias")).alias("a")).scalar()
-    out = missing.withColumn("_aliases", aliases).where(
-        F.assert_true(F.size("_aliases") <= max_models, "catalogue too large").isNull())
-    best = F.array_min(F.transform(
+    aliases = dim.select("alias").where(F.col("alias").isNotNull()).distinct()
+    count = aliases.agg(F.count(F.lit(1))).scalar()
+    rows = F.greatest(F.ceil(count / ALIASES_A_ROW), F.lit(1)).cast("int")
+    dealt = aliases.groupBy(F.pmod(F.xxhash64("alias"), rows).cast("int").alias("_row")).agg(
+        F.collect_list("alias").alias("_aliases"))
+    if max_models is not None:
+        missing = missing.where(F.assert_true(count <= max_models, "catalogue too large").isNull())
+    met = missing.withColumn("_row", F.explode(F.sequence(F.lit(0), rows - 1))).join(dealt, "_row", "left")
+    nearest = F.array_min(F.transform(
         "_aliases",
         lambda a: F.struct(F.levenshtein(F.col("model"), a).alias("distance"), a.alias("alias"))))
-    return out.select("model", "n", best["alias"].alias("nearest"),
-                      best["distance"].cast("bigint").alias("distance"))
+    best = met.groupBy("model", "n").agg(F.min(nearest).alias("best"))
+    return best.select("model", "n", F.col("best.alias").alias("nearest"),
+                       F.col("best.distance").cast("bigint").alias("distance"))
 
 
 # --- per run -------------------------------------------------------------------------------------

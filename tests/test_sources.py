@@ -251,3 +251,14 @@ def test_bounded_results(spark, tmp_path):
     results.bounded(df, path, "id")
     results.bounded(df, path, "id", run="other")
     assert results.read_slice(spark, path, 10000, 1, 10_000).count() == 2 * 5001
+
+
+def test_unknown_models_of_a_large_catalogue(spark):
+    from duskwatch.operators import runs
+    dim = spark.range(12_000).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("alias"),
+                                     F.lit("x").alias("id"))
+    asked = spark.createDataFrame([("m11999q",), ("k42",), ("m7",)], "model string")
+    assert sorted(tuple(r) for r in runs.unknown_models(asked, dim).collect()) == [
+        ("k42", 1, "m42", 1), ("m11999q", 1, "m11999", 1)]
+    assert [tuple(r) for r in runs.unknown_models(asked, dim.limit(0)).orderBy("model").collect()] == [
+        ("k42", 1, None, None), ("m11999q", 1, None, None), ("m7", 1, None, None)]

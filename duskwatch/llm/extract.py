@@ -27,11 +27,14 @@ TRAIN_PAGES = 900
 _CELLS = 16_384  # blocks, padding included, that are read at once
 
 _INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark
-    nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr""".split())
+    nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose
+    msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics
+    annotation annotation-xml""".split())
 _VOID = frozenset("""area base basefont br col embed frame hr img input keygen link meta param source
     track wbr""".split())
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in
-        ("script", "style", "noscript", "template", "iframe", "svg", "math", "title", "textarea")}
+# What HTML reads as raw text up to the closing tag.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "iframe", "title", "textarea")}
 # An open element of these names ends where one of the named elements begins.
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
              "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from duskwatch.llm import licenses, secret_scan
+from duskwatch.llm import extract, licenses, secret_scan
 
 
 # --- licenses
@@ -97,3 +97,13 @@ def test_short_values_not_seen_before():
     rows, y = secret_scan.labelled_findings(2000, seed=4321)
     short = [r for r, label in zip(rows, y) if label and r[2] - r[1] < secret_scan.LEAST_CANDIDATE]
     assert len(short) > 50 and (net.highest(short) >= net.threshold).mean() > 0.95
+
+
+# --- extraction
+
+def test_blocks_of_elements_that_are_not_raw_text():
+    page = """<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><noscript><p>plain</p></noscript>
+        <template><p>shape</p></template><svg><svg><text>inner</text></svg><text>outer</text></svg>
+        <svg><p>after an open one</p><script>var no</script></article>"""
+    assert [b.text for b in extract.blocks(page)] == [
+        "let x=1 be", "plain", "shape", "inner", "outer", "after an open one"]

@@ -102,16 +102,18 @@ def egress(events: DataFrame, path: str, limit: int, window: str = "1 hour", sli
 def dedupe(events: DataFrame, keys: list[str], path: str, ts: str = "event_ts") -> DataFrame:
     """Each record once, however far apart its copies come.
 
-    Rows are stored by day, and a batch is compared with the days it touches only.
+    Rows are stored by day. Where the time is among the keys, a batch is compared with the days it
+    touches only, otherwise with all that is stored.
     """
     spark = events.sparkSession
+    by = ["day", *keys] if ts in keys else keys
     days = events.withColumn("day", F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date")))
 
     def add(batch: DataFrame, number: int) -> None:
-        seen = _stored(spark, path, days.schema).where(F.col("batch") != number).select("day", *keys)
-        fresh = batch.dropDuplicates(["day", *keys]).alias("b")
-        same = F.col("b.day") == F.col("s.day")
-        for k in keys:
+        seen = _stored(spark, path, days.schema).where(F.col("batch") != number).select(*by)
+        fresh = batch.dropDuplicates(by).alias("b")
+        same = F.lit(True)
+        for k in by:
             same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}"))
         new = fresh.join(seen.alias("s"), same, "left_anti")
         new.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")

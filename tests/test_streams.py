@@ -161,3 +161,15 @@ def test_hunts_are_found_by_name(spark):
         hunts.hunt("beacons", "net")(len)
     df = spark.createDataFrame([("tls", ("a",))], "event_type string, tls struct<sni: string>")
     assert hunts.run_hunt("net_rare_names", df).select(F.col("sni")).first().sni == "a"
+
+
+def test_backlog_dedupe_by_keys_without_time(spark, tmp_path):
+    from duskwatch.streaming import backlog
+    schema = "event_ts timestamp, id int"
+    rows = [("2026-01-06 10:00:00", 1), ("2026-01-07 10:00:00", 1), ("2026-01-07 11:00:00", 2)]
+    data = spark.createDataFrame(rows, "t string, id int").select(F.to_timestamp("t").alias("event_ts"), "id")
+    for i, part in enumerate((data.limit(2), data)):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    once = backlog.dedupe(events, ["id"], scratch(spark, "once"))
+    assert sorted(r.id for r in once.collect()) == [1, 2]

@@ -49,7 +49,7 @@ def _path_tokens(name: str, attributes: str) -> list[str]:
     tokens = [name]
     for m in _NAMED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        tokens += [f".{t.lower()}" for t in _TOKEN.findall(value)[:12] if not t.isdigit()]
+        tokens += [f".{t.lower()}" for t in _TOKEN.findall(value) if not t.isdigit()]
     return tokens
 
 

@@ -107,3 +107,8 @@ def test_blocks_of_elements_that_are_not_raw_text():
         <svg><p>after an open one</p><script>var no</script></article>"""
     assert [b.text for b in extract.blocks(page)] == [
         "let x=1 be", "plain", "shape", "inner", "outer", "after an open one"]
+
+
+def test_all_names_of_an_element_are_in_its_path():
+    block, = extract.blocks(f"<div class='{'px-4 sm:px-6 ' * 12}comments'>text</div>")
+    assert ".comments" in block.path[-1]

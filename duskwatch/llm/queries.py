@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from duskwatch.llm import (
-    chat, extract, licenses, maxscore, mixing, ngram_join, packing, quality, secret_scan, zip_archive)
+    alignment, chat, extract, licenses, maxscore, mixing, ngram_join, packing, quality, repeats,
+    secret_scan, whitening, zip_archive)
 from duskwatch.plans.adapters import table
 from duskwatch.plans.registry import query
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query("op1_extraction")
@@ -118,4 +120,44 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.findings(table(spark, sf_dir, "documents")))
 
 
+@query("op11_alignment")
+def op11_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+OP12 = r"""
+with words as (
+    select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+    from documents
+), windows as (
+    select r, i, array_to_string(w[i : i + 34], ' ') as g
+    from (select r, w, unnest(range(1, len(w) - 33)) as i from words where len(w) >= 35)
+), repeated as (
+    select r, i from (select r, i, count(*) over (partition by g) as c from windows) where c > 1
+), each as (
+    select r, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from words
+), judged as (
+    select e.r, e.i, e.word, coalesce(max(p.i) over (partition by e.r order by e.i) > e.i - 35, false) as gone
+    from each e left join repeated p on e.r = p.r and e.i = p.i
+), kept as (
+    select r, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as text
+    from judged group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+       sha256(coalesce(k.text, '')) as kept_sha256
+from words left join kept k using (r)
+"""
+
+
+@query("op12_repeats", OP12)
+def op12_repeats(spark, sf_dir):
+    return repeats.removed(table(spark, sf_dir, "documents"),
+                           columns=("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from duskwatch.llm.common import slices, texts
 from duskwatch.session import materialize
 
-#: Links that a run holds, distinct parts of texts that a worker remembers, pairs in a block.
-LINKS_A_RUN = 4_000_000
-PARTS_KEPT = 600_000
+#: Links that a run holds, distinct parts of texts that a worker remembers, bytes of text that are
+#: cut into parts at a time, pairs in a block.
+LINKS_A_RUN = 3_000_000
+PARTS_KEPT = 300_000
+SLICE_BYTES = 1 << 20
 PAIRS_A_BLOCK = 1 << 15
 CHARS_A_BUCKET = 64_000_000
 
@@ -437,7 +439,7 @@ def spilled(docs: DataFrame, path_a: str, path_b: str, links_a_run: int = LINKS_
 
     def rows(batches):
         aligner, run = aligner_of(path_a, path_b), Run(parts)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             if len(aligner.strings) > PARTS_KEPT:
                 aligner.forget()
             _add_texts(run, aligner, batch.column("doc_id").to_pylist(), texts(batch, "text"))

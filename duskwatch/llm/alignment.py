@@ -17,6 +17,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import slices, texts
+from duskwatch.llm.tokens import byte_level, entry_bytes, parts_of, plain
 from duskwatch.session import materialize
 
 #: Links that a run holds, distinct parts of texts that a worker remembers, bytes of text that are
@@ -33,25 +35,17 @@ from duskwatch.session import materialize
 LINKS_A_RUN = 3_000_000
 PARTS_KEPT = 300_000
 SLICE_BYTES = 1 << 20
+PARTS_AT_ONCE = 4_000
 PAIRS_A_BLOCK = 1 << 15
 CHARS_A_BUCKET = 64_000_000
 
 TOTALS, COUNTS, RECORDS = 0, 1, 2
-_MARK = "\x01"
 _A_BITS = np.uint64(16)
 
 
 # --- tokens and links --------------------------------------------------------------------------
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The letters that byte-level vocabularies write bytes with: printable ones stand for
-    themselves, all others for the letters from U+0100 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def piece_bytes(piece: str) -> bytes:
     """Bytes of a piece: <0xHH> is a byte, U+2581 is a space."""
     if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">"):
@@ -60,13 +54,16 @@ def piece_bytes(piece: str) -> bytes:
 
 
 @dataclass
-class Part:
-    """Tokens of both sides for a stretch of text at whose ends both sides end."""
+class Parts:
+    """Several stretches of text after each other, at whose ends both sides end.
+
+    ``sizes`` has tokens of A, tokens of B, groups and links of each, ``groups`` its groups as
+    text, and ``pairs`` the links of all, B id times 65,536 plus A id.
+    """
 
-    n_a: int
-    n_b: int
+    sizes: np.ndarray
     groups: list[str]
-    pairs: list[int]
+    pairs: np.ndarray
 
 
 class Aligner:
@@ -79,79 +76,98 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
+        self.encode_a, entries = byte_level(path_a)
         self.b = SentencePieceProcessor(model_file=path_b)
-        letters = byte_alphabet()
-        entries = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(entries.values()) + 1)
-        for entry, i in entries.items():
-            self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+        self.a_bytes = entry_bytes(entries)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [piece_bytes(p) for p in pieces]
+        self.a_length, self.b_length = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.lead = self.b.encode("\n")
+        # Every id with each mark that can follow it: inside a group, at the end of its side, of a part.
+        ids = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.written = [i + mark for mark in ",|;\n" for i in ids]
+        self.marks = len(ids)
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.strings: list[str] = []
-        self.sizes = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links
+        self.sizes = np.zeros((0, 4), np.int64)
         self.offsets = np.zeros(1, np.int64)
         self.pairs = np.zeros(0, np.uint64)
-
-    def align(self, ids_a: list[int], ids_b: list[int], raw: bytes) -> Part | None:
-        """Groups and links of two id lists, or nothing if either does not spell ``raw``."""
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[i] for i in ids_a]) != raw or b"".join([b_bytes[i] for i in ids_b]) != raw:
+        self.new_sizes: list[np.ndarray] = []
+        self.new_pairs: list[np.ndarray] = []
+
+    def align(self, ids_a: list[int], ids_b: list[int], parts: list[bytes]) -> Parts | None:
+        """Groups and links of two id lists, or nothing if either does not spell the parts, or has a
+        token across two of them."""
+        raw = b"".join(parts)
+        if (b"".join(map(self.a_bytes.__getitem__, ids_a)) != raw
+                or b"".join(map(self.b_bytes.__getitem__, ids_b)) != raw):
+            return None
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        ends = np.cumsum([len(p) for p in parts])
+        if not (np.isin(ends, ends_a, assume_unique=True).all() and np.isin(ends, ends_b, assume_unique=True).all()):
             return None
-        groups, pairs, own_a, own_b = [], [], [], []
-        b_of, end_a, end_b, b = iter(ids_b), 0, 0, -1
-        for a in ids_a:
-            own_a.append(str(a))
-            start, end_a = end_a, end_a + len(a_bytes[a])
-            if end_b > start:
-                pairs.append(b << 16 | a)
-            while end_b < end_a:
-                b = next(b_of)
-                own_b.append(str(b))
-                end_b += len(b_bytes[b])
-                pairs.append(b << 16 | a)
-            if end_a == end_b:
-                groups.append(f"{','.join(own_a)}|{','.join(own_b)}")
-                own_a, own_b = [], []
-        return Part(len(ids_a), len(ids_b), groups, pairs)
-
-    def whole(self, text: str) -> Part | None:
-        ids_a = self.a.encode(" " + text, add_special_tokens=False).ids
-        return self.align(ids_a, self.b.encode(text), (" " + text).encode())
+        # Between two neighbouring ends of either side lie the bytes of one link.
+        edges = np.union1d(ends_a, ends_b)
+        pairs = (b[np.searchsorted(ends_b, edges)] << 16 | a[np.searchsorted(ends_a, edges)]).astype(np.uint64)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        sizes = np.stack([np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (ends_a, ends_b, cuts, edges)], 1)
+        groups = np.concatenate([np.searchsorted(cuts, ends_a) * 2, np.searchsorted(cuts, ends_b) * 2 + 1])
+        mark = np.concatenate([np.isin(ends_a, cuts) * 1, np.isin(ends_b, cuts) * 2 + np.isin(ends_b, ends)])
+        words = (np.concatenate([a, b]) + mark * self.marks)[np.argsort(groups, kind="stable")]
+        text = "".join(map(self.written.__getitem__, words.tolist()))
+        return Parts(sizes, text.split("\n")[:-1], pairs)
+
+    def whole(self, text: str) -> Parts | None:
+        return self.align(self.encode_a(" " + text), self.b.encode(text), [(" " + text).encode()])
 
     def learn(self, parts: list[str]) -> None:
-        """Remember new parts; those that cannot be spelled have the size -1."""
-        encoded_a = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        # The model puts a space before a text; a line break keeps it off parts that have none.
-        encoded_b = self.b.encode([p[1:] if p[0] == " " else "\n" + p for p in parts], num_threads=1)
-        sizes, pairs = [], []
-        for part, a, b in zip(parts, encoded_a, encoded_b):
+        """Remember new parts; those that cannot be spelled have the size -1.
+
+        Parts that begin with a space follow each other as in a text, all others follow a line break.
+        """
+        row = [p for p in parts if p[0] == " "]
+        for part in parts:
             if part[0] != " ":
-                b = b[len(self.lead):] if b[: len(self.lead)] == self.lead else [0]
-            found = self.align(a.ids, b, part.encode())
-            self.index[part] = len(self.strings)
-            self.strings.append(";".join(found.groups) if found else "")
-            sizes.append((found.n_a, found.n_b, len(found.groups), len(found.pairs)) if found else (-1, 0, 0, 0))
-            pairs += found.pairs if found else []
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 4)])
+                row += ["\n", part] if part != "\n" else ["\n", " a"]
+        for at in range(0, len(row), PARTS_AT_ONCE):
+            own = row[at : at + PARTS_AT_ONCE]
+            if own[0][0] != " ":
+                own = [" a", *own]
+            found = self.spelled(own)
+            if found:
+                self.remember(own, found)
+            else:
+                for part in own:
+                    alone = [part] if part[0] == " " else [" a", "\n"] if part == "\n" else [" a", "\n", part]
+                    found = self.spelled(alone)
+                    if found:
+                        self.remember(alone, found)
+                    elif part not in self.index:
+                        self.remember([part], Parts(np.array([[-1, 0, 0, 0]]), [""], np.zeros(0, np.uint64)))
+        for part in parts:
+            if part not in self.index:
+                self.remember([part], Parts(np.array([[-1, 0, 0, 0]]), [""], np.zeros(0, np.uint64)))
+        self.sizes = np.concatenate([self.sizes, *self.new_sizes])
         self.offsets = np.concatenate(([0], np.cumsum(self.sizes[:, 3])))
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.uint64)])
+        self.pairs = np.concatenate([self.pairs, *self.new_pairs])
+        self.new_sizes, self.new_pairs = [], []
 
+    def spelled(self, parts: list[str]) -> Parts | None:
+        """Parts that make up a text which begins with a space."""
+        text = "".join(parts)
+        return self.align(self.encode_a(text), self.b.encode(text[1:]), [p.encode() for p in parts])
 
-def _plain(text: str) -> bool:
-    """Is all white space single, a space or a line break, and between other characters?"""
-    return (text[0] not in " \n" and text[-1] not in " \n"
-            and not any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
-            and text.replace("\n", "").isprintable())
+    def remember(self, parts: list[str], found: Parts) -> None:
+        for part, groups in zip(parts, found.groups):
+            self.index[part] = len(self.strings)
+            self.strings.append(groups)
+        self.new_sizes.append(found.sizes)
+        self.new_pairs.append(found.pairs)
 
 
 # --- runs ------------------------------------------------------------------------------------------
@@ -292,34 +308,38 @@ def _add_texts(run: Run, aligner: Aligner, doc_ids: list, own_texts: list[str])
     n = len(own_texts)
     sizes, digests = np.zeros((n, 4), np.int64), [""] * n
     docs, pairs, times = [], [], []
-    cut: list[tuple[int, list[str]]] = []
-    whole: list[int] = []
+    whole, cut, counts, parts = [], [], [], []
     for d, text in enumerate(own_texts):
         if not text:
             continue
-        if aligner.cuts and _plain(text):
-            # The mark is not printable, so it does not stand in the text.
-            cut.append((d, (" " + text).replace(" ", _MARK + " ").replace("\n", _MARK + "\n" + _MARK).split(_MARK)[1:]))
+        if aligner.cuts and plain(text):
+            own = parts_of(text)
+            own[0] = " " + own[0]
+            cut.append(d)
+            counts.append(len(own))
+            parts += own
         else:
             whole.append(d)
-    index = aligner.index
-    missing = [p for p in dict.fromkeys(p for _, parts in cut for p in parts) if p not in index]
-    if missing:
-        aligner.learn(missing)
-    found, owner = [], []
-    for d, parts in cut:
-        at = np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
-        own = aligner.sizes[at]
-        if (own[:, 0] < 0).any():
-            whole.append(d)
-            continue
-        sizes[d] = own.sum(axis=0)
-        digests[d] = hashlib.sha256(";".join(map(aligner.strings.__getitem__, at.tolist())).encode()).hexdigest()
-        found.append(at)
-        owner.append(np.full(len(at), d))
-    if found:
+    if parts:
+        at = np.fromiter(map(aligner.index.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = [parts[i] for i in np.flatnonzero(at < 0).tolist()]
+        if missing:
+            aligner.learn(list(dict.fromkeys(missing)))
+            at[at < 0] = np.fromiter(map(aligner.index.__getitem__, missing), np.int64, len(missing))
+        starts = np.cumsum([0, *counts[:-1]])
+        own = np.add.reduceat(aligner.sizes[at], starts)
+        odd = np.minimum.reduceat(aligner.sizes[at, 0], starts) < 0
+        owner = np.repeat(np.array(cut), counts)
+        for d, size, bad, a, n in zip(cut, own, odd.tolist(), starts.tolist(), counts):
+            if bad:
+                whole.append(d)
+                continue
+            sizes[d] = size
+            text = ";".join(map(aligner.strings.__getitem__, at[a : a + n].tolist()))
+            digests[d] = hashlib.sha256(text.encode()).hexdigest()
+        good = ~np.repeat(odd, counts)
         known = len(aligner.strings)
-        codes, often = np.unique(np.concatenate(owner) * known + np.concatenate(found), return_counts=True)
+        codes, often = np.unique(owner[good] * known + at[good], return_counts=True)
         part, doc = codes % known, codes // known
         links = aligner.sizes[part, 3]
         within = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
@@ -330,9 +350,9 @@ def _add_texts(run: Run, aligner: Aligner, doc_ids: list, own_texts: list[str])
         part = aligner.whole(own_texts[d])
         if part is None:
             continue
-        sizes[d] = part.n_a, part.n_b, len(part.groups), len(part.pairs)
-        digests[d] = hashlib.sha256(";".join(part.groups).encode()).hexdigest()
-        linked, often = np.unique(np.array(part.pairs, np.uint64), return_counts=True)
+        sizes[d] = part.sizes[0]
+        digests[d] = hashlib.sha256(part.groups[0].encode()).hexdigest()
+        linked, often = np.unique(part.pairs, return_counts=True)
         pairs.append(linked)
         docs.append(np.full(len(linked), d))
         times.append(often)

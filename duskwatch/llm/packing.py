@@ -8,6 +8,7 @@ room, whose leaves are stacks of open windows, finds it in log2(window) steps.
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.llm.common import slices, texts
+from duskwatch.llm.tokens import byte_level, entry_bytes, parts_of, plain
 from duskwatch.session import materialize
 
 WINDOW = 2048
@@ -23,80 +25,91 @@ END = 1
 _END_BYTES = END.to_bytes(4, "little")
 PIECES_PER_GROUP = 50_000
 PIECES_WITH_IDS_PER_GROUP = 5_000
-_CACHED_PARTS = 500_000
+_PARTS_KEPT = 500_000
+_PARTS_AT_ONCE = 4_000
 _TOKENS_PER_BATCH = 4_000_000
-_MARK = "\x01"
-_MARKS = ".,;:!?*#$%&|<>()[]\"'-"
+_SLICE_BYTES = 2 << 20
 
 
 class Tokens:
     """Ids of whole texts as little-endian 32-bit numbers, with those of recurring parts kept.
 
-    The tokenizer never lets a token span the place before a single space, or either side of a
-    single line break, that stands between two other characters. Texts in which all white space
-    is like that are cut there, and parts seen before are not encoded again. Other texts are
-    encoded whole. A bounded number of parts is kept.
+    Plain texts are cut where no token spans, and parts seen before are not encoded again. Other
+    texts are encoded whole, and those with the string of a special token by ``tokenizers`` itself.
+    A bounded number of parts is kept.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.encode, entries = byte_level(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        self.ids: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        # The byte-level alphabet writes a space as this letter.
-        self.opens[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
-
-    def _encode_spaced(self, parts: list[str]) -> list[bytes]:
-        """Parts that begin with their only space, as one text; such a token opens each."""
-        encoded = self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)
-        ids = np.array(encoded[0].ids, "<u4")
-        whole = ids.tobytes()
-        starts = (np.flatnonzero(self.opens[ids]) * 4).tolist() + [len(whole)]
-        if len(starts) != len(parts) + 1:
-            return self._encode(parts)
-        return [whole[a:b] for a, b in zip(starts, starts[1:])]
-
-    def _new(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of parts not seen before. No token spans a letter and a mark behind it."""
-        heads = {}
-        for part in missing:
-            head = part.rstrip(_MARKS)
-            if head != part and head and head[-1].isalpha():
-                heads[part] = head
-        split = set(heads.values()) | {p[len(h):] for p, h in heads.items()}
-        wanted = [p for p in missing if p not in heads]
-        wanted += [p for p in split.difference(wanted) if p not in self.ids]
-        spaced = [p for p in wanted if p[0] == " "]
-        others = [p for p in wanted if p[0] != " "]
-        fresh = dict(zip(spaced, self._encode_spaced(spaced))) if spaced else {}
-        fresh.update(zip(others, self._encode(others)))
-        ids_of = lambda p: fresh[p] if p in fresh else self.ids[p]
-        fresh.update({p: ids_of(h) + ids_of(p[len(h):]) for p, h in heads.items()})
-        return fresh
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.length = np.array([len(x) for x in entry_bytes(entries)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.sizes = np.zeros(0, np.int64)
+        self.offsets = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember new parts. Those with a space in front are encoded as texts of many of them."""
+        spaced = [p for p in parts if p[0] == " "]
+        others = [p for p in parts if p[0] != " "]
+        ids, sizes = [self.ids], [self.sizes]
+        for at in range(0, len(spaced), _PARTS_AT_ONCE):
+            own = spaced[at : at + _PARTS_AT_ONCE]
+            found = np.array(self.encode("".join(own)), "<u4")
+            ends, wanted = np.cumsum(self.length[found]), np.cumsum([len(p.encode()) for p in own])
+            if not np.isin(wanted, ends).all():
+                others += own
+                continue
+            self.index.update(zip(own, range(len(self.index), len(self.index) + len(own))))
+            ids.append(found)
+            sizes.append(np.diff(np.searchsorted(ends, wanted, "right"), prepend=0))
+        alone = [np.array(self.encode(p), "<u4") for p in others]
+        self.index.update(zip(others, range(len(self.index), len(self.index) + len(others))))
+        self.ids = np.concatenate([*ids, *alone])
+        self.sizes = np.concatenate([*sizes, [len(x) for x in alone]]).astype(np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+
+    def many(self, own_texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out, cut, counts, parts = [b""] * len(own_texts), [], [], []
+        for i, text in enumerate(own_texts):
+            if not text:
+                continue
+            if any(s in text for s in self.special):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out[i] = np.array(ids, "<u4").tobytes()
+            elif not plain(text):
+                out[i] = np.array(self.encode(text), "<u4").tobytes()
+            else:
+                own = parts_of(text)
+                cut.append(i)
+                counts.append(len(own))
+                parts += own
+        if not parts:
+            return out
+        if len(self.index) > _PARTS_KEPT:
+            self.forget()
+        at = np.fromiter(map(self.index.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = [parts[i] for i in np.flatnonzero(at < 0).tolist()]
+        if missing:
+            self._learn(list(dict.fromkeys(missing)))
+            at[at < 0] = np.fromiter(map(self.index.__getitem__, missing), np.int64, len(missing))
+        sizes = self.sizes[at]
+        before = np.cumsum(sizes) - sizes
+        whole = self.ids[np.repeat(self.offsets[at] - before, sizes) + np.arange(sizes.sum())].tobytes()
+        starts = before[np.cumsum([0, *counts[:-1]])] * 4
+        for i, a, b in zip(cut, starts.tolist(), [*starts[1:].tolist(), len(whole)]):
+            out[i] = whole[a:b]
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not _plain(text):
-            return self._encode([text])[0]
-        # The mark is not printable, so it does not stand in the text.
-        parts = text.replace(" ", _MARK + " ").replace("\n", _MARK + "\n" + _MARK).split(_MARK)
-        known = self.ids
-        missing = [p for p in dict.fromkeys(parts) if p not in known]
-        if missing:
-            fresh = self._new(missing)
-            if len(known) < _CACHED_PARTS:
-                known.update(fresh)
-            else:
-                known = {p: known.get(p) or fresh[p] for p in parts}
-        return b"".join(map(known.__getitem__, parts))
+        return self.many([text])[0]
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -109,16 +122,6 @@ def tokens_of(path: str) -> Tokens:
     return _TOKENS[path]
 
 
-def _plain(text: str) -> bool:
-    """Is all white space single, a space or a line break, and between other characters?
-
-    Besides the space, no white space is printable.
-    """
-    return (text[0] not in " \n" and text[-1] not in " \n"
-            and not any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
-            and text.replace("\n", "").isprintable())
-
-
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, ids: bool = True) -> DataFrame:
     """Pieces of documents, each at most a window long.
 
@@ -138,10 +141,10 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, ids: bool = T
 
     def run(batches):
         tokens = tokens_of(path)
-        for batch in slices(batches):
+        for batch in slices(batches, _SLICE_BYTES):
             rows, pieces, held = [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
-                whole = tokens(text) + _END_BYTES
+            for doc, own in zip(batch.column("doc_id").to_pylist(), tokens.many(texts(batch, "text"))):
+                whole = own + _END_BYTES
                 total = len(whole) // 4
                 for at in range(0, total, window):
                     piece = whole[4 * at : 4 * (at + window)]

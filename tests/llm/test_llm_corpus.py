@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from duskwatch.llm import alignment, repeats, whitening
+from duskwatch.llm import alignment, packing, repeats, tokens, whitening
 from duskwatch.llm.queries import PIECES, TOKENIZER
 from duskwatch.session import utc
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ def plainly_aligned(rows):
     side_a = Tokenizer.from_file(TOKENIZER)
     side_a.encode_special_tokens = True
     side_b = SentencePieceProcessor(model_file=PIECES)
-    letters, entry = alignment.byte_alphabet(), {i: e for e, i in side_a.get_vocab().items()}
+    letters, entry = tokens.byte_alphabet(), {i: e for e, i in side_a.get_vocab().items()}
     counts, docs = Counter(), []
     for doc, text in rows:
         raw = (" " + (text or "")).encode()
@@ -100,13 +100,28 @@ def test_parts_are_aligned_as_whole_texts():
     rng, aligner = random.Random(5), alignment.Aligner(TOKENIZER, PIECES)
     letters = "abcXYZ .,'-_/()09é你ß\U0001f600\n"
     whole = [t for t in ("".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(4000))]
-    run, plain = alignment.Run(1), [t for t in whole if alignment._plain(t)]
+    run, plain = alignment.Run(1), [t for t in whole if tokens.plain(t)]
     assert len(plain) > 500
     alignment._add_texts(run, aligner, list(range(len(plain))), plain)
     for text, size, digest in zip(plain, np.concatenate(run.sizes), run.digests):
         part = aligner.whole(text)
-        assert tuple(size) == (part.n_a, part.n_b, len(part.groups), len(part.pairs)), text
-        assert digest == hashlib.sha256(";".join(part.groups).encode()).hexdigest()
+        assert size.tolist() == part.sizes[0].tolist(), text
+        assert digest == hashlib.sha256(part.groups[0].encode()).hexdigest()
+
+
+def test_ids_are_those_of_the_tokenizer(spark):
+    """Parts, whole texts and special strings, against ``tokenizers`` over whole texts."""
+    from tokenizers import Tokenizer
+
+    plainly, rng, own = Tokenizer.from_file(TOKENIZER), random.Random(9), packing.Tokens(TOKENIZER)
+    given = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    letters = "abcXYZ .,'-_/()09é你ß\U0001f600\n\t\u00a0"
+    given += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    given += [t or "" for t in ODD] + ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny z"]
+    for at in range(0, len(given), 500):
+        texts = given[at : at + 500]
+        for text, ids in zip(texts, own.many(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == plainly.encode(text, add_special_tokens=False).ids, text
 
 
 def test_heap_merge():

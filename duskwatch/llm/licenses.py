@@ -26,7 +26,7 @@ from duskwatch.llm.license_texts import FULL_TEXTS
 WORDS = 5
 SHARE = (4, 5)
 MISS = 1e-6
-_CHUNK = 32_768
+_CHUNK = 262_144
 
 # Names of licenses and their notices. The SQL knows these only.
 TEMPLATES = [
@@ -178,49 +178,71 @@ def templates(rows=KNOWN) -> list[Template]:
     return [Template(*r) for r in rows]
 
 
-def _minima(values: np.ndarray, length: int, stride: int, levels: dict) -> np.ndarray:
-    """Minimum over the windows of that length, a stride apart, from minima over powers of two."""
-    power = 1 << (length.bit_length() - 1)
-    step = max(levels)
-    while step < power:
-        half = levels[step]
-        levels[2 * step] = np.minimum(half[: len(half) - step], half[step:])
-        step *= 2
-    at = levels[power]
-    n = min(_CHUNK, len(values) - length + 1)
-    return np.minimum(at[:n:stride], at[length - power : length - power + n : stride])
-
-
-def candidates(grams: np.ndarray, known: list[Template]) -> list[tuple[int, int]]:
+class Index:
+    """The bands of all templates, by size of window, and which shingles occur in any of them."""
+
+    def __init__(self, known: list[Template]):
+        self.known = known
+        most = max(t.bands for t in known)
+        salts = mix(np.arange(1, 2 * most + 1, dtype=np.uint64))
+        self.salts = [(salts[b], salts[most + b] | np.uint64(1)) for b in range(most)]
+        alike: dict[tuple[int, int], list[int]] = {}
+        for k, t in enumerate(known):
+            alike.setdefault((t.window, t.stride), []).append(k)
+        self.sizes = []
+        for (window, stride), ks in sorted(alike.items()):
+            held = np.unique(np.concatenate([known[k].grams for k in ks]))
+            bands = []
+            for b, (xor, times) in enumerate(self.salts):
+                own = [k for k in ks if b < known[k].bands]
+                if own:
+                    bands.append((xor, times, own, np.array([((known[k].grams ^ xor) * times).min() for k in own])))
+            self.sizes.append((window, stride, held, bands))
+        self.grams = np.unique(np.concatenate([t.grams for t in known]))
+        self.seen = np.zeros(1 << _SEEN_BITS, bool)
+        self.seen[self.grams >> _SEEN_SHIFT] = True
+
+    def occurrences(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of shingles that any template has, and these shingles."""
+        places = np.flatnonzero(self.seen[grams >> _SEEN_SHIFT])
+        own = grams[places]
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        held = self.grams[at] == own
+        return places[held], own[held]
+
+
+_SEEN_BITS = 20
+_SEEN_SHIFT = np.uint64(64 - _SEEN_BITS)
+
+
+def candidates(grams: np.ndarray, index: Index) -> list[tuple[int, int]]:
     """(place, template) of the windows that share a MinHash value with a template.
 
-    ``grams`` may hold the shingles of many texts one after the other.
+    ``grams`` may hold the shingles of many texts one after the other. The MinHash of a window is
+    one of its shingles, so windows without a shingle of any template of their size agree with
+    none of them and are passed over.
     """
-    most, longest = max(t.bands for t in known), max(t.window for t in known)
-    salts = mix(np.arange(1, 2 * most + 1, dtype=np.uint64))
-    padded = np.concatenate([grams, np.full(longest, np.uint64(0xFFFFFFFFFFFFFFFF))])
-    alike: dict[tuple[int, int], list[int]] = {}
-    for k, t in enumerate(known):
-        alike.setdefault((t.window, t.stride), []).append(k)
-    asked = []  # by band: the windows, and the templates of that size with their minima
-    for b in range(most):
-        xor, times = salts[b], salts[most + b] | np.uint64(1)
-        of = {size: [k for k in ks if b < known[k].bands] for size, ks in sorted(alike.items())}
-        asked.append((xor, times, [
-            (*size, ks, np.array([((known[k].grams ^ xor) * times).min() for k in ks]))
-            for size, ks in of.items() if ks]))
+    places, own = index.occurrences(grams)
     found = set()
-    for at in range(0, len(grams), _CHUNK):
-        part = padded[at : at + _CHUNK + longest]
-        for xor, times, sizes in asked:
-            values = (part ^ xor) * times
-            values[len(grams) - at :] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            levels = {1: values}
-            for window, stride, ks, least in sizes:
-                minima = _minima(values, window, stride, levels)
+    for window, stride, held, bands in index.sizes:
+        at = np.minimum(np.searchsorted(held, own), len(held) - 1)
+        near = places[held[at] == own]
+        if not len(near):
+            continue
+        steps = np.arange(-(-window // stride) + 1)
+        starts = (near // stride)[:, None] - steps
+        starts = np.unique(starts[(starts >= 0) & (starts * stride + window > near[:, None])]) * stride
+        for a in range(0, len(starts), max(1, _CHUNK // window)):
+            own_starts = starts[a : a + max(1, _CHUNK // window)]
+            ends = np.minimum(own_starts + window, len(grams))
+            sizes = ends - own_starts
+            offsets = np.cumsum(sizes) - sizes
+            inside = grams[np.repeat(own_starts - offsets, sizes) + np.arange(sizes.sum())]
+            for xor, times, ks, least in bands:
+                minima = np.minimum.reduceat((inside ^ xor) * times, offsets)
                 for hit in np.flatnonzero(least[:, None] == minima).tolist():
                     k, i = divmod(hit, len(minima))
-                    found.add((at + i * stride, ks[k]))
+                    found.add((int(own_starts[i]), ks[k]))
     return sorted(found)
 
 
@@ -274,9 +296,10 @@ def settle(grams: np.ndarray, asked: dict[int, list[tuple[int, int]]], known: li
     return out
 
 
-def scan(batch_texts: list[str], known: list[Template]) -> list[list[tuple[str, int, int]]]:
+def scan(batch_texts: list[str], known: list[Template] | Index) -> list[list[tuple[str, int, int]]]:
     """(license, start, end) in code points for each text."""
-    clean = [plain(t) for t in batch_texts]
+    index = known if isinstance(known, Index) else Index(known)
+    known, clean = index.known, [plain(t) for t in batch_texts]
     grams = []
     for c in clean:
         words = c.split()
@@ -287,7 +310,7 @@ def scan(batch_texts: list[str], known: list[Template]) -> list[list[tuple[str,
         return out
     # A window belongs to every text it touches: it may begin in the one before.
     asked: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for place, k in candidates(np.concatenate(grams), known):
+    for place, k in candidates(np.concatenate(grams), index):
         end = place + known[k].window
         i = int(np.searchsorted(starts, place, "right")) - 1
         while i < len(clean) and starts[i] < end:
@@ -313,9 +336,9 @@ def findings(docs: DataFrame, rows=KNOWN) -> DataFrame:
     span = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        known = templates(rows)
+        index = Index(templates(rows))
         for batch in slices(batches):
-            found = scan(texts(batch, "text"), known)
+            found = scan(texts(batch, "text"), index)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"),
                  pa.array([sorted({s[0] for s in spans}) for spans in found], pa.list_(pa.string())),

@@ -9,6 +9,8 @@ from duskwatch.functions import text as T
 from duskwatch.functions import values as V
 from duskwatch.operators import ordered
 from duskwatch.operators.host import latest
+from duskwatch.operators.nearest import nearest
+from duskwatch.session import materialize
 
 CALLS = ("run_code_call", "tool_call")
 RESULTS = ("run_code_return", "tool_result")
@@ -66,34 +68,23 @@ def resolve_models(runs: DataFrame, dim: DataFrame) -> DataFrame:
         "resolved", F.coalesce("_id", "model")).drop("_id")
 
 
-# Aliases that travel together in one row.
-ALIASES_A_ROW = 1_000
-
-
 def unknown_models(runs: DataFrame, dim: DataFrame, max_models: int | None = None) -> DataFrame:
     """Requested names that no catalogue entry has, with the nearest alias by edit distance.
 
-    Aliases of a catalogue of any size are dealt over rows, and every missing name meets each of
-    them in an equi join; ties go to the first alias. A caller may give ``max_models`` to have the
-    job fail when there are more aliases than that.
+    Ties go to the first alias. Names meet only aliases that share a piece with them
+    (``nearest``), so neither the catalogue nor the number of names is bounded. A caller may give
+    ``max_models`` to have the job fail when there are more aliases than that.
     """
     names = dim.select(F.explode(F.array("alias", "id")).alias("model")).distinct()
     asked = runs.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     missing = asked.join(names, "model", "left_anti")
-    aliases = dim.select("alias").where(F.col("alias").isNotNull()).distinct()
-    count = aliases.agg(F.count(F.lit(1))).scalar()
-    rows = F.greatest(F.ceil(count / ALIASES_A_ROW), F.lit(1)).cast("int")
-    dealt = aliases.groupBy(F.pmod(F.xxhash64("alias"), rows).cast("int").alias("_row")).agg(
-        F.collect_list("alias").alias("_aliases"))
     if max_models is not None:
+        count = dim.agg(F.count_distinct("alias")).scalar()
         missing = missing.where(F.assert_true(count <= max_models, "catalogue too large").isNull())
-    met = missing.withColumn("_row", F.explode(F.sequence(F.lit(0), rows - 1))).join(dealt, "_row", "left")
-    nearest = F.array_min(F.transform(
-        "_aliases",
-        lambda a: F.struct(F.levenshtein(F.col("model"), a).alias("distance"), a.alias("alias"))))
-    best = met.groupBy("model", "n").agg(F.min(nearest).alias("best"))
-    return best.select("model", "n", F.col("best.alias").alias("nearest"),
-                       F.col("best.distance").cast("bigint").alias("distance"))
+    missing = materialize(missing, "unknown-models")
+    near = nearest(missing.select(F.col("model").alias("name")), dim.select("alias"))
+    return missing.join(near, F.col("model").eqNullSafe(F.col("name"))).select(
+        "model", "n", F.col("alias").alias("nearest"), F.col("distance").cast("bigint").alias("distance"))
 
 
 # --- per run -------------------------------------------------------------------------------------
@@ -211,8 +202,8 @@ def errors(audit: DataFrame) -> DataFrame:
     """
     kept = audit.where(is_event("error", "setup_error") | names_model()).select(
         "run_id", *ORDER, "event", "error_type", "error", F.col("model").alias("_named"))
-    named = ordered.carry_forward(kept, ["run_id"], ORDER, ordered.time_bucket("ts"),
-                                  F.when(names_model(), F.col("_named")), "model")
+    named = ordered.carry_forward(kept, ["run_id"], ORDER,
+                                  value=F.when(names_model(), F.col("_named")), name="model")
     found = named.where(is_event("error", "setup_error"))
     return found.groupBy("error_type", T.error_key(F.col("error")).alias("message")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("runs"),
@@ -244,15 +235,15 @@ def retries(audit: DataFrame) -> DataFrame:
 def stalls(audit: DataFrame, min_s: float) -> DataFrame:
     """Silences inside a run longer than ``min_s``, with the events before and after."""
     rows = audit.select("run_id", *ORDER, "event")
-    out = ordered.neighbours(rows, ["run_id"], ORDER, ordered.time_bucket("ts"),
+    out = ordered.neighbours(rows, ["run_id"], ORDER,
                              prev={"before_ts": "ts", "before_event": "event"})
     gap = (F.unix_micros("ts") - F.unix_micros("before_ts")) / F.lit(1e6)
     return out.withColumn("silent_s", gap).where(F.col("silent_s") > min_s)
 
 
-def turns(df: DataFrame, run: str = "run_id", order: str = "turn", per_bucket: int = 4096) -> DataFrame:
+def turns(df: DataFrame, run: str = "run_id", order: str = "turn") -> DataFrame:
     """Prompts numbered from 1 in each run, the first one marked."""
-    out = ordered.numbered(df, [run], [order], F.floor(F.col(order) / per_bucket), "number")
+    out = ordered.numbered(df, [run], [order], name="number")
     return out.withColumn("first", F.col("number") == 1)
 
 
@@ -265,7 +256,7 @@ def overruns(audit: DataFrame, budget_s: float) -> DataFrame:
     """Turns, from prompt to the next prompt or end, that took longer than their budget."""
     marks = audit.where(is_event("prompt", "run_end", "interrupted")).select(
         "run_id", *ORDER, "event")
-    out = ordered.neighbours(marks, ["run_id"], ORDER, ordered.time_bucket("ts"),
+    out = ordered.neighbours(marks, ["run_id"], ORDER,
                              following={"end_ts": "ts", "end_event": "event"})
     took = (F.unix_micros("end_ts") - F.unix_micros("ts")) / F.lit(1e6)
     return out.where(is_event("prompt")).withColumn("took_s", took).where(
@@ -285,7 +276,7 @@ def extract_programs(audit: DataFrame) -> DataFrame:
     stamp = audit.groupBy("run_id").agg(V.run_stamp(F.min("ts")).alias("stamp"))
     code = audit.where(is_event("run_code_call") & (F.col("code") != "")).select(
         "run_id", *ORDER, "code")
-    out = ordered.numbered(code, ["run_id"], ORDER, ordered.time_bucket("ts"), "number")
+    out = ordered.numbered(code, ["run_id"], ORDER, name="number")
     padded = F.when(F.col("number") < 10, F.concat(F.lit("0"), F.col("number").cast("string"))
                     ).otherwise(F.col("number").cast("string"))
     return out.join(stamp, "run_id").withColumn(

@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.functions.values import RESERVED_TASKS, TASK_ID
+from duskwatch.sinks import appends
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -68,20 +69,44 @@ def save(df: DataFrame, base: str, task: str, run: str, fresh: bool = False) ->
     return path
 
 
-def save_all(df: DataFrame, base: str) -> None:
-    """Append rows that carry their own ``task_id`` and ``run_id``; bad task ids fail the job."""
+TASK_BUCKETS = 16
+
+
+def _task_bucket(task) -> Column:
+    return F.pmod(F.xxhash64(task), F.lit(TASK_BUCKETS)).cast("int")
+
+
+def save_all(df: DataFrame, base: str) -> int:
+    """Append rows that carry their own ``task_id`` and ``run_id``; bad task ids fail the job.
+
+    Task and run are columns, and rows lie in buckets by task, so that neither folders nor files
+    follow the number of runs. All rows are seen at once, or none. ``results`` reads them.
+    """
     from duskwatch.functions.values import valid_task_id
 
     checked = df.where(
         F.assert_true(valid_task_id(F.col("task_id")), "malformed or reserved task name").isNull())
-    spread = checked.hint("rebalance", "task_id", "run_id")
-    spread.write.mode("append").partitionBy("task_id", "run_id").parquet(base)
+    return appends.append(checked.withColumn("bucket", _task_bucket(F.col("task_id"))), base, ["bucket"])
 
 
-def append_events(df: DataFrame, path: str) -> None:
-    """Append audit events by day; what is there is never rewritten."""
-    days = df.withColumn("day", F.to_date("ts"))
-    days.write.mode("append").partitionBy("day").parquet(path)
+def results(spark: SparkSession, base: str, task: str | None = None, run: str | None = None) -> DataFrame:
+    """Rows of ``save_all``: of all tasks, or of one, whose bucket alone is read, and of one run."""
+    rows = appends.read(spark, base)
+    if task is not None:
+        rows = rows.where((F.col("bucket") == _task_bucket(F.lit(task))) & (F.col("task_id") == task))
+    if run is not None:
+        rows = rows.where(F.col("run_id") == run)
+    return rows.drop("bucket")
+
+
+def append_events(df: DataFrame, path: str) -> int:
+    """Append audit events by day, all or none; what is there is never changed. ``events`` reads them."""
+    return appends.append(df.withColumn("day", F.to_date("ts")), path, ["day"])
+
+
+def events(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of ``append_events``, with their day."""
+    return appends.read(spark, path)
 
 
 def stream_events(df: DataFrame, path: str, checkpoint: str):

@@ -3,7 +3,7 @@
 import importlib
 
 FAMILIES = ("net_queries", "host_queries", "run_queries", "source_queries", "stream_queries",
-            "custom_queries")
+            "online_queries", "custom_queries")
 
 
 def load():

@@ -18,6 +18,7 @@ from duskwatch.operators import net, ordered
 from duskwatch.operators.runs import CALLS, ORDER, RESULTS, is_event
 from duskwatch.session import scratch
 from duskwatch.streaming.stateful import ENDS, ILLEGAL, STATE_AFTER
+from duskwatch.streaming.streams import drain
 
 
 def _work_off(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None) -> None:
@@ -99,27 +100,16 @@ def egress(events: DataFrame, path: str, limit: int, window: str = "1 hour", sli
     return sums.select(F.col("w.start").alias("start_ts"), "src_ip", "up"), late
 
 
-def dedupe(events: DataFrame, keys: list[str], path: str, ts: str = "event_ts") -> DataFrame:
+def dedupe(events: DataFrame, keys: list[str], path: str, ts: str = "event_ts",
+           checkpoint: str | None = None) -> DataFrame:
     """Each record once, however far apart its copies come.
 
-    Rows are stored by day. Where the time is among the keys, a batch is compared with the days it
-    touches only, otherwise with all that is stored.
+    The keys that were seen are state, spread over partitions by their hash and kept in RocksDB with
+    its filters, so a batch looks up and writes its own keys and nothing of what is stored is
+    read again. Null keys equal each other. Rows are stored by day.
     """
-    spark = events.sparkSession
-    by = ["day", *keys] if ts in keys else keys
     days = events.withColumn("day", F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date")))
-
-    def add(batch: DataFrame, number: int) -> None:
-        seen = _stored(spark, path, days.schema).where(F.col("batch") != number).select(*by)
-        fresh = batch.dropDuplicates(by).alias("b")
-        same = F.lit(True)
-        for k in by:
-            same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}"))
-        new = fresh.join(seen.alias("s"), same, "left_anti")
-        new.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
-
-    _work_off(days, add, None)
-    return _stored(spark, path, days.schema).drop("batch", "day")
+    return drain(days.dropDuplicates(keys), path, checkpoint, partition_by=("day",))[0].drop("day")
 
 
 def keep(rows: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
@@ -145,7 +135,7 @@ def run_moves(audit: DataFrame) -> DataFrame:
     moves = audit.where(is_event(*STATE_AFTER, "run_end")).select("run_id", *ORDER, "event", "status")
     state = _lookup(STATE_AFTER, F.col("event"), F.col("status"))
     out = ordered.neighbours(moves.withColumn("state", state), ["run_id"], ORDER,
-                             ordered.time_bucket("ts"), prev={"before": "state"})
+                             prev={"before": "state"})
     before = F.coalesce("before", F.lit("none"))
     illegal = _lookup({k: before.isin(*v) for k, v in ILLEGAL.items()}, F.col("event"), F.lit(False))
     return out.select("run_id", F.unix_micros("ts").alias("us"), "event", before.alias("before"), "state",
@@ -161,7 +151,7 @@ def call_moves(audit: DataFrame, limit_s: int = 3600, delay_s: int = 600) -> Dat
     rows = audit.where(is_event(*CALLS, *RESULTS) & F.col("tool_call_id").isNotNull()).select(
         "run_id", "tool_call_id", *ORDER, F.unix_micros("ts").alias("us"), is_event(*CALLS).alias("is_call"))
     limit, newest = limit_s * 1_000_000, _newest(rows, delay_s)
-    out = ordered.neighbours(rows, ["run_id", "tool_call_id"], ORDER, ordered.time_bucket("ts"),
+    out = ordered.neighbours(rows, ["run_id", "tool_call_id"], ORDER,
                              prev={"p_us": "us", "p_call": "is_call"}, following={"n_us": "us", "n_call": "is_call"})
     held = F.coalesce(F.col("p_call") & (F.col("us") - F.col("p_us") <= limit), F.lit(False))
     results = out.where(~F.col("is_call")).select(
@@ -179,7 +169,7 @@ def stall_moves(audit: DataFrame, budget_s: int, delay_s: int = 600) -> DataFram
     """A row for every silence of a run that outlasts its budget; none after its end."""
     rows = audit.select("run_id", *ORDER, F.unix_micros("ts").alias("us"), "event")
     budget, newest = budget_s * 1_000_000, _newest(rows, delay_s)
-    out = ordered.neighbours(rows, ["run_id"], ORDER, ordered.time_bucket("ts"), following={"n_us": "us"})
+    out = ordered.neighbours(rows, ["run_id"], ORDER, following={"n_us": "us"})
     over = F.when(F.col("n_us").isNull(), F.col("us") + budget <= newest).otherwise(
         F.col("n_us") - F.col("us") > budget)
     return out.where(~is_event(*ENDS) & over).select("run_id", F.col("us").alias("since_us"), "event")

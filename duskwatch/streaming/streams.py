@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from duskwatch.operators import host, net
 from duskwatch.session import scratch
@@ -14,25 +15,67 @@ from duskwatch.sources import eve
 from duskwatch.sources.lines import parsed
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# A batch uploads what it changed in the state, not whole files of it.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": _ROCKS,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextmanager
 def _rocks(spark: SparkSession):
-    """Keyed state lives in RocksDB; the setting is read when a stream starts."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    """Keyed state lives in RocksDB; the settings are read when a stream starts."""
+    before = {name: spark.conf.get(name, None) for name in _STATE}
+    for name, value in _STATE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that come after their watermark, by query run, over all its progress reports.
+
+    A query itself keeps its newest reports only.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def _end(self, run: str) -> threading.Event:
+        return self.ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.rows[run] = self.rows.get(run, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def of(self, query: StreamingQuery, timeout_s: float = 60) -> int:
+        """Late rows of a query that has ended; reports arrive in order, the end last."""
+        run = str(query.runId)
+        if not self._end(run).wait(timeout_s):
+            raise TimeoutError(f"the end of {run} was not reported")
+        return self.rows.get(run, 0)
+
+
+_LATE: dict[str, int] = {}
 
 
 def drain(
-    df: DataFrame, path: str | None = None, checkpoint: str | None = None, mode: str = "append"
+    df: DataFrame, path: str | None = None, checkpoint: str | None = None, mode: str = "append",
+    partition_by: tuple = (),
 ) -> tuple[DataFrame, StreamingQuery]:
     """Process what is there now into a table and stop; returns the table and the query.
 
@@ -41,20 +84,25 @@ def drain(
     spark = df.sparkSession
     path = path or scratch(spark, "stream")
     checkpoint = checkpoint or scratch(spark, "checkpoint")
-    with _rocks(spark):
-        query = (
-            df.writeStream.format("parquet").outputMode(mode).option("path", path)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+    reports = LateRows()
+    spark.streams.addListener(reports)
+    try:
+        with _rocks(spark):
+            query = (
+                df.writeStream.format("parquet").outputMode(mode).partitionBy(*partition_by)
+                .option("path", path).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start()
+            )
+            query.awaitTermination()
+        _LATE[str(query.runId)] = reports.of(query)
+    finally:
+        spark.streams.removeListener(reports)
     return spark.read.schema(df.schema).parquet(path), query
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after their watermark, as the progress reports count them."""
-    return sum(
-        op["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress for op in progress["stateOperators"])
+    """Rows of a drained query that came after their watermark, over all its batches."""
+    return _LATE[str(query.runId)]
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

@@ -149,7 +149,7 @@ def child_pairs(proc: DataFrame, rules=CHILD_RULES) -> DataFrame:
 
 def lineage(
     edges: DataFrame, node: str = "pid", parent: str = "parent", within: tuple = (),
-    parents_exist: bool = False,
+    parents_exist: bool = False, paths: bool = True,
 ) -> DataFrame:
     """Root, depth and path (root first) of every node, by pointer doubling.
 
@@ -160,7 +160,8 @@ def lineage(
 
     ``edges`` holds one row per node; ``within`` names columns, such as the host, that part
     separate trees. Each round is written to the shared folder. With ``parents_exist`` every
-    parent is known to be a node and is not looked up first.
+    parent is known to be a node and is not looked up first. Without ``paths`` a round carries
+    two numbers for each open node and no chains, and the result has no path.
     """
     keys = list(within)
     base = edges.select(*keys, F.col(node).alias("node"), F.col(parent).alias("up"))
@@ -169,6 +170,8 @@ def lineage(
         nodes = base.select(*keys, F.col("node").alias("up"), F.lit(True).alias("known"))
         base = base.join(nodes, [*keys, "up"], "left").withColumn(
             "up", F.when(F.col("known"), F.col("up")))
+    if not paths:
+        return _depths(base, keys, node)
     none = F.array().cast(f"array<{base.schema['node'].dataType.simpleString()}>")
     state = base.select(
         *keys, "node", F.when(F.col("up") != F.col("node"), F.col("up")).alias("ptr"),
@@ -210,14 +213,48 @@ def lineage(
         "cyclic")
 
 
-def lineage_asof(proc: DataFrame) -> DataFrame:
+def _depths(base: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Root and depth of every node by doubling (pointer, hops), for ``base`` (keys, node, up).
+
+    A round in which no node arrives at a root leaves only nodes on or before a cycle: of a
+    deeper tree, the ancestor half as deep would have arrived.
+    """
+    start = base.select(
+        *keys, "node", F.when(F.col("up") != F.col("node"), F.col("up")).alias("ptr"),
+    ).withColumn("hops", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("bigint"))
+    start = materialize(start, "depths")
+    # Roots have arrived: they point at themselves.
+    arrived = [start.where("ptr is null").select(*keys, "node", F.col("node").alias("ptr"), "hops")]
+    active, left = start.where("ptr is not null"), None
+    while (now := active.count()) and now != left:
+        left = now
+        known = arrived[0]
+        for part in arrived[1:]:
+            known = known.unionByName(part)
+        target = known.withColumn("there", F.lit(True)).unionByName(active.withColumn("there", F.lit(False)))
+        target = target.select(*keys, F.col("node").alias("ptr"), F.col("ptr").alias("next"),
+                               F.col("hops").alias("more"), "there")
+        moved = materialize(active.join(target, [*keys, "ptr"]).select(
+            *keys, "node", F.col("next").alias("ptr"), (F.col("hops") + F.col("more")).alias("hops"), "there"), "depths")
+        arrived.append(moved.where("there").drop("there"))
+        active = moved.where("not there").drop("there")
+    parts = [part.select(*keys, "node", F.col("ptr").alias("root"), F.col("hops").alias("depth"), F.lit(False).alias("cyclic"))
+             for part in arrived]
+    parts.append(active.select(*keys, "node", F.lit(None).alias("root"), F.lit(None).alias("depth"), F.lit(True).alias("cyclic")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("node", name)
+
+
+def lineage_asof(proc: DataFrame, paths: bool = True) -> DataFrame:
     """Lineage of every process start, with parents resolved by start time.
 
     Pids are reused, so the nodes are process starts (``seq``) and not pids.
     """
     narrow = proc.select("host", "pid", "parent", *PROCESS_ORDER)
     linked = with_parent(narrow, held=()).select("host", "seq", F.col("holder.seq").alias("up"))
-    return lineage(linked, "seq", "up", within=("host",), parents_exist=True)
+    return lineage(linked, "seq", "up", within=("host",), parents_exist=True, paths=paths)
 
 
 # --- state and counts -------------------------------------------------------------------------------

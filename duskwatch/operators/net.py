@@ -317,7 +317,7 @@ def inter_arrival(
 ) -> DataFrame:
     """Each event with the seconds since the previous one of its key."""
     out = ordered.neighbours(
-        df, keys, ["event_ts", "flow_id"], ordered.time_bucket("event_ts"),
+        df, keys, ["event_ts", "flow_id"],
         prev={"prev_ts": "event_ts"}, hot_rows=hot_rows)
     return out.withColumn(
         "gap_s", (F.unix_micros("event_ts") - F.unix_micros("prev_ts")) / F.lit(1e6))
@@ -382,7 +382,7 @@ def top_peers(df: DataFrame, n: int = 3) -> DataFrame:
     return common.top_per(pairs, "src_ip", n, F.desc("bytes"), "dest_ip")
 
 
-def rank_hosts(df: DataFrame, exact_slices: int = 200) -> DataFrame:
+def rank_hosts(df: DataFrame, exact_slices: int | None = None) -> DataFrame:
     """Every host's rank by bytes sent outside, ties explicit."""
     return ordered.global_rank(egress(df).select("src_ip", "up"), "up", exact_slices)
 

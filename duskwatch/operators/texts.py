@@ -134,7 +134,7 @@ def report_parts(runs: DataFrame, turns: DataFrame, messages: DataFrame) -> Data
     or text), tool_name, tool_call_id, content. Program bodies are left out, results are cut,
     and a run without good turns gets an empty finding.
     """
-    turns = ordered.numbered(turns, ["run_id"], ["turn"], F.floor(F.col("turn") / 4096), "k")
+    turns = ordered.numbered(turns, ["run_id"], ["turn"], name="k")
     size = turns.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("turns"), F.min_by("prompt", "k").alias("first_prompt"),
         F.max("k").alias("last"))
@@ -193,15 +193,25 @@ def report_parts(runs: DataFrame, turns: DataFrame, messages: DataFrame) -> Data
     return out
 
 
-def render_reports(parts: DataFrame, per_page: int = 200) -> DataFrame:
-    """Reports as pages of at most ``per_page`` pieces: ``run_id, page, text``.
+PAGE_CHARS = 1_000_000
 
-    A report is its pages in order; all but the longest have one page. No run's text has to
-    fit into one row.
+
+def render_reports(parts: DataFrame, page_chars: int = PAGE_CHARS) -> DataFrame:
+    """Reports as pages of ``page_chars`` characters, the last one shorter: ``run_id, page, text``.
+
+    A report is its pages one after the other. Pieces are cut where a page ends, so no row is longer
+    than a page, however long a run or a piece of it is. Null pieces are left out.
     """
-    slot = F.col("section") * F.lit(1 << 40) + F.floor(F.col("pos") / 4096)
-    placed = ordered.numbered(parts, ["run_id"], ["section", "pos"], slot, "n")
-    page = F.floor((F.col("n") - 1) / per_page) + 1
-    pieces = F.array_sort(F.collect_list(F.struct("n", "text")))
-    return placed.groupBy("run_id", page.alias("page")).agg(
+    size = F.length("text").cast("bigint")
+    filled = parts.where(size > 0)
+    placed = ordered.numbered(filled, ["run_id"], ["section", "pos"], name="end", step=size)
+    start = F.col("end") - size
+    pages = placed.select(
+        "run_id", "section", "pos", "text", start.alias("start"),
+        F.explode(F.sequence(F.floor(start / page_chars), F.floor((F.col("end") - 1) / page_chars))).alias("page"))
+    first = F.greatest(F.col("page") * page_chars - F.col("start"), F.lit(0))
+    after = (F.col("page") + 1) * page_chars - F.col("start")
+    cut = F.substring("text", (first + 1).cast("int"), (F.least(after, F.length("text")) - first).cast("int"))
+    pieces = F.array_sort(F.collect_list(F.struct("start", cut.alias("text"))))
+    return pages.groupBy("run_id", (F.col("page") + 1).alias("page")).agg(
         F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"))

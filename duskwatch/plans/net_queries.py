@@ -478,6 +478,15 @@ def inter_arrival(spark, sf):
         F.col("dest_port").cast("bigint").alias("dest_port"), F.round("gap_s", 6).alias("gap_s"))
 
 
+@query("inter_arrival_sliced", FLOWS + """select flow_id, us, proto, round((us - lag(us) over (partition by proto
+    order by us, flow_id)) / 1000000.0::double, 6) as gap_s from flow""")
+def inter_arrival_sliced(spark, sf):
+    """Gaps by protocol: two keys hold all rows, so both are cut into slices."""
+    flows = net.of_type(ev(spark, sf), "flow").select("flow_id", "event_ts", "proto")
+    return net.inter_arrival(flows, ["proto"], hot_rows=500).select(
+        "flow_id", us("event_ts").alias("us"), "proto", F.round("gap_s", 6).alias("gap_s"))
+
+
 @query("top_peers_per_host", FLOWS + """, p as (select src_ip, dest_ip,
     cast(sum(bytes_toserver) as bigint) as bytes from flow group by 1, 2),
     r as (select *, row_number() over (partition by src_ip order by bytes desc, dest_ip) as rank from p)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import text as T
 from duskwatch.functions import values as V
-from duskwatch.operators import runs, texts
+from duskwatch.operators import runs, texts, trigrams
 from duskwatch.plans import adapters
 from duskwatch.plans.adapters import oracle_cte
 from duskwatch.plans.registry import query, us
@@ -325,6 +325,10 @@ MESSAGES = """select run_id, turn as pos, text as content,
     'c' || cast(turn as string) as tool_call_id from turn"""
 
 
+# Short pages, so that many reports have several.
+PAGE = 1_000
+
+
 @query("report_table", C + f""", messages as ({MESSAGES}),
     t as (select run_id, 'ask ' || cast(turn as varchar) as prompt, text as output,
         row_number() over (partition by run_id order by turn) as k,
@@ -364,9 +368,11 @@ MESSAGES = """select run_id, turn as pos, text as content,
     union all select run_id, 5, k, case when t.turns > 1 then '### ' || case when interactive
         then 'Checkpoint ' else 'Turn ' end || cast(k as varchar) || chr(10) else '' end || output
         || case when k = t.turns then chr(10) else chr(10) || chr(10) || '---' || chr(10) || chr(10) end
-        from t join r using (run_id))
-    select run_id, cast(1 as bigint) as page, md5(string_agg(text, '' order by section, pos)) as text
-    from parts group by 1""")
+        from t join r using (run_id)),
+    whole as (select run_id, string_agg(text, '' order by section, pos) as text from parts group by 1),
+    paged as (select run_id, text, unnest(range(0, length(text), {PAGE})) as start from whole)
+    select run_id, cast(start // {PAGE} + 1 as bigint) as page, md5(substr(text, start + 1, {PAGE})) as text
+    from paged""")
 def report_table(spark, sf):
     turn = adapters.turn(spark, sf)
     turn_rows = turn.where("role = 'assistant'").select(
@@ -378,7 +384,7 @@ def report_table(spark, sf):
         (F.col("run_id") % 2 == 0).alias("interactive"), F.lit("start").alias("initial_prompt"))
     messages = spark.sql(MESSAGES.replace("from turn", "from {t}"), t=turn)
     parts = texts.report_parts(run_rows, turn_rows, messages)
-    return texts.render_reports(materialize(parts, "parts")).withColumn("text", F.md5("text"))
+    return texts.render_reports(materialize(parts, "parts"), PAGE).withColumn("text", F.md5("text"))
 
 
 @query("script_reuse", G + """, n as (select doc_id, task_id, stamp_us, trim(regexp_replace(
@@ -421,3 +427,14 @@ def lint_fixed(spark, sf):
     order by doc_id, line_no limit 100""")
 def report_search(spark, sf):
     return texts.search(adapters.report(spark, sf), r"\bthe of\b", 100)
+
+
+@query("report_search_indexed", D + """, l as (select doc_id, unnest(string_split(text, chr(10))) as line,
+    generate_subscripts(string_split(text, chr(10)), 1) as line_no from report),
+    h as (select *, count(*) over () as total from l where regexp_matches(line, '\\bthe of\\b'))
+    select doc_id, cast(line_no as bigint) as line_no, line, total from h order by doc_id, line_no limit 100""")
+def report_search_indexed(spark, sf):
+    """Reports are indexed first; then only those with the trigrams of the pattern are read."""
+    path = scratch(spark, "trigrams")
+    trigrams.build(adapters.report(spark, sf), path)
+    return trigrams.search(spark, path, r"\bthe of\b", 100)

@@ -10,7 +10,7 @@ from duskwatch.plans import adapters, raw
 from duskwatch.plans.adapters import oracle_cte
 from duskwatch.plans.registry import query, us
 from duskwatch.session import materialize, scratch
-from duskwatch.sinks import tables
+from duskwatch.sinks import filecache, tables
 from duskwatch.sources import audit, catalogue, corpus, eve, lines, osquery
 
 E = oracle_cte("net")
@@ -250,14 +250,15 @@ def unknown_model(spark, sf):
 @query("derived_cache", E + """select event_type, count(*) as n, count(distinct strftime(event_ts, '%Y-%m-%d'))
     as days from net group by 1""")
 def derived_cache(spark, sf):
+    """Every other log first, then all: the second call reads the new ones alone."""
     source = raw.eve(spark, sf)
     path = scratch(spark, "cache")
 
-    def build():
-        return eve.read_eve(spark, source).withColumn("day", F.to_date("event_ts")).drop("_raw")
+    def build(files):
+        return eve.read_eve(spark, files).withColumn("day", F.to_date("event_ts")).drop("_raw")
 
-    tables.cached(spark, build, path, source, ("day", "event_type"))
-    again = tables.cached(spark, build, path, source, ("day", "event_type"))
+    filecache.follow(spark, build, path, f"{source}/log=*[02468].json", ("day", "event_type"))
+    again = filecache.follow(spark, build, path, source, ("day", "event_type"))
     return again.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("days"))
 
@@ -266,7 +267,7 @@ def derived_cache(spark, sf):
 def task_sink(spark, sf):
     path = scratch(spark, "tasks")
     tables.save_all(adapters.run(spark, sf).select("task_id", "run_id", "event", "us"), path)
-    return spark.read.parquet(path).groupBy("task_id", "run_id").agg(
+    return tables.results(spark, path).groupBy("task_id", "run_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"))
 
 
@@ -278,7 +279,7 @@ def audit_append(spark, sf):
     half = F.col("seq") % 2 == 0
     tables.append_events(rows.where(half), path)
     tables.append_events(rows.where(~half), path)
-    stored = spark.read.parquet(path)
+    stored = tables.events(spark, path)
     return stored.groupBy(F.col("day").cast("string").alias("day"), "event").agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -298,7 +299,7 @@ def process_tree_from_log(spark, sf):
     log = osquery.read_osquery(spark, raw.osquery(spark, sf))
     # The log is parsed once; all later steps read the typed table.
     proc = materialize(osquery.typed(log, "all_processes"), "processes")
-    tree = host.lineage_asof(proc)
+    tree = host.lineage_asof(proc, paths=False)
     return proc.select("host", "seq", "pid", F.unix_seconds("start_time").alias("start_s")).join(
         tree.select("host", "seq", "depth"), ["host", "seq"]).groupBy(
         "host", "pid", "start_s", "depth").agg(F.count(F.lit(1)).alias("n"))

@@ -76,6 +76,22 @@ def test_cycle_orphan_and_self(spark):
     assert got[8].path == [7, 8]
 
 
+def test_depths_without_paths(spark):
+    import random
+    rng = random.Random(4)
+    edges = [(i, rng.choice([i - 1, rng.randint(0, i), None, 10_000])) for i in range(1, 300)] + [(0, None)]
+    edges += [(1000 + i, 1000 + (i + 1) % 7) for i in range(7)] + [(1100 + i, 1099 + i if i else 1003) for i in range(40)]
+    edges += [(2000, 2000), (2001, 2000)]
+    df = spark.createDataFrame(edges, "pid bigint, parent bigint")
+    want = {(r.pid, r.root, r.depth, r.cyclic) for r in host.lineage(df).collect()}
+    narrow = host.lineage(df, paths=False)
+    assert narrow.columns == ["pid", "root", "depth", "cyclic"]
+    assert {tuple(r) for r in narrow.collect()} == want and sum(r[3] for r in want) == 47
+    alone = df.where("pid between 1000 and 1006")
+    assert all(r.cyclic for r in host.lineage(alone, paths=False).collect())
+    assert host.lineage(df.limit(0), paths=False).count() == 0
+
+
 PROC = """host string, pid bigint, parent bigint, start_time timestamp, seq bigint, name string,
 path string, cmdline string, action string"""
 
@@ -257,8 +273,9 @@ def test_reports(spark):
         "**Agent (Thinking):**\n> a\n> b\n\n**Agent:** done\n\n\n## Final Findings\n\nout\n")
     assert pages["i"].endswith("## Analysis Checkpoints\n\n### Checkpoint 1\none\n\n---\n\n### Checkpoint 2\ntwo\n")
     assert pages["e"].endswith("## Final Findings\n\n\n")
-    small = texts.render_reports(parts, per_page=2).where("run_id = 'r'").orderBy("page").collect()
-    assert len(small) > 3 and "".join(p.text for p in small) == pages["r"]
+    small = texts.render_reports(parts, page_chars=50).where("run_id = 'r'").orderBy("page").collect()
+    assert "".join(p.text for p in small) == pages["r"] and {len(p.text) for p in small[:-1]} == {50}
+    assert [p.page for p in small] == list(range(1, -(-len(pages["r"]) // 50) + 1))
 
 
 def test_lint(spark):

@@ -42,7 +42,7 @@ _KEY_RUN = bytes(1 if chr(c) in KEY_CHARACTERS else 0 for c in range(256))
 
 SIDE, INSIDE = 24, 48  # characters read on either side of a candidate, and of the candidate
 _LENGTH = 2 * SIDE + INSIDE
-TRAIN_FINDINGS = 6000
+TRAIN_FINDINGS = 12_000
 RECALL = 0.99
 REDACTED = "[secret]"
 
@@ -98,7 +98,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
 # --- the network -------------------------------------------------------------------------------
 
 _CODES = {c: i + 2 for i, c in enumerate(chr(k) for k in range(32, 127))}  # 0 nothing, 1 other
-_WIDE, _DIM, _FILTERS, _DENSE = 5, 8, 24, 16
+_WIDE, _DIM, _FILTERS, _DENSE = 5, 8, 32, 24
 _AT_ONCE = 8192  # windows that are encoded at once
 
 
@@ -197,7 +197,7 @@ class Network:
         return g
 
 
-def train(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = 6, seed: int = 10):
+def train(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = 8, seed: int = 10):
     """Fit on four fifths of the findings; calibrate and set the threshold on the rest."""
     rng = np.random.default_rng(seed)
     shapes = {"embed": (97, _DIM), "conv": (_WIDE * _DIM, _FILTERS), "conv_b": (_FILTERS,),
@@ -242,77 +242,129 @@ def _calibrate_runs(net: Network, rows, y, recall: float) -> None:
     _calibrate(net, np.stack([encode(r[0], *w) for r, w in zip(rows, best)]), y, recall)
 
 
-def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = 7) -> tuple[list[tuple[str, int, int]], np.ndarray]:
-    """(text, start, end) of candidates, and whether each is a secret; half of them are."""
-    rng = np.random.default_rng(seed)
+_LETTERS, _DIGITS, _HEXES = string.ascii_letters, string.digits, "0123456789abcdef"
+_LOWER, _UPPER = string.ascii_lowercase, string.ascii_uppercase
+_MARKS = "!@#$%^&*+?-_"
+_SECRET_NAMES = ["key", "api-key", "auth", "pwd", "pass", "access_key", "sig", "signature", "credential", "bearer", "client_key",
+                 "login", "private_key", "session", "ACCESS_KEY", "AUTH"]
+_PLAIN_NAMES = ["id", "ref", "name", "page", "q", "file", "path", "class", "src", "see", "title", "version", "build", "item",
+                "request", "link", "user", "order", "state", "next", "code", "host", "lang", "theme"]
+
 
-    def some(alphabet, least, most=None):
-        k = int(rng.integers(least, (most or least) + 1))
-        return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
+class _Writer:
+    """Random texts from a seed."""
 
-    def one(options):
-        return options[int(rng.integers(len(options)))]
+    def __init__(self, seed: int):
+        self.rng = np.random.default_rng(seed)
 
-    letters, digits = string.ascii_letters, string.digits
-    lower, upper, hexes = string.ascii_lowercase, string.ascii_uppercase, "0123456789abcdef"
+    def some(self, alphabet: str, least: int, most: int | None = None) -> str:
+        k = int(self.rng.integers(least, (most or least) + 1))
+        return "".join(alphabet[i] for i in self.rng.integers(0, len(alphabet), k))
 
-    def words(k):
-        return [some(lower, 2, 9) for _ in range(k)]
+    def one(self, options):
+        return options[int(self.rng.integers(len(options)))]
 
-    leads = ["pwd ", "password ", "login with ", "credential: ", "key: ", "the key ", "token ", "access key ",
-             "auth=", "signature \"", "secret ", "bearer "]
+    def words(self, least: int, most: int) -> list[str]:
+        return [self.some(_LOWER, 2, 9) for _ in range(int(self.rng.integers(least, most + 1)))]
 
-    def secret():
-        kind = int(rng.integers(12))
-        mixed = letters + digits
-        marks = "!@#$%^&*+?-_"
+    def prose(self, least: int = 1, most: int = 5) -> str:
+        return " ".join(self.words(least, most))
+
+    def key(self) -> str:
+        """A credential that looks like one wherever it stands."""
+        some, mixed = self.some, _LETTERS + _DIGITS
         value = (
-            some(mixed, 20, 44), some(mixed + "+/", 40, 64), "ghp_" + some(mixed, 36),
-            "sk_live_" + some(mixed, 24), some(hexes.upper(), 32, 40), "xoxb-" + some(digits, 12) + "-" + some(mixed, 24),
-            "eyJ" + some(mixed + "_-", 40, 80), some(mixed + "_-", 16, 28),
-            some(letters, 6, 9) + some(digits, 1, 3) + some(marks, 1, 2) + some(mixed, 0, 4), some(mixed, 8, 15),
-            some(letters, 16, 32), some(mixed + marks, 8, 20),
-        )[kind]
-        if kind < 8 and not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
-            value += "7x"
-        lead = one(["Authorization: Bearer ", "private key ", "client_key = \"", "credential: ",
-                    "auth=", "pwd ", "key: ", "access key ", "signature \"", "login with ", "TOKEN \"",
-                    "API KEY ", "-----BEGIN KEY----- ", "export KEY=\"", "\"auth\": \""])
-        if kind < 8 and rng.random() < 0.15:
-            lead = " ".join(words(3)) + " "
-        return lead, value, one(["", "\"", " ", "\"\n", "'", ";", " " + " ".join(words(2))])
-
-    def other():
-        kind = int(rng.integers(12))
-        value, lead, tail = (
-            lambda: ("-".join(words(3)) + "-" + some(digits, 2, 4), "https://www.example.com/", ".html"),
-            lambda: ("_".join(words(3)) + some(digits, 1, 3), "see ", "()"),
-            lambda: ("".join(w.title() for w in words(3)) + some(digits, 1, 2), "class ", " extends"),
-            lambda: ("-".join([some(hexes, 8), some(hexes, 4), some(hexes, 4), some(hexes, 4), some(hexes, 12)]), "request id ", ""),
-            lambda: ("iVBORw0KGgo" + some(letters + digits + "+/", 60, 120), "src=\"data:image/png;base64,", "\""),
-            lambda: ("20" + some("0123456789", 2) + "-" + some("01", 2) + "-" + some("012", 2) + "T" + some(digits, 6) + "Z", "at ", ""),
-            lambda: ("/".join(words(2)) + "/" + some(digits, 2, 5) + "/" + some(lower, 4, 8), "in /", ".txt"),
-            lambda: ("=" * int(rng.integers(14, 30)) + some(digits, 1) + some(lower, 2), "", ""),
-            lambda: (some(lower, 12, 22) + some(digits, 1, 3), " ".join(words(2)) + " ", " " + " ".join(words(2))),
-            # Words of plain prose after the same leads: lower case, with a capital, with marks of prose.
-            lambda: (some(lower, 8, 16), one(leads), " " + " ".join(words(2))),
-            lambda: (some(lower, 8, 14).title(), one(leads), " " + " ".join(words(2))),
-            lambda: (some(lower, 3, 8) + one(["-", "/", "_", "..."]) + some(lower, 5, 9), one(leads), " " + " ".join(words(2))),
-        )[kind]()
-        if rng.random() < 0.2:
-            value = value.upper()
-        if kind < 9 and len(value) < LEAST_CANDIDATE:
-            value += some(lower, LEAST_CANDIDATE - len(value)) + "1"
-        return lead, value, tail
-
-    found, y = [], np.zeros(n)
+            lambda: some(mixed, 20, 44), lambda: some(mixed + "+/", 40, 64), lambda: "ghp_" + some(mixed, 36),
+            lambda: self.one(["sk_live_", "rk_live_", "pk_live_"]) + some(mixed, 24), lambda: some(_HEXES.upper(), 32, 40),
+            lambda: "xox" + self.one("bp") + "-" + some(_DIGITS, 10, 12) + "-" + some(mixed, 24),
+            lambda: "eyJ" + some(mixed + "_-", 40, 90), lambda: some(mixed + "_-", 18, 32), lambda: some(mixed + "/", 40),
+            lambda: self.one(["live", "test", "prod", "key"]) + "-" + some(_HEXES, 24, 40) + "-" + some(mixed, 8, 16),
+        )[int(self.rng.integers(10))]()
+        return value if re.search("[0-9]", value) and re.search("[A-Za-z]", value) else value + "7x"
+
+    def short(self) -> str:
+        """A password; only what announces it tells."""
+        some, mixed = self.some, _LETTERS + _DIGITS
+        return (lambda: some(_LETTERS, 6, 9) + some(_DIGITS, 1, 3) + some(_MARKS, 1, 2) + some(mixed, 0, 4),
+                lambda: some(mixed, 8, 15), lambda: some(_LETTERS, 16, 32),
+                lambda: some(mixed + _MARKS, 8, 20))[int(self.rng.integers(4))]()
+
+    def lookalike(self) -> str:
+        """A long run that is no secret."""
+        some, one, words, d = self.some, self.one, self.words, _DIGITS
+        if self.rng.random() < 0.2:  # the look-alike that stands nearest to keys
+            return "-".join(some(_HEXES, k) for k in (8, 4, 4, 4, 12))
+        return (
+            lambda: "-".join(words(3, 5)) + "-" + some(d, 2, 4), lambda: "_".join(words(2, 4)) + some(d, 1, 3),
+            lambda: "".join(w.title() for w in words(2, 4)) + some(d, 1, 2),
+            lambda: one(words(1, 1)) + "-" + "-".join(some(_HEXES, k) for k in (8, 4, 4, 4, 12)),
+            lambda: "/".join(words(2, 6)) + "/" + one(words(1, 1)) + some(d, 1, 3) + "/" + one(words(1, 1)).title(),
+            lambda: one(["src/", "lib/", "docs/", "app/", ""]) + "/".join(words(1, 4)) + "/" + some(d, 2, 4) + "/" + some(_LOWER, 3, 8),
+            lambda: "iVBORw0KGgo" + some(_LETTERS + d + "+/", 60, 120),
+            lambda: one(["sha256-", "sha384-", "sha512-"]) + some(_LETTERS + d + "+/", 43, 86),
+            lambda: "20" + some(d, 2) + "-" + some("01", 1) + some(d, 1) + "-" + some("012", 1) + some(d, 1) + "T" + some(d, 6) + "Z",
+            lambda: "/".join("-".join(some("12", 1) + some(d, 3) for _ in range(2)) for _ in range(2)) + "-" + some(_LOWER, 3, 8),
+            lambda: some(_LOWER, 12, 22) + some(d, 1, 3), lambda: "=" * int(self.rng.integers(14, 30)) + some(d, 1) + some(_LOWER, 2),
+            lambda: "_".join(["YOUR", *[w.upper() for w in words(1, 2)], "KEY", one(["HERE", "1", "V2"])]) + one(["", "_" + some(d, 1, 2)]),
+            lambda: "".join(w.upper() for w in words(1, 1)) + "-20" + some(d, 2) + "-" + some(d, 5, 8) + "-" + some(_UPPER, 1, 3),
+            lambda: "".join(w.title() for w in words(3, 4)) + one(["Exception", "Handler", "Test", "Factory"]) + one(["", "V2", "2"]),
+            lambda: "-".join(words(2, 3)) + "_" + one(["v", "r", "rev"]) + some(d, 1) + "-" + some(d, 4, 8),
+        )[int(self.rng.integers(16))]()
+
+    def word(self) -> str:
+        """Plain words as they follow the same leads."""
+        some, one = self.some, self.one
+        return (lambda: some(_LOWER, 8, 16), lambda: some(_LOWER, 8, 14).title(), lambda: one(["username/", "user/", "name-"]) + some(_LOWER, 5, 9),
+                lambda: some(_LOWER, 3, 8) + one(["-", "/", "_", "..."]) + some(_LOWER, 5, 9),
+                lambda: "".join(w.title() for w in self.words(2, 3)) + "Exception")[int(self.rng.integers(5))]()
+
+    def around(self, make, names: list[str]) -> tuple[str, str, str]:
+        """A value of ``make`` in one of the usual surroundings: before, value, after."""
+        one, prose, value = self.one, self.prose, make()
+        name, host = one(names), "https://" + ".".join(self.words(1, 2)) + one([".com/", ".org/", ".io/"])
+        quote, same = one(["\"", "'", ""]), lambda: make()
+        return (
+            lambda: (prose() + " ", value, one([" ", ", ", ". "]) + prose()),
+            lambda: (prose(0, 3) + "\n", value, "\n" + prose(0, 3)),
+            lambda: (prose(0, 2) + "\n" + one(["export ", ""]) + name.upper().replace("-", "_") + "=" + quote, value, quote + "\n" + prose(0, 2)),
+            lambda: ("{\"" + name + "\": \"", value, "\", \"" + prose(1, 1) + "\": " + self.some(_DIGITS, 1, 3) + "}"),
+            lambda: (prose(0, 2) + ": " + same() + ", ", value, ", " + same() + one(["", ", " + same()])),
+            lambda: ("- " + same() + "\n- ", value, "\n- " + same() + "\n"),
+            lambda: (host + prose(1, 1) + "?" + name + "=", value, one(["", "&" + prose(1, 1) + "=" + self.some(_DIGITS, 1, 3)]) + " " + prose(0, 2)),
+            lambda: (host + one(["hooks/", "v1/", "files/", ""]), value, one(["/", "/" + prose(1, 1), "", ".html"]) + " " + prose(0, 2)),
+            lambda: (name.replace("-", "_") + " = \"", value, "\"\n" + prose(0, 2)),
+            lambda: (name.title() + ": " + one(["", "Bearer "] if names is _SECRET_NAMES else [""]), value, "\n" + prose(0, 3)),
+            lambda: ("<" + prose(1, 1) + " " + one([name, "integrity", "src", "href"] if names is _PLAIN_NAMES else [name]) + "=\"", value, "\">" + prose(0, 2)),
+            lambda: (prose(0, 3) + " (", value, ") " + prose(0, 3)),
+        )[int(self.rng.integers(12))]()
+
+    def led(self, value: str) -> tuple[str, str, str]:
+        """A value after words that announce a credential."""
+        lead = self.one(["pwd ", "password ", "login with ", "credential: ", "key: ", "the key ", "token ", "access key ", "auth=",
+                         "signature \"", "secret ", "bearer ", "Authorization: Bearer ", "private key ", "client_key = \"", "pass is "])
+        return self.prose(0, 4) + self.one([" ", "\n", ", "]) + lead, value, self.one(["", "\"", " ", "\n", ";", " " + self.prose(1, 2)])
+
+
+def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = 7) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """(text, start, end) of candidates, and whether each is a secret; half of them are.
+
+    Every kind of value, secret or not, meets every kind of surroundings: prose, lines, settings, JSON,
+    lists of its like, queries and paths of URLs, code, headers, attributes. Short passwords and plain
+    words come after announcing words only. A candidate is what a scan would offer for the value.
+    """
+    w, found, y = _Writer(seed), [], np.zeros(n)
     for i in range(n):
         y[i] = i % 2
-        lead, value, tail = secret() if i % 2 else other()
-        before = " ".join(words(int(rng.integers(0, 5)))) + one([" ", "\n", ", "]) + lead
-        after = tail + one(["", " ", "\n"]) + " ".join(words(int(rng.integers(0, 5))))
-        found.append((before + value + after, len(before), len(before) + len(value)))
-    order = rng.permutation(n)
+        announced = w.rng.random() < 0.2
+        if i % 2:
+            before, value, after = w.led(w.short()) if announced else w.around(w.key, w.one([_SECRET_NAMES, _PLAIN_NAMES]))
+        else:
+            before, value, after = w.led(w.word()) if announced else w.around(
+                w.lookalike, _PLAIN_NAMES if w.rng.random() < 0.8 else _SECRET_NAMES)
+        text, start, end = before + value + after, len(before), len(before) + len(value)
+        offered = [c for c in candidates(text) if c[0] < end and c[1] > start]
+        found.append((text, *max(offered, key=lambda c: min(c[1], end) - max(c[0], start), default=(start, end))))
+    order = w.rng.permutation(n)
     return [found[i] for i in order], y[order]
 
 

@@ -80,6 +80,11 @@ class _Ordered(StatefulProcessor):
         waiting = sorted(k[0] for k in self.slots.keys())
         due = [s for s in waiting if (s + 1) * self.slot_us <= horizon]
         for slot in due:
+            last = self.last.get()
+            if last and last[0] + self.keep_us < slot * self.slot_us:
+                # Whether the timer for that came first does not matter.
+                yield from self.silent(key, slot * self.slot_us)
+                self.forget()
             parts = self.slots.getValue((slot,))[0]
             held = [_decoded(self.parts.getValue((slot, i))[0]) for i in range(parts)]
             for i in range(parts):

@@ -1,7 +1,8 @@
 """Quality rules: fixed limits on rule statistics, and an isolation forest for the odd rest.
 
-The forest is a set of random binary trees over the statistics. Documents that few random splits
-set apart have short paths and are anomalous. How short is too short is calibrated on labels.
+The forest is a set of random binary trees over the statistics, which are scaled by their quantiles
+among good documents. Documents that few random splits set apart have short paths and are
+anomalous. How short is too short is calibrated on labels.
 """
 
 from __future__ import annotations
@@ -21,15 +22,25 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
 WINDOW = 8
 
-TREES = 100
-TREE_ROWS = 256
+TREES = 300
+TREE_ROWS = 1024
 #: Of the rows of a tree, those labelled bad: anomalies have to be rare to be isolated early.
-TREE_BAD = 24
+TREE_BAD = 4
 #: The forest is fitted on at most this many labelled rows of either kind, those whose ids hash lowest.
 FIT_ROWS = 4096
 #: Share of the good labelled rows that the threshold may reject.
-MOST_GOOD_LOST = 0.001
+MOST_GOOD_LOST = 0.005
+#: Quantiles that scale a statistic; width of what lies between the outermost; how far beyond them,
+#: in distances from the median to the outermost, values still count as near; how steep the scale is
+#: from there, and its end.
+KNOTS = 128
+INSIDE = 0.05
+WIDER = 0.5
+BEYOND = 30.0
+FARTHEST = 4.0
 _BINS = 2000
+#: Whole rows are filtered in slices of about that size: a text is in its row and beside it.
+_ROW_BYTES = 4 << 20
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
           "n_upper", "n_lower", "n_digits", "n_shouts", "n_points", "n_echoes"]
@@ -96,6 +107,31 @@ def features(counts: np.ndarray) -> np.ndarray:
     ], axis=1)
 
 
+class Scale:
+    """Statistics by their rank among good rows, so that no long tail of a harmless one stands out.
+
+    Ranks lie evenly in an interval of length ``INSIDE``. Values beyond the outermost good ones keep
+    their order and distance, up to a bound, so that random splits fall between them and the rest.
+    """
+
+    def __init__(self, good: np.ndarray):
+        self.columns = []
+        for knots in np.quantile(good, np.linspace(0, 1, KNOTS + 1), axis=0).T:
+            values = np.unique(knots)
+            rank = (np.searchsorted(knots, values) + np.searchsorted(knots, values, "right") - 1) / 2 / KNOTS
+            low, middle, high = knots[0], knots[KNOTS // 2], knots[-1]
+            self.columns.append((values, rank if len(values) > 1 else rank * 0 + 0.5, low, high,
+                                 max(middle - low, 0.02 * abs(middle), 1e-6), max(high - middle, 0.02 * abs(high), 1e-6)))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        for j, (values, rank, low, high, under, over) in enumerate(self.columns):
+            beyond = np.maximum(x[:, j] - high, 0) / over - np.maximum(low - x[:, j], 0) / under
+            far = np.sign(beyond) * np.maximum(np.abs(beyond) - WIDER, 0)
+            out[:, j] = INSIDE * (np.interp(x[:, j], values, rank) - 0.5) + np.clip(BEYOND * far, -FARTHEST, FARTHEST)
+        return out
+
+
 @dataclass
 class Forest:
     """Trees as arrays: feature (-1 in a leaf), cut, and place of the left child, by node."""
@@ -104,13 +140,12 @@ class Forest:
     cut: np.ndarray
     left: np.ndarray
     length: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
+    scale: Scale
     limit: float = 0.0
 
     def path_lengths(self, x: np.ndarray) -> np.ndarray:
         """Mean path over the trees, with the usual correction for the rows left in a leaf."""
-        x = excess(x, self.low, self.high)
+        x = self.scale(x)
         total = np.zeros(len(x))
         rows = np.arange(len(x))
         for feature, cut, left, length in zip(self.feature, self.cut, self.left, self.length):
@@ -126,21 +161,6 @@ class Forest:
         return total / len(self.feature)
 
 
-def usual_range(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The range of each statistic in good rows, without their outermost, widened by half."""
-    low, middle, high = np.quantile(good, [0.001, 0.5, 0.999], axis=0)
-    return low - (middle - low) / 2, high + (high - middle) / 2
-
-
-def excess(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """How far each statistic lies outside its usual range, 0 inside it.
-
-    Good documents have long tails in statistics that say nothing of quality; a forest over the
-    plain values would isolate those first.
-    """
-    return np.maximum(x - high, 0) + np.minimum(x - low, 0)
-
-
 def _expected(n: float) -> float:
     """Mean path of an unsuccessful search in a random binary tree of n rows."""
     return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
@@ -151,8 +171,8 @@ def fit_forest(good: np.ndarray, bad: np.ndarray, trees=TREES, rows=TREE_ROWS, r
     """Each tree splits a random sample, with few bad rows in it, at random places."""
     rng = np.random.default_rng(seed)
     depth = int(np.ceil(np.log2(rows)))
-    low_high = usual_range(good)
-    good, bad = excess(good, *low_high), excess(bad, *low_high)
+    scale = Scale(good)
+    good, bad = scale(good), scale(bad)
     grown = []
     for _ in range(trees):
         parts = [a[rng.choice(len(a), min(n, len(a)), replace=False)]
@@ -175,7 +195,7 @@ def fit_forest(good: np.ndarray, bad: np.ndarray, trees=TREES, rows=TREE_ROWS, r
     most = max(map(len, grown))
     filled = np.array([n + [[-1, 0.0, 0, 0.0]] * (most - len(n)) for n in grown])
     return Forest(filled[..., 0].astype(np.int64), filled[..., 1], filled[..., 2].astype(np.int64),
-                  filled[..., 3], *low_high)
+                  filled[..., 3], scale)
 
 
 _STATS = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in COUNTS]])
@@ -287,7 +307,7 @@ def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     forest = fit(materialize(statistics(docs), "rule-statistics"), labels)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, _ROW_BYTES):
             counts = np.array([rule_counts(t) for t in texts(batch, "text")], np.int64)
             yield batch.filter(pa.array(verdicts(counts, forest)[1])).select(["row"])
 

@@ -25,7 +25,7 @@ END = 1
 _END_BYTES = END.to_bytes(4, "little")
 PIECES_PER_GROUP = 50_000
 PIECES_WITH_IDS_PER_GROUP = 5_000
-_PARTS_KEPT = 500_000
+_PARTS_KEPT = 200_000
 _PARTS_AT_ONCE = 4_000
 _TOKENS_PER_BATCH = 4_000_000
 _SLICE_BYTES = 2 << 20

@@ -2,8 +2,6 @@
 
 FULL_TEXTS = [
     ("0BSD", """\
-Copyright (C) Jonas Schievink <jonasschievink@gmail.com>
-
 Permission to use, copy, modify, and/or distribute this software for
 any purpose with or without fee is hereby granted.
 

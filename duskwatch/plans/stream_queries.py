@@ -28,7 +28,7 @@ def stream_scan(spark, sf):
 
 @query("stream_audit_scan", R + "select run_id, us, event, tool_call_id from run")
 def stream_audit_scan(spark, sf):
-    rows = audit.stream_audit(spark, raw.audit(spark, sf)).select(
+    rows = audit.stream_collected(spark, raw.audit(spark, sf)).select(
         "run_id", us("ts").alias("us"), "event", "tool_call_id")
     return streams.drain(rows)[0]
 
@@ -62,7 +62,7 @@ def stream_egress(spark, sf):
     when 'model_text' then before not in ('running', 'active')
     when 'run_start' then before <> 'none' else false end as illegal from b""")
 def run_state(spark, sf):
-    return streams.drain(stateful.run_states(audit.stream_audit(spark, raw.audit(spark, sf))))[0]
+    return streams.drain(stateful.run_states(audit.stream_collected(spark, raw.audit(spark, sf))))[0]
 
 
 @query("stream_call_result", R + """, c as (select run_id, tool_call_id, us, seq,
@@ -78,7 +78,7 @@ def run_state(spark, sf):
         from b where is_call and case when n_us is null then us + 86400000000 <= (select max(us) - 600000000 from c)
             else n_us - us > 86400000000 or n_call end""")
 def stream_call_result(spark, sf):
-    calls = stateful.call_results(audit.stream_audit(spark, raw.audit(spark, sf)), 86400)
+    calls = stateful.call_results(audit.stream_collected(spark, raw.audit(spark, sf)), 86400)
     return streams.drain(calls)[0]
 
 
@@ -88,7 +88,7 @@ def stream_call_result(spark, sf):
     and case when n_us is null then us + 43200000000 <= (select max(us) - 600000000 from run)
         else n_us - us > 43200000000 end""")
 def stall_watch(spark, sf):
-    stalls = stateful.stall_watch(audit.stream_audit(spark, raw.audit(spark, sf)), 43200)
+    stalls = stateful.stall_watch(audit.stream_collected(spark, raw.audit(spark, sf)), 43200)
     return streams.drain(stalls)[0]
 
 
@@ -149,7 +149,7 @@ def stream_append(spark, sf):
     from duskwatch.sinks.tables import stream_events
 
     path = scratch(spark, "appended")
-    rows = audit.stream_audit(spark, raw.audit(spark, sf)).select("run_id", "ts", "event")
+    rows = audit.stream_collected(spark, raw.audit(spark, sf)).select("run_id", "ts", "event")
     stream_events(rows, path, scratch(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -162,7 +162,7 @@ def eve_backlog(spark, sf):
 
 
 def audit_backlog(spark, sf):
-    return audit.stream_audit(spark, raw.audit(spark, sf), files_per_trigger=300, newest_first=True)
+    return audit.stream_collected(spark, raw.audit(spark, sf), files_per_trigger=16, newest_first=True)
 
 
 @query("backlog_event_counts", E + """select us // 3600000000 * 3600000000 as start_us, event_type,

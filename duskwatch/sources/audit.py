@@ -1,11 +1,11 @@
-"""Audit trails: the append-only JSON lines of one run per file."""
+"""Audit trails: the append-only JSON lines of one run per file, or of many runs collected into one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.sources.lines import parsed, read_lines, stream_lines
+from duskwatch.sources.lines import collected, parsed, read_lines, stream_lines
 
 FIELDS = """ts STRING, event STRING, mode STRING, skill STRING, model STRING, workspace STRING,
 interactive BOOLEAN, thinking STRING, max_tokens BIGINT, max_turns BIGINT, memory_enabled BOOLEAN,
@@ -21,24 +21,38 @@ FILE_NAME = r"(?:^|[/=])runner-([^/]+)-([0-9a-f]{32})[.]jsonl(?:/|$)"
 def events(lines: DataFrame) -> DataFrame:
     """Lines as audit events; task and run come from the file name, which alone has them all.
 
-    Content and arguments of any JSON type are kept as text. ``seq`` breaks ties of one time.
+    Content and arguments of any JSON type are kept as text. ``seq`` breaks ties of one time: the place
+    of a collected line in its trail, for others a hash of the line.
     """
-    good = parsed(lines, FIELDS).where("not _bad").select("_o.*", "_raw", "_file")
+    place = [F.col("_place")] if "_place" in lines.columns else []
+    good = parsed(lines, FIELDS).where("not _bad").select("_o.*", "_raw", "_file", *place)
     return good.select(
         F.regexp_extract("_file", FILE_NAME, 1).alias("task_id"),
         F.regexp_extract("_file", FILE_NAME, 2).alias("run_id"),
         F.col("ts").try_cast("timestamp").alias("ts"),
-        F.xxhash64("_raw").alias("seq"),
-        *[c for c in good.columns if c not in ("ts", "_raw", "_file")],
+        F.coalesce(*place, F.xxhash64("_raw")).alias("seq"),
+        *[c for c in good.columns if c not in ("ts", "_raw", "_file", "_place")],
         "_raw", "_file",
     )
 
 
 def read_audit(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Events of trails in files of their own."""
     return events(read_lines(spark, paths))
 
 
+def read_collected(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Events of many trails in few files (``lines.collected``): the way to keep very many runs."""
+    return events(collected(read_lines(spark, paths)))
+
+
 def stream_audit(
     spark: SparkSession, path: str, files_per_trigger: int | None = None, newest_first: bool = False,
 ) -> DataFrame:
     return events(stream_lines(spark, path, files_per_trigger, newest_first=newest_first))
+
+
+def stream_collected(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, newest_first: bool = False,
+) -> DataFrame:
+    return events(collected(stream_lines(spark, path, files_per_trigger, newest_first=newest_first)))

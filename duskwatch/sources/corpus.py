@@ -1,4 +1,4 @@
-"""Reports and programs as one row per file."""
+"""Reports and programs as one row per file, from files of their own or collected into Parquet."""
 
 from __future__ import annotations
 
@@ -18,7 +18,16 @@ PROGRAM_NAME = rf"(?:^|[/=]){_STAMP}-(\d{{2,}})[.]py(?:/|$)"
 def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Path, stamp, sequence number and whole text of each file."""
     files = utc(spark).read.option("recursiveFileLookup", "true").text(paths, wholetext=True)
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return _known(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
+def read_collected(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The same of very many files that were collected into Parquet: ``path`` and ``text``, a row each."""
+    paths = [paths] if isinstance(paths, str) else paths
+    return _known(utc(spark).read.schema("path string, text string").parquet(*paths))
+
+
+def _known(named: DataFrame) -> DataFrame:
     stamp = F.concat(F.regexp_extract("path", REPORT_NAME, 1),
                      F.regexp_extract("path", PROGRAM_NAME, 1))
     return named.select(

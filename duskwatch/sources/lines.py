@@ -42,6 +42,22 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select(F.col("value").alias("_raw"), F.col("_metadata.file_path").alias("_file"))
 
 
+def collected(lines: DataFrame) -> DataFrame:
+    """Lines of many small logs that were collected into large files.
+
+    Such a line is the name of its log, its place there (a number that grows, such as an offset) and
+    the line itself, with tabs between. They become ``_file``, ``_place`` and ``_raw``; lines of another
+    form keep their file and have no place.
+    """
+    label = F.regexp_extract("_raw", r"^([^\t{]+\t-?\d+\t)", 1)
+    name, place = F.split_part(label, F.lit("\t"), F.lit(1)), F.split_part(label, F.lit("\t"), F.lit(2))
+    held = F.length(label) > 0
+    return lines.select(
+        F.col("_raw").substr(F.length(label) + 1, F.length("_raw")).alias("_raw"),
+        F.when(held, name).otherwise(F.col("_file")).alias("_file"),
+        F.when(held, place.try_cast("bigint")).alias("_place"))
+
+
 def parsed(lines: DataFrame, ddl: str) -> DataFrame:
     """Lines that are not blank, with their record as ``_o`` and ``_bad`` where there is none."""
     solid = lines.where(F.trim(F.regexp_replace("_raw", r"\s", " ")) != "")

@@ -1,10 +1,11 @@
 """Streams with state per key whose rows come in any order within a delay.
 
-Rows of a key wait in slots of event time. A timer at the end of each slot releases it when the
-watermark has passed it, so that a key's rows are worked off in order of time whatever order their
-files came in, and one slot of one key is what a task holds. All rows of a key before the
-horizon, the last slot edge at or before the watermark, are then known; what depends on silence
-is told against the horizon. State of a key is dropped some time after its last row.
+Keys are dealt over ``buckets`` by their hash, as in ``stateful``. Rows of a bucket wait in slots of event
+time. A timer at the end of each slot releases it when the watermark has passed it, so that a key's rows
+are worked off in order of time whatever order their files came in; a bucket's slots that are due are
+worked off about ``ROWS`` rows at a time, and one slot of one bucket is the least that a task holds. All rows
+of a key before the horizon, the last slot edge at or before the watermark, are then known; what depends
+on silence is told against the horizon. State of a key is dropped some time after its last row.
 """
 
 from __future__ import annotations
@@ -12,131 +13,100 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from duskwatch.operators.runs import CALLS, RESULTS, is_event
-from duskwatch.streaming.stateful import _BEACON_COLUMNS, _Beacon, ENDS, ILLEGAL, STATE_AFTER
+from duskwatch.streaming import machines
+from duskwatch.streaming.machines import STATE_AFTER, Machine, decoded, encoded
+from duskwatch.streaming.stateful import BUCKETS, Held, bucketed
 
 SLOT_S = 60
 KEEP_S = 7 * 86_400
+#: Rows of a bucket that are worked off together, but for the last slot among them.
+ROWS = 200_000
 
 
-def _encoded(rows: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+class _Ordered(Held):
+    """Keeps rows by slot and hands them over in order of time and sequence."""
 
-
-def _decoded(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_pandas()
-
-
-class _Ordered(StatefulProcessor):
-    """Keeps rows by slot and hands them over slot by slot, in order of time and sequence."""
-
-    def __init__(self, slot_s: int = SLOT_S, keep_s: int = KEEP_S):
-        self.slot_us, self.keep_us = slot_s * 1_000_000, keep_s * 1_000_000
+    def __init__(self, machine: Machine, slot_s: int, keep_s: int) -> None:
+        super().__init__(machine)
+        machine.slot_us, machine.keep_us = slot_s * 1_000_000, keep_s * 1_000_000
+        self.slot_us, self.keep_us = machine.slot_us, machine.keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.parts = handle.getMapState("parts", "slot bigint, part bigint", "rows binary")
         self.slots = handle.getMapState("slots", "slot bigint", "parts bigint")
-        self.last = handle.getValueState("last", "us bigint")
-
-    def released(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Results of the next rows of a key, in order."""
-        raise NotImplementedError
-
-    def silent(self, key, horizon: int) -> Iterator[pd.DataFrame]:
-        """Results of there being no more rows before the horizon."""
-        return iter(())
-
-    def forget(self) -> None:
-        """Drop what the key has in state."""
+        # Horizons that buckets were released up to by this task.
+        self.done: dict[tuple, int] = {}
 
     def wake(self, us: int) -> None:
-        """Have the key looked at once all rows up to that time are known."""
+        """Have the bucket looked at once all rows up to that time are known."""
         self.handle.registerTimer((us // self.slot_us + 1) * self.slot_us // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
+            frame = frame.drop(columns=["bucket", "ts"], errors="ignore")
             for slot, own in frame.groupby(frame["us"] // self.slot_us):
                 slot = int(slot)
-                held = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
+                held = self.slots.getValue((slot,))
                 part = held[0] if held else 0
-                self.parts.updateValue((slot, part), (_encoded(own),))
+                self.parts.updateValue((slot, part), (encoded(own),))
                 self.slots.updateValue((slot,), (part + 1,))
                 if not part:
                     self.wake(slot * self.slot_us)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        horizon = timerValues.getCurrentWatermarkInMs() * 1000 // self.slot_us * self.slot_us
-        waiting = sorted(k[0] for k in self.slots.keys())
-        due = [s for s in waiting if (s + 1) * self.slot_us <= horizon]
-        for slot in due:
-            last = self.last.get()
-            if last and last[0] + self.keep_us < slot * self.slot_us:
-                # Whether the timer for that came first does not matter.
-                yield from self.silent(key, slot * self.slot_us)
-                self.forget()
-            parts = self.slots.getValue((slot,))[0]
-            held = [_decoded(self.parts.getValue((slot, i))[0]) for i in range(parts)]
-            for i in range(parts):
-                self.parts.removeKey((slot, i))
+    def _due(self, horizon: int) -> Iterator[pd.DataFrame]:
+        """Rows of the slots before the horizon, whole slots in order of time, and out of state."""
+        frames, size = [], 0
+        for slot in sorted(k[0] for k in self.slots.keys()):
+            if (slot + 1) * self.slot_us > horizon:
+                break
+            for part in range(self.slots.getValue((slot,))[0]):
+                frames.append(decoded(self.parts.getValue((slot, part))[0]))
+                size += len(frames[-1])
+                self.parts.removeKey((slot, part))
             self.slots.removeKey((slot,))
-            rows = pd.concat(held).sort_values(["us", "seq"], kind="stable")
-            yield from self.released(key, rows)
-            self.last.update((int(rows["us"].iloc[-1]),))
-        yield from self.silent(key, horizon)
-        last = self.last.get()
-        if last and due:
-            self.wake(last[0] + self.keep_us)
-        elif last and len(waiting) == len(due) and last[0] + self.keep_us < horizon:
-            self.last.clear()
-            self.forget()
-
-    def close(self) -> None:
-        pass
-
-
-def _watched(df: DataFrame, keys: list[str], delay: str, processor: _Ordered, schema: str) -> DataFrame:
-    return df.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
-        processor, schema, "append", "eventTime")
-
+            if size >= ROWS:
+                yield pd.concat(frames, ignore_index=True)
+                frames, size = [], 0
+        if frames:
+            yield pd.concat(frames, ignore_index=True)
 
-# --- moves of runs -------------------------------------------------------------------------------
-
-
-class _RunState(_Ordered):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("state", "state string")
-
-    def released(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        before = held[0] if held else "none"
-        moves = []
-        for event, status in zip(rows["event"], rows["status"]):
-            after = status if event == "run_end" else STATE_AFTER[event]
-            moves.append((before, after, before in ILLEGAL.get(event, ())))
-            before = after
-        self.state.update((before,))
-        was, now, illegal = zip(*moves)
-        yield pd.DataFrame({
-            "run_id": key[0], "us": rows["us"].to_numpy(), "event": rows["event"].to_numpy(),
-            "before": was, "state": now, "illegal": illegal})
-
-    def forget(self) -> None:
-        self.state.clear()
-
-
-def run_states(audit: DataFrame, delay: str = "10 minutes", slot_s: int = SLOT_S, keep_s: int = KEEP_S) -> DataFrame:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        horizon = timerValues.getCurrentWatermarkInMs() * 1000 // self.slot_us * self.slot_us
+        if self.done.get(key) == horizon:
+            return
+        self.done[key] = horizon
+        held = self.load()
+        for rows in self._due(horizon):
+            out, held = self.machine.step(held, rows)
+            if len(out):
+                yield out
+        if held is None:
+            return
+        # What was over just before the horizon: a row at it may still come.
+        out, held = self.machine.silent(held, horizon - 1)
+        if out is not None and len(out):
+            yield out
+        held = held[held["us"].to_numpy() + self.keep_us >= horizon]
+        self.store(held)
+        if len(held):
+            times = [int(held["us"].min()) + self.keep_us, *self.machine.deadlines(held).tolist()]
+            self.wake(min(times))
+
+
+def _watched(df: DataFrame, delay: str, machine: Machine, slot_s: int, keep_s: int, buckets: int, schema: str) -> DataFrame:
+    return bucketed(df.withWatermark("ts", delay), machine.keys, buckets).transformWithStateInPandas(
+        _Ordered(machine, slot_s, keep_s), schema, "append", "eventTime")
+
+
+def run_states(audit: DataFrame, delay: str = "10 minutes", slot_s: int = SLOT_S, keep_s: int = KEEP_S,
+               buckets: int = BUCKETS) -> DataFrame:
     """Every move of every run between its states before the horizon, illegal ones marked.
 
     Rows without a time are left out. A run that is silent for ``keep_s`` is forgotten; were it to
@@ -144,68 +114,12 @@ def run_states(audit: DataFrame, delay: str = "10 minutes", slot_s: int = SLOT_S
     """
     moves = audit.where(is_event(*STATE_AFTER, "run_end") & F.col("ts").isNotNull()).select(
         "run_id", "ts", F.unix_micros("ts").alias("us"), "seq", "event", "status")
-    return _watched(moves, ["run_id"], delay, _RunState(slot_s, keep_s),
+    return _watched(moves, delay, machines.Moves(), slot_s, keep_s, buckets,
                     "run_id string, us bigint, event string, before string, state string, illegal boolean")
 
 
-# --- calls and their results ------------------------------------------------------------------------
-
-
-class _Calls(_Ordered):
-    """Holds the open call of one id: its time."""
-
-    def __init__(self, limit_us: int, slot_s: int, keep_s: int):
-        super().__init__(slot_s, max(keep_s, limit_us // 1_000_000 + 1))
-        self.limit_us = limit_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.open = handle.getValueState("open", "us bigint")
-
-    @staticmethod
-    def _rows(key, found) -> Iterator[pd.DataFrame]:
-        if found:
-            calls, results, status = zip(*found)
-            yield pd.DataFrame({
-                "run_id": key[0], "tool_call_id": key[1],
-                "call_us": pd.Series(calls, dtype=object),
-                "result_us": pd.Series(results, dtype=object), "status": status})
-
-    def released(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        held = self.open.get()
-        started, found = held[0] if held else None, []
-        for us, is_call in zip(rows["us"].tolist(), rows["is_call"].tolist()):
-            if started is not None and us - started > self.limit_us:
-                found.append((started, None, "pending_late"))
-                started = None
-            if is_call:
-                if started is not None:
-                    found.append((started, None, "pending"))
-                started = us
-            elif started is None:
-                found.append((None, us, "unmatched"))
-            else:
-                found.append((started, us, "answered"))
-                started = None
-        if started is None:
-            self.open.clear()
-        else:
-            self.open.update((started,))
-            self.wake(started + self.limit_us)
-        yield from self._rows(key, found)
-
-    def silent(self, key, horizon: int) -> Iterator[pd.DataFrame]:
-        held = self.open.get()
-        if held and held[0] + self.limit_us < horizon:
-            self.open.clear()
-            yield from self._rows(key, [(held[0], None, "pending_late")])
-
-    def forget(self) -> None:
-        self.open.clear()
-
-
 def call_results(audit: DataFrame, limit_s: int = 3600, delay: str = "10 minutes", slot_s: int = SLOT_S,
-                 keep_s: int = KEEP_S) -> DataFrame:
+                 keep_s: int = KEEP_S, buckets: int = BUCKETS) -> DataFrame:
     """Calls as they are answered; those without a result in time become ``pending_late``.
 
     A call made again before its result leaves the earlier one ``pending``; a result without an
@@ -214,90 +128,24 @@ def call_results(audit: DataFrame, limit_s: int = 3600, delay: str = "10 minutes
     rows = audit.where(is_event(*CALLS, *RESULTS) & F.col("tool_call_id").isNotNull() & F.col("ts").isNotNull()).select(
         "run_id", "tool_call_id", "ts", F.unix_micros("ts").alias("us"), "seq", is_event(*CALLS).alias("is_call"))
     return _watched(
-        rows, ["run_id", "tool_call_id"], delay, _Calls(limit_s * 1_000_000, slot_s, keep_s),
+        rows, delay, machines.Calls(limit_s * 1_000_000), slot_s, max(keep_s, limit_s + 1), buckets,
         "run_id string, tool_call_id string, call_us bigint, result_us bigint, status string")
 
 
-# --- silences ------------------------------------------------------------------------------------------
-
-
-class _Stalls(_Ordered):
-    """Holds the last event of a run and whether its silence was reported."""
-
-    def __init__(self, budget_us: int, slot_s: int, keep_s: int):
-        super().__init__(slot_s, max(keep_s, budget_us // 1_000_000 + 1))
-        self.budget_us = budget_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.before = handle.getValueState("before", "us bigint, event string, told boolean")
-
-    @staticmethod
-    def _rows(key, found) -> Iterator[pd.DataFrame]:
-        if found:
-            since, event = zip(*found)
-            yield pd.DataFrame({"run_id": key[0], "since_us": since, "event": event})
-
-    def released(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        last, found = self.before.get(), []
-        for us, event in zip(rows["us"].tolist(), rows["event"].tolist()):
-            if last and not last[2] and us - last[0] > self.budget_us and last[1] not in ENDS:
-                found.append((last[0], last[1]))
-            last = (us, event, False)
-        self.before.update(last)
-        if last[1] not in ENDS:
-            self.wake(last[0] + self.budget_us)
-        yield from self._rows(key, found)
-
-    def silent(self, key, horizon: int) -> Iterator[pd.DataFrame]:
-        held = self.before.get()
-        if held and not held[2] and held[1] not in ENDS and held[0] + self.budget_us < horizon:
-            self.before.update((held[0], held[1], True))
-            yield from self._rows(key, [(held[0], held[1])])
-
-    def forget(self) -> None:
-        self.before.clear()
-
-
 def stall_watch(audit: DataFrame, budget_s: int, delay: str = "10 minutes", slot_s: int = SLOT_S,
-                keep_s: int = KEEP_S) -> DataFrame:
+                keep_s: int = KEEP_S, buckets: int = BUCKETS) -> DataFrame:
     """A row for every silence of a run that outlasts its budget, once; none after its end.
 
     Rows without a time are left out.
     """
     rows = audit.where(F.col("ts").isNotNull()).select("run_id", "ts", F.unix_micros("ts").alias("us"), "seq", "event")
-    return _watched(rows, ["run_id"], delay, _Stalls(budget_s * 1_000_000, slot_s, keep_s),
+    return _watched(rows, delay, machines.Stalls(budget_s * 1_000_000), slot_s, max(keep_s, budget_s + 1), buckets,
                     "run_id string, since_us bigint, event string")
 
 
-# --- beacons ---------------------------------------------------------------------------------------------
-
-
-class _Beacons(_Ordered):
-    """Running number, mean and squared deviation of gaps and of sizes."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.sums = handle.getValueState(
-            "sums", "last bigint, n bigint, g double, g2 double, m bigint, b double, b2 double")
-
-    def released(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        held = self.sums.get()
-        last, n, g, g2, m, b, b2 = held if held else (None, 0, 0.0, 0.0, 0, 0.0, 0.0)
-        us = rows["us"].astype("float64")
-        gaps = (us.diff().iloc[1:] if last is None else us.diff().fillna(us.iloc[0] - last)) / 1e6
-        n, g, g2 = _Beacon._merge(n, g, g2, gaps.to_numpy())
-        m, b, b2 = _Beacon._merge(m, b, b2, rows["sent"].dropna().to_numpy(dtype="float64"))
-        last = int(rows["us"].iloc[-1])
-        self.sums.update((last, n, g, g2, m, b, b2))
-        yield pd.DataFrame([(*key, last, n, g, g2, m, b, b2)], columns=_BEACON_COLUMNS)
-
-    def forget(self) -> None:
-        self.sums.clear()
-
-
-def beacons(events: DataFrame, delay: str = "10 minutes", slot_s: int = SLOT_S, keep_s: int = KEEP_S) -> DataFrame:
-    """Running beacon sums of every flow tuple, one row for each slot it has flows in.
+def beacons(events: DataFrame, delay: str = "10 minutes", slot_s: int = SLOT_S, keep_s: int = KEEP_S,
+            buckets: int = BUCKETS) -> DataFrame:
+    """Running beacon sums of every flow tuple, one row whenever flows of it are released.
 
     ``stateful.beacon_scores`` scores the newest row of each tuple. Flows without a time are left
     out; those without a size count for the gaps alone.
@@ -307,6 +155,6 @@ def beacons(events: DataFrame, delay: str = "10 minutes", slot_s: int = SLOT_S,
         F.col("event_ts").alias("ts"), F.unix_micros("event_ts").alias("us"), F.col("flow_id").alias("seq"),
         F.col("flow.bytes_toserver").alias("sent"))
     return _watched(
-        flows, ["src_ip", "dest_ip", "dest_port", "proto"], delay, _Beacons(slot_s, keep_s),
+        flows, delay, machines.Beacons(), slot_s, keep_s, buckets,
         "src_ip string, dest_ip string, dest_port bigint, proto string, us bigint, gaps bigint, "
         "mean_gap double, m2_gap double, events bigint, mean_sent double, m2_sent double")

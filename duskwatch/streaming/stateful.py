@@ -1,8 +1,11 @@
 """Streams with state of their own per key: runs, calls, silences, beacons.
 
 Rows of a key come unordered within a micro-batch and are ordered by time there; between batches
-files must arrive in order of time, as logs that grow do. What one task holds is the share of a
-key in one micro-batch, which the source bounds by bytes or by files per trigger.
+files must arrive in order of time, as logs that grow do. Keys are dealt over ``buckets`` by their
+hash; a bucket keeps one row for each of its keys, together in one value of state, and works on all its
+new rows at once (``machines``), since a call into Python for each key costs far more than its rows. What
+one task holds is the share of a bucket in one micro-batch, which the source bounds by bytes or by
+files per trigger, and its state. The number of buckets is fixed by the first start, like that of partitions.
 """
 
 from __future__ import annotations
@@ -15,21 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from duskwatch.operators.runs import CALLS, RESULTS, is_event
+from duskwatch.streaming import machines
+from duskwatch.streaming.machines import ENDS, ILLEGAL, STATE_AFTER, Machine, decoded, encoded  # noqa: F401
 
-# The state a run is in after each kind of event, and the moves it may not make.
-STATE_AFTER = {
-    "run_start": "ready", "prompt": "running", "model_text": "active", "error": "failed",
-    "setup_error": "failed", "interrupted": "interrupted",
-}
-ILLEGAL = {
-    "prompt": ("running", "completed", "interrupted"),
-    "model_text": ("none", "ready", "completed", "failed", "interrupted"),
-    "run_start": ("ready", "running", "active", "completed", "failed", "interrupted"),
-}
-
-
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
+BUCKETS = 256
 
 
 def _ms(us: int) -> int:
@@ -37,218 +29,149 @@ def _ms(us: int) -> int:
     return -(-us // 1000)
 
 
-class _RunState(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "state string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        before = held[0] if held else "none"
-        batch = _in_order(rows)
-        moves = []
-        for event, status in zip(batch["event"], batch["status"]):
-            after = status if event == "run_end" else STATE_AFTER[event]
-            moves.append((before, after, before in ILLEGAL.get(event, ())))
-            before = after
-        self.state.update((before,))
-        was, now, illegal = zip(*moves)
-        yield pd.DataFrame({
-            "run_id": key[0], "us": batch["us"].to_numpy(), "event": batch["event"].to_numpy(),
-            "before": was, "state": now, "illegal": illegal})
-
-    def close(self) -> None:
-        pass
-
-
-def run_states(audit: DataFrame) -> DataFrame:
-    """Every move of every run between its states, illegal ones marked."""
-    moves = audit.where(is_event(*STATE_AFTER, "run_end")).select(
-        "run_id", F.unix_micros("ts").alias("us"), "seq", "event", "status")
-    return moves.groupBy("run_id").transformWithStateInPandas(
-        _RunState(),
-        "run_id string, us bigint, event string, before string, state string, illegal boolean",
-        "append", "none")
-
-
-class _Calls(StatefulProcessor):
-    """Holds the open call of one id: its time."""
+class Held(StatefulProcessor):
+    """A bucket's held rows, in one value."""
 
-    def __init__(self, limit_us: int):
-        self.limit_us = limit_us
+    def __init__(self, machine: Machine) -> None:
+        self.machine = machine
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "us bigint")
+        self.value = handle.getValueState("held", "rows binary")
 
-    @staticmethod
-    def _rows(key, found) -> Iterator[pd.DataFrame]:
-        if found:
-            calls, results, status = zip(*found)
-            yield pd.DataFrame({
-                "run_id": key[0], "tool_call_id": key[1],
-                "call_us": pd.Series(calls, dtype=object),
-                "result_us": pd.Series(results, dtype=object), "status": status})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.open.get()
-        before = started = held[0] if held else None
-        found = []
-        batch = _in_order(rows)
-        for us, is_call in zip(batch["us"].tolist(), batch["is_call"].tolist()):
-            if started is not None and us - started > self.limit_us:
-                found.append((started, None, "pending_late"))
-                started = None
-            if is_call:
-                if started is not None:
-                    found.append((started, None, "pending"))
-                started = us
-            elif started is None:
-                found.append((None, us, "unmatched"))
-            else:
-                found.append((started, us, "answered"))
-                started = None
-        if started != before:
-            if before is not None:
-                self.handle.deleteTimer(_ms(before + self.limit_us))
-            if started is None:
-                self.open.clear()
-            else:
-                self.open.update((started,))
-                self.handle.registerTimer(_ms(started + self.limit_us))
-        yield from self._rows(key, found)
+    def load(self) -> pd.DataFrame | None:
+        value = self.value.get()
+        return decoded(value[0]) if value else None
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.open.get()
-        self.open.clear()
-        yield from self._rows(key, [(held[0], None, "pending_late")] if held else [])
+    def store(self, held: pd.DataFrame) -> None:
+        if len(held):
+            self.value.update((encoded(held),))
+        elif self.value.exists():
+            self.value.clear()
 
     def close(self) -> None:
         pass
 
 
-def call_results(audit: DataFrame, limit_s: int = 3600, delay: str = "10 minutes") -> DataFrame:
-    """Calls as they are answered; those without a result in time become ``pending_late``.
-
-    A call made again before its result leaves the earlier one ``pending``; a result without an
-    open call is ``unmatched``.
-    """
-    rows = audit.where(is_event(*CALLS, *RESULTS) & F.col("tool_call_id").isNotNull()).select(
-        "run_id", "tool_call_id", "ts", F.unix_micros("ts").alias("us"), "seq",
-        is_event(*CALLS).alias("is_call"))
-    return rows.withWatermark("ts", delay).groupBy("run_id", "tool_call_id").transformWithStateInPandas(
-        _Calls(limit_s * 1_000_000),
-        "run_id string, tool_call_id string, call_us bigint, result_us bigint, status string",
-        "append", "eventTime")
-
-
-class _Stalls(StatefulProcessor):
-    """Holds the last event of a run and whether its silence was reported."""
-
-    def __init__(self, budget_us: int):
-        self.budget_us = budget_us
+class _AsTheyCome(Held):
+    def __init__(self, machine: Machine, ttl_ms: int | None = None) -> None:
+        super().__init__(machine)
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "us bigint, event string, told boolean")
+        super().init(handle)
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def _keep(self, held: pd.DataFrame) -> None:
+        """Store what is held and wait for the first time at which silence tells something."""
+        self.store(held)
+        times = self.machine.deadlines(held)
+        ms = _ms(int(times.min())) if len(times) else None
+        was = self.due.get()
+        was = was[0] if was else None
+        if ms == was:
+            return
+        if was is not None:
+            self.handle.deleteTimer(was)
+        if ms is None:
+            self.due.clear()
+        else:
+            self.due.update((ms,))
+            self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = last = self.last.get()
-        found = []
-        batch = _in_order(rows)
-        for us, event in zip(batch["us"].tolist(), batch["event"].tolist()):
-            if last and not last[2] and us - last[0] > self.budget_us and last[1] not in ENDS:
-                found.append((last[0], last[1]))
-            last = (us, event, False)
-        self.last.update(last)
-        if before and not before[2] and before[1] not in ENDS:
-            self.handle.deleteTimer(_ms(before[0] + self.budget_us))
-        if last[1] not in ENDS:
-            self.handle.registerTimer(_ms(last[0] + self.budget_us))
-        yield from self._rows(key, found)
+        held = self.load()
+        batch = pd.concat(list(rows), ignore_index=True).drop(columns="bucket", errors="ignore")
+        if self.ttl_ms is None:
+            out, held = self.machine.step(held, batch)
+        else:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            fresh = held[held["seen_ms"] + self.ttl_ms > now] if held is not None else None
+            seen = fresh[[*self.machine.keys, "seen_ms"]] if fresh is not None else None
+            out, held = self.machine.step(None if fresh is None else fresh.drop(columns="seen_ms"), batch)
+            held = _seen(held, seen, out, self.machine.keys, now)
+        self._keep(held)
+        if len(out):
+            yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        us, event, told = self.last.get()
-        self.last.update((us, event, True))
-        yield from self._rows(key, [] if told else [(us, event)])
+        self.due.clear()
+        held = self.load()
+        if held is None:
+            return
+        out, held = self.machine.silent(held, timerValues.getCurrentWatermarkInMs() * 1000)
+        self._keep(held)
+        if out is not None and len(out):
+            yield out
 
-    @staticmethod
-    def _rows(key, found) -> Iterator[pd.DataFrame]:
-        if found:
-            since, event = zip(*found)
-            yield pd.DataFrame({"run_id": key[0], "since_us": since, "event": event})
 
-    def close(self) -> None:
-        pass
+def _seen(held: pd.DataFrame, before: pd.DataFrame | None, out: pd.DataFrame, keys: list[str], now: int) -> pd.DataFrame:
+    """Held rows with the time their key last had rows."""
+    times = out[keys].drop_duplicates().assign(seen_ms=now)
+    if before is not None:
+        times = pd.concat([times, before], ignore_index=True).drop_duplicates(keys)
+    return held.merge(times, on=keys)
 
 
-# Events after which a run is not waited for.
-ENDS = ("run_end", "interrupted")
+def bucketed(df: DataFrame, keys: list[str], buckets: int):
+    """Rows grouped by the bucket of their key."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
 
 
-def stall_watch(audit: DataFrame, budget_s: int, delay: str = "10 minutes") -> DataFrame:
-    """A row for every silence of a run that outlasts its budget, once; none after its end."""
-    rows = audit.select("run_id", "ts", F.unix_micros("ts").alias("us"), "seq", "event")
-    return rows.withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(
-        _Stalls(budget_s * 1_000_000), "run_id string, since_us bigint, event string",
-        "append", "eventTime")
+def run_states(audit: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Every move of every run between its states, illegal ones marked."""
+    moves = audit.where(is_event(*STATE_AFTER, "run_end")).select(
+        "run_id", F.unix_micros("ts").alias("us"), "seq", "event", "status")
+    return bucketed(moves, ["run_id"], buckets).transformWithStateInPandas(
+        _AsTheyCome(machines.Moves()),
+        "run_id string, us bigint, event string, before string, state string, illegal boolean",
+        "append", "none")
 
 
-class _Beacon(StatefulProcessor):
-    """Running number, mean and squared deviation of gaps and of sizes."""
+def call_results(audit: DataFrame, limit_s: int = 3600, delay: str = "10 minutes",
+                 buckets: int = BUCKETS) -> DataFrame:
+    """Calls as they are answered; those without a result in time become ``pending_late``.
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    A call made again before its result leaves the earlier one ``pending``; a result without an
+    open call is ``unmatched``. Rows without a time or a call id are left out.
+    """
+    rows = audit.where(is_event(*CALLS, *RESULTS) & F.col("tool_call_id").isNotNull() & F.col("ts").isNotNull()).select(
+        "run_id", "tool_call_id", "ts", F.unix_micros("ts").alias("us"), "seq",
+        is_event(*CALLS).alias("is_call"))
+    return bucketed(rows.withWatermark("ts", delay), ["run_id", "tool_call_id"], buckets).transformWithStateInPandas(
+        _AsTheyCome(machines.Calls(limit_s * 1_000_000)),
+        "run_id string, tool_call_id string, call_us bigint, result_us bigint, status string",
+        "append", "eventTime")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState(
-            "sums", "last bigint, n bigint, g double, g2 double, m bigint, b double, b2 double",
-            self.ttl_ms)
-
-    @staticmethod
-    def _merge(n, mean, m2, values):
-        """Fold a batch of numbers into a running mean and squared deviation."""
-        k = len(values)
-        if k == 0:
-            return n, mean, m2
-        mean_k = float(values.mean())
-        m2_k = float(((values - mean_k) ** 2).sum())
-        d = mean_k - mean
-        total = n + k
-        return total, mean + d * k / total, m2 + m2_k + d * d * n * k / total
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows)
-        us = batch["us"].astype("float64")
-        held = self.sums.get()
-        if held:
-            last, n, g, g2, m, b, b2 = held
-            gaps = us.diff().fillna(us.iloc[0] - last) / 1e6
-        else:
-            n, g, g2, m, b, b2 = 0, 0.0, 0.0, 0, 0.0, 0.0
-            gaps = us.diff().iloc[1:] / 1e6
-        n, g, g2 = self._merge(n, g, g2, gaps.to_numpy())
-        m, b, b2 = self._merge(m, b, b2, batch["sent"].to_numpy(dtype="float64"))
-        last = int(batch["us"].iloc[-1])
-        self.sums.update((last, n, g, g2, m, b, b2))
-        yield pd.DataFrame([(*key, last, n, g, g2, m, b, b2)], columns=_BEACON_COLUMNS)
+def stall_watch(audit: DataFrame, budget_s: int, delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
+    """A row for every silence of a run that outlasts its budget, once; none after its end.
 
-    def close(self) -> None:
-        pass
+    Rows without a time are left out.
+    """
+    rows = audit.where(F.col("ts").isNotNull()).select(
+        "run_id", "ts", F.unix_micros("ts").alias("us"), "seq", "event")
+    return bucketed(rows.withWatermark("ts", delay), ["run_id"], buckets).transformWithStateInPandas(
+        _AsTheyCome(machines.Stalls(budget_s * 1_000_000)), "run_id string, since_us bigint, event string",
+        "append", "eventTime")
 
 
 _BEACON_COLUMNS = ["src_ip", "dest_ip", "dest_port", "proto", "us", "gaps", "mean_gap", "m2_gap",
                    "events", "mean_sent", "m2_sent"]
 
 
-def beacons(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Running beacon sums of every flow tuple, one row per tuple and micro-batch."""
-    flows = events.where("event_type = 'flow'").select(
+def beacons(events: DataFrame, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Running beacon sums of every flow tuple, one row per tuple and micro-batch.
+
+    Flows without a time are left out; those without a size count for the gaps alone.
+    """
+    flows = events.where((F.col("event_type") == "flow") & F.col("event_ts").isNotNull()).select(
         "src_ip", "dest_ip", F.col("dest_port").cast("bigint").alias("dest_port"), "proto",
         F.unix_micros("event_ts").alias("us"), F.col("flow_id").alias("seq"),
         F.col("flow.bytes_toserver").alias("sent"))
     # State that expires needs the clock; without expiry there is no timer to keep.
-    return flows.groupBy("src_ip", "dest_ip", "dest_port", "proto").transformWithStateInPandas(
-        _Beacon(ttl_ms),
+    return bucketed(flows, _BEACON_COLUMNS[:4], buckets).transformWithStateInPandas(
+        _AsTheyCome(machines.Beacons(), ttl_ms),
         "src_ip string, dest_ip string, dest_port bigint, proto string, us bigint, gaps bigint, "
         "mean_gap double, m2_gap double, events bigint, mean_sent double, m2_sent double",
         "append", "processingTime" if ttl_ms else "none")

@@ -94,10 +94,10 @@ def stall_watch(spark, sf):
 
 @query("stream_dedupe", E + "select us, flow_id, event_type from net")
 def stream_dedupe(spark, sf):
-    both = eve.stream_eve(spark, raw.eve(spark, sf)).unionByName(
-        eve.stream_eve(spark, raw.eve_overlap(spark, sf)))
-    rows = both.select("event_ts", "flow_id", "event_type")
-    once = streams.dedupe(rows, ["event_ts", "flow_id", "event_type"])
+    rows, again = (
+        eve.stream_eve(spark, log(spark, sf)).select("event_ts", "flow_id", "event_type", F.md5("_raw").alias("line"))
+        for log in (raw.eve, raw.eve_overlap))
+    once = streams.dedupe(rows, ["line"], "1 day", again)
     return streams.drain(once)[0].select(us("event_ts").alias("us"), "flow_id", "event_type")
 
 
@@ -182,8 +182,8 @@ def backlog_egress(spark, sf):
 @query("backlog_dedupe", ORACLES["stream_dedupe"])
 def backlog_dedupe(spark, sf):
     both = eve_backlog(spark, sf).unionByName(eve.stream_eve(spark, raw.eve_overlap(spark, sf), 4, True))
-    rows = both.select("event_ts", "flow_id", "event_type")
-    once = backlog.dedupe(rows, ["event_ts", "flow_id", "event_type"], scratch(spark, "once"))
+    rows = both.select("event_ts", "flow_id", "event_type", F.md5("_raw").alias("line"))
+    once = backlog.dedupe(rows, ["line"], scratch(spark, "once"))
     return once.select(us("event_ts").alias("us"), "flow_id", "event_type")
 
 

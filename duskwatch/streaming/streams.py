@@ -153,9 +153,16 @@ def drain_updates(df: DataFrame, keys: list[str], path: str, checkpoint: str | N
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def dedupe(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """Each record once, for copies that come within the delay."""
-    return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(keys)
+def dedupe(events: DataFrame, keys: list[str], delay: str = "1 day", *more: DataFrame) -> DataFrame:
+    """Each record once, for copies that come within the delay.
+
+    Streams that run beside each other are given apart: each has a clock of its own, and the slowest one
+    tells what is late, so that a stream which is ahead does not make the others' rows late.
+    """
+    both = events.withWatermark("event_ts", delay)
+    for other in more:
+        both = both.unionByName(other.withWatermark("event_ts", delay))
+    return both.dropDuplicatesWithinWatermark(keys)
 
 
 def with_quarantine(lines: DataFrame) -> DataFrame:

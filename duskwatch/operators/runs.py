@@ -63,8 +63,10 @@ def pair_calls(audit: DataFrame) -> DataFrame:
 def resolve_models(runs: DataFrame, dim: DataFrame) -> DataFrame:
     """Model names as ids: the first catalogue entry whose alias or id equals the name wins."""
     names = dim.select("pos", "id", F.explode(F.array_distinct(F.array("alias", "id"))).alias("model"))
-    first = names.groupBy("model").agg(F.min_by("id", "pos").alias("_id"))
-    return runs.join(first, "model", "left").withColumn(
+    # Names are dealt out before they fold: a catalogue of one file would be sorted in one task. The
+    # engine takes their size from the file's, which names outgrow, and would send all of them to every task.
+    first = names.repartition("model").groupBy("model").agg(F.min_by("id", "pos").alias("_id"))
+    return runs.join(first.hint("merge"), "model", "left").withColumn(
         "resolved", F.coalesce("_id", "model")).drop("_id")
 
 

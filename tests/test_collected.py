@@ -97,3 +97,10 @@ def test_records_of_one_flow_and_time_are_no_copies(spark, tmp_path):
     want = grown.count()
     assert stream_queries.stream_dedupe(spark, str(tmp_path)).count() == want
     assert stream_queries.backlog_dedupe(spark, str(tmp_path)).count() == want
+
+
+def test_names_of_a_catalogue_are_not_broadcast(spark):
+    from duskwatch.plans import source_queries
+    plan = source_queries.alias_resolve(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert plan.count("SortAggregate") <= 2 and plan.rindex("SortAggregate") < plan.rindex("REPARTITION")

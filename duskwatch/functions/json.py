@@ -19,7 +19,9 @@ def with_object(df: DataFrame, line: str, ddl: str, name: str) -> DataFrame:
         f"array<struct<{ddl}>>",
         {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"},
     )
-    whole = F.col(line).rlike(r"(?s)^\s*\{.*\}\s*$")
+    # Long lines are looked at from their ends; only those that end in white space are searched.
+    closed = F.col(line).endswith("}") | F.col(line).rlike(r"\}\s*$")
+    whole = F.col(line).rlike(r"^\s*\{") & closed
     one = F.transform(F.array(items), lambda x: F.when(whole & (F.size(x) == 1), x[0]))
     return df.select("*", F.explode_outer(one).alias(name))
 

@@ -7,6 +7,8 @@ epoch microseconds of a time column, which the two spell differently.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -247,14 +249,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flat(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """A view with the columns of the oracle's."""
+def flat(
+    spark: SparkSession, sf_dir: str, view: str, arrange: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """A view with the columns of the oracle's.
+
+    ``arrange`` deals out the rows of the table while they are narrow; columns it adds are kept.
+    """
     source, columns = VIEWS[view]
+    given = table(spark, sf_dir, source)
+    rows = arrange(given)
     spelled = [
         F.expr(_spell(e, "unix_micros(cast({} as timestamp))")).alias(c)
         for c, e in columns.items()
     ]
-    return table(spark, sf_dir, source).select(*spelled)
+    return rows.select(*spelled, *[c for c in rows.columns if c not in given.columns])
 
 
 def _micros(column: str):
@@ -326,8 +335,10 @@ def system(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(spark, sf_dir, "system")
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(spark, sf_dir, "run").withColumn("ts", _micros("us"))
+def run(
+    spark: SparkSession, sf_dir: str, arrange: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    return flat(spark, sf_dir, "run", arrange).withColumn("ts", _micros("us"))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:

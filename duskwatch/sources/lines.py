@@ -50,17 +50,18 @@ def collected(lines: DataFrame) -> DataFrame:
     form keep their file and have no place.
     """
     label = F.regexp_extract("_raw", r"^([^\t{]+\t-?\d+\t)", 1)
-    name, place = F.split_part(label, F.lit("\t"), F.lit(1)), F.split_part(label, F.lit("\t"), F.lit(2))
-    held = F.length(label) > 0
-    return lines.select(
-        F.col("_raw").substr(F.length(label) + 1, F.length("_raw")).alias("_raw"),
+    name, place = F.split_part("_label", F.lit("\t"), F.lit(1)), F.split_part("_label", F.lit("\t"), F.lit(2))
+    held = F.length("_label") > 0
+    # A column of its own, so that the expression is not put in place of each use.
+    return lines.withColumn("_label", label).select(
+        F.substr(F.col("_raw"), F.length("_label") + 1).alias("_raw"),
         F.when(held, name).otherwise(F.col("_file")).alias("_file"),
         F.when(held, place.try_cast("bigint")).alias("_place"))
 
 
 def parsed(lines: DataFrame, ddl: str) -> DataFrame:
     """Lines that are not blank, with their record as ``_o`` and ``_bad`` where there is none."""
-    solid = lines.where(F.trim(F.regexp_replace("_raw", r"\s", " ")) != "")
+    solid = lines.where(F.col("_raw").rlike(r"\S"))
     return with_object(solid, "_raw", ddl, "_o").withColumn("_bad", F.col("_o").isNull())
 
 

@@ -104,3 +104,37 @@ def test_names_of_a_catalogue_are_not_broadcast(spark):
     plan = source_queries.alias_resolve(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert plan.count("SortAggregate") <= 2 and plan.rindex("SortAggregate") < plan.rindex("REPARTITION")
+
+
+def test_lines_of_trails_are_made_after_their_rows_are_dealt_out(spark):
+    from duskwatch.plans import adapters
+    rows = adapters.run(spark, SF, raw._by_day("audit-"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "repeat(" in above and "repeat(" not in below
+    for file in glob.glob(raw.audit(spark, SF) + "/log=*/part-*"):
+        with gzip.open(file, "rt") as f:
+            times = [json.loads(line.split("\t", 2)[2])["ts"] for line in f]
+        assert times == sorted(times)
+
+
+def test_a_line_is_taken_apart_once(spark, tmp_path):
+    (tmp_path / "a").write_text("x\t1\t{}")
+    plan = audit.read_collected(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("FileScan")[0]
+    # Once for the columns and once for the test on blank lines that stands below them.
+    assert plan.count(r"regexp_extract(value") <= 2 and "regexp_replace" not in plan
+
+
+def test_what_counts_as_an_object(spark):
+    import itertools
+    from duskwatch.functions.json import with_object
+    ends = ["", " ", "\t\n", "\r", "\x0b", "x", "}", "{", "\xa0"]
+    texts = [a + body + b for a, b in itertools.product(ends, ends) for body in ('{"a": 1}', '{"a":\n1}', "")]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "line string")
+    whole = F.col("line").rlike(r"(?s)^\s*\{.*\}\s*$")
+    got = with_object(rows, "line", "a int", "o").select("line", whole.alias("whole"), "o.a").collect()
+    assert sum(r.a == 1 for r in got) > 20
+    assert all(r.whole for r in got if r.a is not None)
+    assert {r.line for r in got if r.a == 1} == {
+        a + body + b for a, b in itertools.product(ends[:4], ends[:4]) for body in ('{"a": 1}', '{"a":\n1}')}

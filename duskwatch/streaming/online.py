@@ -1,11 +1,13 @@
 """Streams with state per key whose rows come in any order within a delay.
 
-Keys are dealt over ``buckets`` by their hash, as in ``stateful``. Rows of a bucket wait in slots of event
-time. A timer at the end of each slot releases it when the watermark has passed it, so that a key's rows
-are worked off in order of time whatever order their files came in; a bucket's slots that are due are
-worked off about ``ROWS`` rows at a time, and one slot of one bucket is the least that a task holds. All rows
-of a key before the horizon, the last slot edge at or before the watermark, are then known; what depends
-on silence is told against the horizon. State of a key is dropped some time after its last row.
+Keys are dealt over ``buckets`` by their hash, as in ``stateful``. Rows of a bucket wait in the parts in
+which they came, one for each micro-batch, and are never written again. One timer of the bucket wakes it
+at the first edge of a slot of event time after the first row that waits; rows of all slots before the
+horizon, the last slot edge at or before the watermark, are then worked off in order of time whatever
+order their files came in, about ``ROWS`` at a time. A task holds the rows of one bucket that are due. All
+rows of a key before the horizon are then known; what depends on silence is told against the horizon.
+State of a key is dropped some time after its last row. What a batch costs besides its rows follows
+the buckets alone, and neither slots nor delay.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from duskwatch.streaming.stateful import BUCKETS, Held, bucketed
 
 SLOT_S = 60
 KEEP_S = 7 * 86_400
-#: Rows of a bucket that are worked off together, but for the last slot among them.
+#: Rows of a bucket that are worked off together, but for the rest of the last slot among them.
 ROWS = 200_000
 
 
@@ -38,66 +40,86 @@ class _Ordered(Held):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.parts = handle.getMapState("parts", "slot bigint, part bigint", "rows binary")
-        self.slots = handle.getMapState("slots", "slot bigint", "parts bigint")
+        # The key tells how many parts came before, and the times that a part spans.
+        self.parts = handle.getMapState("parts", "part bigint, low bigint, high bigint", "rows binary")
+        # How many parts came, the horizon that rows were released up to, and the timer that is set.
+        self.at = handle.getValueState("at", "parts bigint, released bigint, due bigint")
         # Horizons that buckets were released up to by this task.
         self.done: dict[tuple, int] = {}
 
-    def wake(self, us: int) -> None:
-        """Have the bucket looked at once all rows up to that time are known."""
-        self.handle.registerTimer((us // self.slot_us + 1) * self.slot_us // 1000)
+    def _wake(self, us: int, due: int | None) -> int:
+        """Have the bucket looked at once all rows up to that time are known; returns the next timer."""
+        ms = (us // self.slot_us + 1) * self.slot_us // 1000
+        if due is not None and due <= ms:
+            return due
+        self.handle.registerTimer(ms)
+        return ms
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts, released, due = self.at.get() or (0, None, None)
         for frame in rows:
             frame = frame.drop(columns=["bucket", "ts"], errors="ignore")
-            for slot, own in frame.groupby(frame["us"] // self.slot_us):
-                slot = int(slot)
-                held = self.slots.getValue((slot,))
-                part = held[0] if held else 0
-                self.parts.updateValue((slot, part), (encoded(own),))
-                self.slots.updateValue((slot,), (part + 1,))
-                if not part:
-                    self.wake(slot * self.slot_us)
+            low, high = int(frame["us"].min()), int(frame["us"].max())
+            self.parts.updateValue((parts, low, high), (encoded(frame),))
+            parts, due = parts + 1, self._wake(low, due)
+        self.at.update((parts, released, due))
         return iter(())
 
-    def _due(self, horizon: int) -> Iterator[pd.DataFrame]:
-        """Rows of the slots before the horizon, whole slots in order of time, and out of state."""
-        frames, size = [], 0
-        for slot in sorted(k[0] for k in self.slots.keys()):
-            if (slot + 1) * self.slot_us > horizon:
-                break
-            for part in range(self.slots.getValue((slot,))[0]):
-                frames.append(decoded(self.parts.getValue((slot, part))[0]))
-                size += len(frames[-1])
-                self.parts.removeKey((slot, part))
-            self.slots.removeKey((slot,))
-            if size >= ROWS:
-                yield pd.concat(frames, ignore_index=True)
-                frames, size = [], 0
-        if frames:
-            yield pd.concat(frames, ignore_index=True)
+    def _due(self, released: int | None, horizon: int) -> tuple[list[pd.DataFrame], list[int]]:
+        """Rows of whole slots from one horizon to the next in pieces in order of time, and the first
+        time in each part that still waits."""
+        frames, waiting = [], []
+        for part, low, high in sorted(tuple(k) for k in self.parts.keys()):
+            if low >= horizon:
+                waiting.append(low)
+                continue
+            frame = decoded(self.parts.getValue((part, low, high))[0])
+            us = frame["us"].to_numpy()
+            now = us < horizon
+            if high >= horizon:
+                waiting.append(int(us[~now].min()))
+            else:
+                self.parts.removeKey((part, low, high))
+            frames.append(frame[now if released is None else now & (us >= released)])
+        frames = [f for f in frames if len(f)]
+        if not frames:
+            return [], waiting
+        rows = pd.concat(frames, ignore_index=True)
+        rows = rows.iloc[rows["us"].to_numpy().argsort(kind="stable")]
+        slot = rows["us"].to_numpy() // self.slot_us
+        pieces, start = [], 0
+        while start < len(rows):
+            last = slot[min(start + ROWS, len(rows)) - 1]
+            end = int(slot.searchsorted(last, side="right"))
+            pieces.append(rows.iloc[start:end].reset_index(drop=True))
+            start = end
+        return pieces, waiting
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         horizon = timerValues.getCurrentWatermarkInMs() * 1000 // self.slot_us * self.slot_us
         if self.done.get(key) == horizon:
             return
         self.done[key] = horizon
+        parts, released, _ = self.at.get() or (0, None, None)
         held = self.load()
-        for rows in self._due(horizon):
+        pieces, waiting = self._due(released, horizon)
+        for rows in pieces:
             out, held = self.machine.step(held, rows)
             if len(out):
                 yield out
-        if held is None:
-            return
-        # What was over just before the horizon: a row at it may still come.
-        out, held = self.machine.silent(held, horizon - 1)
-        if out is not None and len(out):
-            yield out
-        held = held[held["us"].to_numpy() + self.keep_us >= horizon]
-        self.store(held)
-        if len(held):
-            times = [int(held["us"].min()) + self.keep_us, *self.machine.deadlines(held).tolist()]
-            self.wake(min(times))
+        if held is not None:
+            # What was over just before the horizon: a row at it may still come.
+            out, held = self.machine.silent(held, horizon - 1)
+            if out is not None and len(out):
+                yield out
+            held = held[held["us"].to_numpy() + self.keep_us >= horizon]
+            self.store(held)
+            if len(held):
+                waiting += [int(held["us"].min()) + self.keep_us, *self.machine.deadlines(held).tolist()]
+        if waiting:
+            self.at.update((parts, horizon, self._wake(min(waiting), None)))
+        elif self.at.exists():
+            self.at.clear()
 
 
 def _watched(df: DataFrame, delay: str, machine: Machine, slot_s: int, keep_s: int, buckets: int, schema: str) -> DataFrame:

@@ -22,11 +22,24 @@ _STATE = {
 }
 
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a new stream's state: those of the session, but no more than two for each core.
+
+    Every batch opens and commits each of them, and starts a worker where state is in Python, whatever
+    it holds. A stream that is taken up again keeps the number of its first start.
+    """
+    return min(int(spark.conf.get(_PARTITIONS)), max(2 * spark.sparkContext.defaultParallelism, 16))
+
+
 @contextmanager
 def _rocks(spark: SparkSession):
-    """Keyed state lives in RocksDB; the settings are read when a stream starts."""
-    before = {name: spark.conf.get(name, None) for name in _STATE}
-    for name, value in _STATE.items():
+    """Keyed state lives in RocksDB, in few partitions; the settings are read when a stream starts."""
+    settings = {**_STATE, _PARTITIONS: str(state_partitions(spark))}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
         spark.conf.set(name, value)
     try:
         yield

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from duskwatch.operators import net
 from duskwatch.session import scratch
 from duskwatch.sources import eve
-from duskwatch.streaming import backlog, online, stateful, streams
+from duskwatch.streaming import backlog, machines, online, stateful, streams
 
 AUDIT = "run_id string, us bigint, seq bigint, event string, status string, tool_call_id string"
 HOUR = 3600
@@ -193,3 +193,52 @@ def test_dedupe_reads_nothing_of_the_store(spark, tmp_path):
     assert updated == [500] * 8
     plan = events.dropDuplicates(["id"])._jdf.queryExecution().analyzed().toString()
     assert "Join" not in plan
+
+
+def test_what_waits_is_kept_by_batch_and_not_by_slot(spark, tmp_path):
+    start = 1_767_225_600_000_000
+    rows = [{"run_id": "a", "us": start + m * 60_000_000, "seq": m, "event": "prompt"} for m in range(300)]
+    feed = Shuffled(spark, tmp_path / "in", rows, AUDIT, files=3)
+    _, query = streams.drain(online.run_states(feed.stream(), "10 hours", 60))
+    assert left_in_state(query) <= 5  # two for each slot before, of which there are 300
+
+
+def test_pieces_hold_whole_slots_and_rows_come_once(spark, tmp_path, monkeypatch):
+    rows, mark = trail(3)
+    feed = Shuffled(spark, tmp_path / "in", rows + mark, AUDIT, seed=3)
+    machine = online.machines.Moves()
+    own = online._Ordered(machine, 600, 100 * HOUR)
+    import pandas as pd
+    frame = feed.batch().drop("ts").toPandas()
+    kept = {(i, int(f["us"].min()), int(f["us"].max())): (machines.encoded(f),)
+            for i, f in enumerate(frame.iloc[j::3] for j in range(3))}
+
+    class Parts:
+        keys = staticmethod(lambda: list(kept))
+        getValue = staticmethod(kept.get)
+        removeKey = staticmethod(kept.pop)
+
+    own.parts, edge, got, released = Parts(), frame["us"].min() // 600_000_000 * 600_000_000, [], None
+    monkeypatch.setattr(online, "ROWS", 7)
+    while kept:
+        edge += 40 * 600_000_000
+        pieces, waiting = own._due(released, edge)
+        slots = [set(p["us"] // 600_000_000) for p in pieces]
+        assert all(max(a) < min(b) for a, b in zip(slots, slots[1:]))
+        assert all(p["us"].is_monotonic_increasing and p["us"].max() < edge for p in pieces)
+        assert all(w >= edge for w in waiting) and bool(waiting) == bool(kept)
+        got, released = got + pieces, edge
+    assert sorted(pd.concat(got)["seq"]) == sorted(frame["seq"])
+
+
+def test_state_lies_in_few_partitions(spark, feed):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        most = streams.state_partitions(spark)
+        assert most == max(16, 2 * spark.sparkContext.defaultParallelism)
+        _, query = streams.drain(feed.stream().select("run_id").dropDuplicates())
+        assert query.lastProgress["stateOperators"][0]["numShufflePartitions"] == most
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "300"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def opens(line: str) -> Column:
+    """Whether an object begins there. A pattern alone would have every long line decoded for it."""
+    return F.col(line).startswith("{") | F.col(line).rlike(r"^\s*\{")
+
+
 def with_object(df: DataFrame, line: str, ddl: str, name: str) -> DataFrame:
     """Add the line as one struct of the given fields; null unless it is exactly one JSON object.
 
@@ -19,9 +24,9 @@ def with_object(df: DataFrame, line: str, ddl: str, name: str) -> DataFrame:
         f"array<struct<{ddl}>>",
         {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"},
     )
-    # Long lines are looked at from their ends; only those that end in white space are searched.
+    # Long lines are looked at from their ends; only those with white space there are searched.
     closed = F.col(line).endswith("}") | F.col(line).rlike(r"\}\s*$")
-    whole = F.col(line).rlike(r"^\s*\{") & closed
+    whole = opens(line) & closed
     one = F.transform(F.array(items), lambda x: F.when(whole & (F.size(x) == 1), x[0]))
     return df.select("*", F.explode_outer(one).alias(name))
 

@@ -78,7 +78,8 @@ def run_state(spark, sf):
         from b where is_call and case when n_us is null then us + 86400000000 <= (select max(us) - 600000000 from c)
             else n_us - us > 86400000000 or n_call end""")
 def stream_call_result(spark, sf):
-    calls = stateful.call_results(audit.stream_collected(spark, raw.audit(spark, sf)), 86400)
+    trail = audit.stream_collected(spark, raw.audit(spark, sf), only=("event", "tool_call_id"))
+    calls = stateful.call_results(trail, 86400)
     return streams.drain(calls)[0]
 
 

@@ -18,20 +18,28 @@ max_retries INT, delay_seconds STRING, error STRING, error_type STRING, status S
 FILE_NAME = r"(?:^|[/=])runner-([^/]+)-([0-9a-f]{32})[.]jsonl(?:/|$)"
 
 
-def events(lines: DataFrame) -> DataFrame:
+def _ddl(only: tuple) -> str:
+    fields = {field.split()[0]: field for field in FIELDS.split(",")}
+    return ", ".join(fields[name] for name in dict.fromkeys(("ts", *only))) if only else FIELDS
+
+
+def events(lines: DataFrame, only: tuple = ()) -> DataFrame:
     """Lines as audit events; task and run come from the file name, which alone has them all.
 
     Content and arguments of any JSON type are kept as text. ``seq`` breaks ties of one time: the place
-    of a collected line in its trail, for others a hash of the line.
+    of a collected line in its trail, for others a hash of the line. With ``only``, no fields but these
+    and the time are made of the lines, which the engine does not find out by itself.
     """
     place = [F.col("_place")] if "_place" in lines.columns else []
-    good = parsed(lines, FIELDS).where("not _bad").select("_o.*", "_raw", "_file", *place)
+    # Told before the parse, so that the line need not pass through it.
+    lines = lines.withColumn("_seq", F.coalesce(*place, F.xxhash64("_raw")))
+    good = parsed(lines, _ddl(only)).where("not _bad").select("_o.*", "_raw", "_file", "_seq")
     return good.select(
         F.regexp_extract("_file", FILE_NAME, 1).alias("task_id"),
         F.regexp_extract("_file", FILE_NAME, 2).alias("run_id"),
         F.col("ts").try_cast("timestamp").alias("ts"),
-        F.coalesce(*place, F.xxhash64("_raw")).alias("seq"),
-        *[c for c in good.columns if c not in ("ts", "_raw", "_file", "_place")],
+        F.col("_seq").alias("seq"),
+        *[c for c in good.columns if c not in ("ts", "_raw", "_file", "_seq")],
         "_raw", "_file",
     )
 
@@ -53,6 +61,6 @@ def stream_audit(
 
 
 def stream_collected(
-    spark: SparkSession, path: str, files_per_trigger: int | None = None, newest_first: bool = False,
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, newest_first: bool = False, only: tuple = (),
 ) -> DataFrame:
-    return events(collected(stream_lines(spark, path, files_per_trigger, newest_first=newest_first)))
+    return events(collected(stream_lines(spark, path, files_per_trigger, newest_first=newest_first)), only)

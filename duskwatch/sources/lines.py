@@ -49,7 +49,10 @@ def collected(lines: DataFrame) -> DataFrame:
     the line itself, with tabs between. They become ``_file``, ``_place`` and ``_raw``; lines of another
     form keep their file and have no place.
     """
-    label = F.regexp_extract("_raw", r"^([^\t{]+\t-?\d+\t)", 1)
+    # What stands before the second tab, if there is one; the pattern sees no more of a long line.
+    head = F.substring_index("_raw", "\t", 2)
+    label = F.when(F.octet_length(head) < F.octet_length("_raw"), F.regexp_extract(
+        F.concat(head, F.lit("\t")), r"^([^\t{]+\t-?\d+\t)", 1)).otherwise("")
     name, place = F.split_part("_label", F.lit("\t"), F.lit(1)), F.split_part("_label", F.lit("\t"), F.lit(2))
     held = F.length("_label") > 0
     # A column of its own, so that the expression is not put in place of each use.
@@ -61,7 +64,7 @@ def collected(lines: DataFrame) -> DataFrame:
 
 def parsed(lines: DataFrame, ddl: str) -> DataFrame:
     """Lines that are not blank, with their record as ``_o`` and ``_bad`` where there is none."""
-    solid = lines.where(F.col("_raw").rlike(r"\S"))
+    solid = lines.where(F.col("_raw").startswith("{") | F.col("_raw").rlike(r"\S"))
     return with_object(solid, "_raw", ddl, "_o").withColumn("_bad", F.col("_o").isNull())
 
 

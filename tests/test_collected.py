@@ -138,3 +138,26 @@ def test_what_counts_as_an_object(spark):
     assert all(r.whole for r in got if r.a is not None)
     assert {r.line for r in got if r.a == 1} == {
         a + body + b for a, b in itertools.product(ends[:4], ends[:4]) for body in ('{"a": 1}', '{"a":\n1}')}
+
+
+def test_only_the_fields_asked_for_are_made_of_a_line(spark, tmp_path):
+    name = f"runner-a-{RUN}.jsonl"
+    (tmp_path / "all.log").write_text("\n".join([
+        f'{name}\t1\t{{"ts": "2026-01-06T00:00:00+00:00", "event": "prompt", "content": {{"a": [1]}}, "max_turns": "x"}}',
+        f'{name}\t2\t{{"ts": 5, "event": null, "content": "a\\qb"}}', f'{name}\t3\t{{"event": "error"}} tail', f"{name}\t4",
+        f'{name}\t5\t  {{"event": "run_end", "content": "z"}} ', f"{name}\t6\t   ", f"x{name}\t7\t[]"]))
+    read = lines.collected(lines.read_lines(spark, str(tmp_path)))
+    some = audit.events(read, ("event", "tool_call_id"))
+    names = ["task_id", "run_id", "ts", "seq", "event", "tool_call_id"]
+    want = sorted(map(tuple, audit.events(read).select(*names).collect()), key=repr)
+    assert sorted(map(tuple, some.select(*names).collect()), key=repr) == want and {r[3] for r in want} == {1, 5}
+    assert "content" not in some.columns and "content" not in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_label_is_looked_for_before_the_second_tab_only(spark, tmp_path):
+    (tmp_path / "a").write_text("x\t1\t{}\nx\t1\n{\t2\t\nx\tq\t{}\n\t1\t{}\nx\t-3\t\t{}")
+    got = lines.collected(lines.read_lines(spark, str(tmp_path)))
+    assert sorted((r._raw, r._place or 0) for r in got.collect()) == [
+        ("\t1\t{}", 0), ("\t{}", -3), ("x\t1", 0), ("x\tq\t{}", 0), ("{\t2\t", 0), ("{}", 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract(concat(substring_index(" in plan and "regexp_extract(value" not in plan

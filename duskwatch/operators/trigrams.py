@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from re import IGNORECASE, VERBOSE, _constants, _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,28 +54,53 @@ def required(pattern: str) -> set[str]:
     return {run[i : i + SIZE] for run in runs for i in range(len(run) - SIZE + 1) if "\n" not in run[i : i + SIZE]}
 
 
+def _own(text: str) -> np.ndarray:
+    """The distinct runs of three characters in the lines of a text, as numbers of 21 bits a character."""
+    chars = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    one, two, three = chars[:-2], chars[1:-1], chars[2:]
+    inside = (one != 10) & (two != 10) & (three != 10)
+    return np.unique((one << np.uint64(42) | two << np.uint64(21) | three)[inside])
+
+
+def _spelled(grams: np.ndarray) -> list[str]:
+    bits = np.uint64((1 << 21) - 1)
+    chars = np.stack([grams >> np.uint64(42), grams >> np.uint64(21) & bits, grams & bits], axis=1)
+    text = chars.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + SIZE] for i in range(0, len(text), SIZE)]
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each trigram of a batch, with the keys of all texts there that hold it; a row is
+    made for each part in the batch."""
     for batch in batches:
-        keys, parts, grams = [], [], []
-        rows = zip(*[c.to_pylist() for c in batch.columns])
-        for key, part, text in rows:
-            own = {line[i : i + SIZE] for line in (text or "").split("\n") for i in range(len(line) - SIZE + 1)}
-            grams += sorted(own)
-            keys += [key] * len(own)
-            parts += [part] * len(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(grams, pa.string()), pa.array(parts, pa.int32()), pa.array(keys, batch.schema.field(0).type)],
-            ["gram", "part", "key"])
+        part_of = batch.column("part").to_numpy()
+        edges = np.flatnonzero(np.r_[True, part_of[1:] != part_of[:-1], True]) if len(part_of) else np.empty(0, int)
+        for start, end in zip(edges[:-1], edges[1:]):
+            texts = batch.column("text").slice(start, end - start).to_pylist()
+            own = [_own(text or "") for text in texts]
+            grams, at = np.concatenate(own), np.repeat(np.arange(start, end), [len(g) for g in own])
+            order = grams.argsort(kind="stable")
+            grams, first = np.unique(grams[order], return_index=True)
+            keys = batch.column("key").take(pa.array(at[order], pa.int64()))
+            offsets = pa.array(np.r_[first, len(keys)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_spelled(grams), pa.string()), pa.array(np.full(len(grams), part_of[start], np.int32)),
+                 pa.ListArray.from_arrays(offsets, keys)],
+                ["gram", "part", "keys"])
 
 
 def build(texts: DataFrame, path: str, key: str = "doc_id", parts: int = 64) -> None:
-    """Store texts in ``parts`` by the hash of their key, and which trigram occurs in which text."""
+    """Store texts in ``parts`` by the hash of their key, and which trigram occurs in which text.
+
+    The texts of a part lie together, so a trigram is told once for many of them, with their keys.
+    """
     part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     rows = texts.select(F.col(key).alias("key"), part.alias("part"), "text")
     rows.repartition("part").sortWithinPartitions("part", "key").write.partitionBy("part").parquet(f"{path}/texts")
     kind = rows.schema["key"].dataType.simpleString()
-    grams = rows.mapInArrow(_grams, f"gram string, part int, key {kind}")
-    grams.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
+    stored = texts.sparkSession.read.schema(rows.schema).parquet(f"{path}/texts")
+    grams = stored.mapInArrow(_grams, f"gram string, part int, keys array<{kind}>")
+    grams.repartition("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
 
 
 def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:
@@ -83,6 +109,7 @@ def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame | None
     if not wanted:
         return None
     held = spark.read.parquet(f"{path}/grams").where(F.col("gram").isin(wanted))
+    held = held.select("gram", "part", F.explode("keys").alias("key"))
     return held.groupBy("part", "key").agg(F.count_distinct("gram").alias("n")).where(
         F.col("n") == len(wanted)).select("part", "key")
 

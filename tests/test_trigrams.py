@@ -49,3 +49,24 @@ def test_only_candidates_are_read(spark, stored):
     assert "PartitionFilters: [isnotnull(part" in plan and "PushedFilters: [IsNotNull(key), EqualTo(key,902)" in plan
     assert trigrams.candidate_texts(spark, path, "ab").count() == len(rows)
     assert trigrams.candidates(spark, path, "needle zzz").count() == 0
+
+
+def test_a_trigram_is_told_once_for_many_texts(spark, stored):
+    _, rows, path = stored
+    index = spark.read.parquet(f"{path}/grams")
+    # A row for each text and trigram before.
+    assert index.count() == index.select("gram", "part").distinct().count()
+    want = {(line[i : i + 3], d) for d, t in rows for line in (t or "").split("\n") for i in range(len(line) - 2)}
+    got = [(r.gram, k) for r in index.collect() for k in r["keys"]]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trigrams_of_odd_texts(spark, tmp_path):
+    rows = [("x", "a😀b\r\nc"), ("y", "\x00ab\n\n\n"), ("z", "ab\nc"), ("x", "a😀b again"), (None, "a😀b")]
+    trigrams.build(spark.createDataFrame(rows, "doc_id string, text string").coalesce(1), str(tmp_path / "index"), parts=2)
+    got = sorted((r.gram, k or "") for r in spark.read.parquet(str(tmp_path / "index/grams")).collect() for k in r["keys"])
+    want = [(line[i : i + 3], d or "") for d, t in rows for line in [{*t.split("\n")}] for line in line for i in range(len(line) - 2)]
+    assert got == sorted(want)
+    assert trigrams.search(spark, str(tmp_path / "index"), "a😀b", 9).count() == 2
+    trigrams.build(spark.createDataFrame([], "doc_id string, text string"), str(tmp_path / "none"))
+    assert trigrams.candidates(spark, str(tmp_path / "none"), "abc").count() == 0

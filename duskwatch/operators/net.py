@@ -388,13 +388,18 @@ def rank_hosts(df: DataFrame, exact_slices: int | None = None) -> DataFrame:
 
 
 def field_profile(lines: DataFrame, raw: str = "_raw") -> DataFrame:
-    """Which top-level and nested fields occur per event type, how often, and as which type."""
-    from duskwatch.functions.json import json_path
+    """Which top-level and nested fields occur per event type, how often, and as which type.
 
-    parsed = lines.select(
-        F.coalesce(json_path(F.col(raw), "$.event_type"), F.lit("unknown")).alias("event_type"),
-        F.try_parse_json(raw).alias("v"))
-    return profile_variant(parsed, "event_type", "v")
+    Lines are parsed once and stored as variants, which are read for the counts and for each walk.
+    """
+    parsed = lines.select(F.explode(F.array(F.try_parse_json(raw))).alias("v"))
+    kind = F.try_variant_get("v", "$.event_type", "string")
+    records = materialize(parsed.select(F.coalesce(kind, F.lit("unknown")).alias("event_type"), "v"), "records")
+    return profile_variant(records, "event_type", "v")
+
+
+def _undotted(path: str) -> Column:
+    return F.when(F.startswith(path, F.lit(".")), F.substr(path, F.lit(2))).otherwise(F.col(path))
 
 
 _LEVELS = 4  # of nesting that one pass walks
@@ -414,7 +419,7 @@ def walk_variant(df: DataFrame, key: str, variant: str) -> DataFrame:
     while True:
         laterals = " ".join(
             f", lateral variant_explode{'_outer' if i > 1 else ''}("
-            f"{inside.format(f'l{i - 1}.value') if i > 1 else 'd.value'}) l{i}" for i in range(1, _LEVELS + 1))
+            f"{f'l{i - 1}' if i > 1 else 'd'}.value) l{i}" for i in range(1, _LEVELS + 1))
         columns = ", ".join(f"l{i}.key as k{i}, l{i}.value as v{i}, l{i}.pos as p{i}"
                             for i in range(1, _LEVELS + 1))
         rows = df.sparkSession.sql(f"select d.k, d.path, {columns} from {{d}} d {laterals}", d=level)
@@ -430,7 +435,7 @@ def walk_variant(df: DataFrame, key: str, variant: str) -> DataFrame:
             told.append(F.when(F.col(f"p{i}").isNotNull() & first, F.struct(
                 path.alias("path"), F.col(f"v{i}").alias("value"), leaf.alias("leaf"))))
         found = rows.select("k", F.explode(F.array(*told)).alias("f")).where("f is not null").select(
-            "k", F.regexp_replace("f.path", r"^\.", "").alias("path"), "f.value", "f.leaf")
+            "k", _undotted("f.path").alias("path"), "f.value", "f.leaf")
         out = found if out is None else out.unionByName(found)
         last = rows.select("k", path.alias("path"), F.expr(inside.format(f"v{_LEVELS}")).alias("value"))
         level = materialize(last.where("value is not null"), "deeper")
@@ -444,9 +449,12 @@ def profile_variant(df: DataFrame, key: str, variant: str) -> DataFrame:
     Elements of an array count each, so their presence may pass 1.
     """
     totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("records"))
-    kind = F.regexp_extract(F.schema_of_variant("value"), r"^[A-Z]+", 0)
+    # The pattern is looked for in the few schemas that differ before their brackets, not in every field.
+    outer = F.substring_index(F.substring_index(F.schema_of_variant("value"), "<", 1), "(", 1)
     found = walk_variant(df, key, variant).groupBy(
-        F.col("k").alias(key), "path", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+        F.col("k").alias(key), "path", outer.alias("outer")).agg(F.count(F.lit(1)).alias("n"))
+    kind = F.regexp_extract("outer", r"^[A-Z]+", 0)
+    found = found.groupBy(key, "path", kind.alias("type")).agg(F.sum("n").alias("n"))
     return found.join(totals, key).select(
         key, "path", "type", "n",
         F.round(F.col("n").cast("double") / F.col("records"), 6).alias("presence"))

@@ -274,9 +274,12 @@ def _only(event_type: str, *fields):
     return F.when(F.col("event_type") == event_type, F.struct(*fields))
 
 
-def net(spark: SparkSession, sf_dir: str, keep: tuple = ()) -> DataFrame:
+def net(
+    spark: SparkSession, sf_dir: str, keep: tuple = (),
+    arrange: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
     """Network events as the reader gives them: one nested record per event type."""
-    v = flat(spark, sf_dir, "net")
+    v = flat(spark, sf_dir, "net", arrange)
     ts = _micros("us")
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX"
     end = F.date_format(ts, iso)

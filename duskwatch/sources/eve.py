@@ -42,6 +42,11 @@ def read_eve(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return events(read_lines(spark, paths))
 
 
+def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines that hold a record, as they are, for work that takes them apart itself."""
+    return parsed(read_lines(spark, paths), "_any STRING").where("not _bad").select("_raw", "_file")
+
+
 def stream_eve(
     spark: SparkSession, path: str, files_per_trigger: int | None = None, newest_first: bool = False,
 ) -> DataFrame:

@@ -161,3 +161,18 @@ def test_a_label_is_looked_for_before_the_second_tab_only(spark, tmp_path):
         ("\t1\t{}", 0), ("\t{}", -3), ("x\t1", 0), ("x\tq\t{}", 0), ("{\t2\t", 0), ("{}", 1)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract(concat(substring_index(" in plan and "regexp_extract(value" not in plan
+
+
+def test_lines_of_events_are_made_after_their_rows_are_dealt_out(spark):
+    rows = raw.net_lines(spark, SF, raw._by_day("eve-", ".json"), ("log",))
+    above, below = rows._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert "StructsToJson" in above and "StructsToJson" not in below
+    newest, n = "", 0
+    for file in sorted(glob.glob(raw.eve(spark, SF) + "/log=eve-*.json/part-*"), key=os.path.getmtime):
+        with gzip.open(file, "rt") as f:
+            found = f.read().split("\n")[:-1]
+        times = [json.loads(line)["timestamp"] for line in found if line.startswith("{") and line.endswith("}")]
+        assert len(found) <= raw.LINES and times == sorted(times) and newest <= times[0]
+        newest, n = times[-1], n + len(found)
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    assert n == events.count() + events.where("event_id % 101 = 0").count()

@@ -262,3 +262,24 @@ def test_unknown_models_of_a_large_catalogue(spark):
         ("k42", 1, "m42", 1), ("m11999q", 1, "m11999", 1)]
     assert [tuple(r) for r in runs.unknown_models(asked, dim.limit(0)).orderBy("model").collect()] == [
         ("k42", 1, None, None), ("m11999q", 1, None, None), ("m7", 1, None, None)]
+
+
+def test_field_profile_parses_a_line_once(spark, tmp_path):
+    (tmp_path / "eve").write_text("\n".join([
+        '{"event_type": "a", "x": 1.5, "y": {}, "z": [], ".d": {".e": {"f": {"g": {"h": [{"i": [1, "s", null]}]}}}}}',
+        '  {"x": 10.25, "y": {"a": null}, "z": [[1], {"b": true}]} ', '{"event_type": 5, "x": "t"}', "[1]", '{"x": 1} {}', "", "nope"]))
+    records = eve.read_records(spark, str(tmp_path))
+    assert sorted(r._raw for r in records.collect()) == sorted(r._raw for r in eve.read_eve(spark, str(tmp_path)).collect())
+    profile = net.field_profile(records)
+    got = {(r.event_type, r.path, r.type): (r.n, r.presence) for r in profile.collect()}
+    deep = [".d", ".d..e", ".d..e.f", ".d..e.f.g", ".d..e.f.g.h", ".d..e.f.g.h[]", ".d..e.f.g.h[].i"]
+    kinds = ["OBJECT"] * 4 + ["ARRAY", "OBJECT", "ARRAY"]
+    leaves = [("a", f"{deep[-1]}[]", k) for k in ("BIGINT", "STRING", "VOID")]
+    want = [("a", p, k) for p, k in zip(deep, kinds)] + leaves + [
+        ("a", "event_type", "STRING"), ("a", "x", "DECIMAL"), ("a", "y", "OBJECT"), ("a", "z", "ARRAY"),
+        ("unknown", "x", "DECIMAL"), ("unknown", "y", "OBJECT"), ("unknown", "y.a", "VOID"), ("unknown", "z", "ARRAY"),
+        ("unknown", "z[]", "ARRAY"), ("unknown", "z[]", "OBJECT"), ("unknown", "z[][]", "BIGINT"), ("unknown", "z[].b", "BOOLEAN"),
+        ("5", "event_type", "BIGINT"), ("5", "x", "STRING")]
+    assert got == {w: (1, 1.0) for w in want}
+    # In each read of the lines, three of them, before.
+    assert "parsejson" not in profile._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
